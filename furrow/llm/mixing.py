@@ -25,6 +25,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def _each(values, i: Column) -> Column:
     return F.get(F.array(*[F.lit(float(v)) for v in values]), (i % len(values)).cast("int"))
 
@@ -61,10 +65,10 @@ def source_targets(sizes: DataFrame, share: float = 1.5, passes: float = 2.0, we
     )
 
 
-def curriculum_mix(docs: DataFrame, share: float = 1.5, passes: float = 2.0, weights=WEIGHTS, slopes=SLOPES, keep: tuple[str, ...] = ()) -> DataFrame:
+def curriculum_mix(docs: DataFrame, share: float = 1.5, passes: float = 2.0, weights=WEIGHTS, slopes=SLOPES) -> DataFrame:
     """One row per row of docs, sorted by its first training position (those not taken last).
 
-    Columns: those of keep, then doc_id, source, size, source_size, target, taken, and epochs: an array of
+    Columns: doc_id, text_md5, source, size, source_size, target, taken, and epochs: an array of
     (position, words), one for each time the document is taken. The document at the end of a
     source's target is taken in part, so a source's taken words add up to its target's whole words.
 
@@ -77,12 +81,11 @@ def curriculum_mix(docs: DataFrame, share: float = 1.5, passes: float = 2.0, wei
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = checkpointed(
         docs.select(
-            *[F.col(c).alias(f"keep_{c}") for c in keep],
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
             order.alias("order"),
-            F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie"),
+            text_md5(F.col("text")).alias("text_md5"),
         ).withColumn("slice", F.substring("order", 1, 3))
     )
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -92,7 +95,7 @@ def curriculum_mix(docs: DataFrame, share: float = 1.5, passes: float = 2.0, wei
     facts = placed.join(targets, placed["source"].eqNullSafe(targets["source"])).select(
         placed["source"].alias("fact_source"), F.col("slice").alias("fact_slice"), "slice_start", "source_size", "target", "slope"
     )
-    within = Window.partitionBy("source", "slice").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("order", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
     local = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long"))
     met = local.join(facts, (F.col("slice") == F.col("fact_slice")) & F.col("source").eqNullSafe(F.col("fact_source")))
     start = F.col("slice_start") + F.col("before")
@@ -100,8 +103,8 @@ def curriculum_mix(docs: DataFrame, share: float = 1.5, passes: float = 2.0, wei
     words = [F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), due - start - F.col("source_size") * e)) for e in range(int(-(-passes // 1)))]
     epochs = F.array(*[F.struct(_position(F.try_divide(start + F.col("source_size") * e, F.col("target")), F.col("slope")).alias("position"), w.alias("words")) for e, w in enumerate(words)])
     out = met.select(
-        *[F.col(f"keep_{c}").alias(c) for c in keep],
         "doc_id",
+        "text_md5",
         "source",
         "size",
         "source_size",

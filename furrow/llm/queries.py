@@ -8,12 +8,30 @@ from pyspark.sql import functions as F
 from furrow.llm.dedup import exact_dedup
 from furrow.llm.jaccard import jaccard_classes
 from furrow.llm.mixing import curriculum_mix
+from furrow.llm.packing import harmonic_pack
+from furrow.llm.quality import ALL_COMMON, CLASSES, COMMON_WORDS, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The public tokenizer's files on this machine; on a cluster they lie at the same paths on all machines."""
+    import public_tokenizers
+
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_pack(_table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -27,6 +45,8 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_harmonic_packing": op2_harmonic_packing,
+    "op4_divergence_rules": op4_divergence_rules,
     "op7_block_naming": op7_block_naming,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_curriculum_mix": op10_curriculum_mix,
@@ -34,7 +54,54 @@ QUERIES = {
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _quoted(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _distance(counts: str, total: str, reference: str) -> str:
+    """DuckDB's Jensen-Shannon distance of two count lists, as in quality.js_distance."""
+    term = "(CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0.0 END)"
+    p, q = f"(x[1] / ({total})::DOUBLE)", f"(x[2] / list_sum({reference})::DOUBLE)"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({counts}, {reference}), lambda x: {term.format(a=p, b=q)} + {term.format(a=q, b=p)})) / 2))"
+
+
+def _quality_sql() -> str:
+    chars = ", ".join(f"len(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}'))" for p in CLASSES.values())
+    own = "list_transform(own, lambda w: len(list_filter(w_all, lambda x: x = w)))"
+    pick = ", ".join(f"('{lang}', {_quoted(words)})" for lang, words in COMMON_WORDS.items())
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+        f AS (
+            SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w_all,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, [{chars}] AS k FROM d),
+        g AS (SELECT *, len(w_all) AS n_words, length(array_to_string(w_all, '')) AS word_chars FROM f),
+        h AS (SELECT *, list_concat(k, [length(t) - word_chars, word_chars - list_sum(k)]) AS c FROM g),
+        l(lang, own) AS (VALUES {pick}),
+        own AS (SELECT r, l.lang AS lang, {own} AS o FROM h, l),
+        full_own AS (SELECT r, own.lang, list_concat(o, [n_words - list_sum(o)]) AS o FROM own JOIN h USING (r)),
+        ref_c AS (SELECT lang, list(s ORDER BY i) AS rc FROM (
+            SELECT lang, i, sum(c[i]) AS s FROM h, range(1, {len(CLASSES) + 3}) x(i) WHERE lang IN (SELECT lang FROM l) GROUP BY lang, i) GROUP BY lang),
+        ref_w AS (SELECT lang, list(s ORDER BY i) AS rw FROM (
+            SELECT h.lang, i, sum(o[i]) AS s FROM h JOIN full_own ON h.r = full_own.r AND h.lang = full_own.lang, range(1, 14) x(i) GROUP BY h.lang, i) GROUP BY lang),
+        js AS (
+            SELECT h.r, min({_distance("c", "list_sum(c)", "rc")}) AS jc, min({_distance("o", "n_words", "rw")}) AS jw
+            FROM h JOIN full_own ON h.r = full_own.r JOIN ref_c ON ref_c.lang = full_own.lang JOIN ref_w ON ref_w.lang = full_own.lang WHERE n_words > 0 GROUP BY h.r),
+        win AS (SELECT r, unnest(range(1, n_words - 6)) AS i, w_all FROM h WHERE n_words >= 8),
+        named AS (SELECT r, i, array_to_string(w_all[i:i + 7], ' ') AS s FROM win),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM named) WHERE n > 1),
+        rep AS (SELECT r, count(DISTINCT i + j) AS n FROM again, range(8) y(j) GROUP BY r),
+        b AS (
+            SELECT h.r, doc_id, n_words, word_chars, k[{list(CLASSES).index("symbol") + 1}] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+            FROM h LEFT JOIN rep USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(jc > 0.32 OR (n_words >= 150 AND jw > 0.28), false) AS kept
+        FROM b LEFT JOIN js USING (r)
+    """
+
+
 ORACLE_SQL = {
+    "op4_divergence_rules": _quality_sql(),
     "op7_block_naming": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_LETTERS}) AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
