@@ -10,11 +10,9 @@
 3. In each tile every set is held against the tile's first one. The bitmaps' bit counts bound the overlap
    from above; the best pair that passes, a set, is confirmed by exact intersection of sorted arrays. This
    joins large groups of near copies in few comparisons.
-4. Tiles whose sets still lie in different components are cut into size bands and blocks; inside, all
-   pairs of sets of different components that pass the sizes and bitmaps are confirmed exactly.
-   Pairs inside one component are not looked at: their link would change nothing.
-
-No step sends more than one row a set and tile, or makes all pairs of a group.
+4. In tiles whose sets still lie in different components, the pairs of sets of different components that pass the sizes
+   and bitmaps are confirmed exactly. A tile of more than a few sets is cut into size bands and blocks first, which are
+   held against each other inside tasks. Pairs inside one component are not looked at: their link would change nothing.
 """
 
 
@@ -256,6 +254,42 @@ def _exact(pairs: DataFrame, texts: DataFrame, percent: int, width: int, filter_
     return checkpointed(met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a binary, b binary"))
 
 
+def _near(percent: int):
+    """Rows (tile, sid, n, label) sorted by tile to the pairs of a tile with different labels and sizes that can link. For tiles of a
+    bounded number of sets."""
+
+    def pairs(tile, sid, n, label):
+        a, b = [], []
+        for k in range(1, len(tile)):
+            at = np.flatnonzero(tile[k:] == tile[:-k])
+            if not len(at):
+                break
+            x, y = at, at + k
+            ok = (label[x] != label[y]).any(axis=1) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            a.append(sid[x[ok]])
+            b.append(sid[y[ok]])
+        if not a or not (found := np.unique(np.hstack([np.vstack(a), np.vstack(b)]), axis=0)).size:
+            return None
+        return pa.RecordBatch.from_arrays([binary16(found[:, :2]), binary16(found[:, 2:])], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column("tile").to_numpy(), from_binary16(batch.column("sid")), batch.column("n").to_numpy(), from_binary16(batch.column("label"))]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            held = [x[last:] for x in now]
+            if last and (out := pairs(*[x[:last] for x in now])) is not None:
+                yield out
+        if held is not None and (out := pairs(*held)) is not None:
+            yield out
+
+    return run
+
+
 def _across(percent: int):
     """All pairs of different components in one block pair of a tile and band that sizes and bitmaps don't rule out."""
     step = math.log(100 / percent)
@@ -329,20 +363,27 @@ def jaccard_classes(
     first = components(first_links)
 
     members = tiles.select("tile", "sid").join(first.toDF("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    members = members.join(facts, "sid")
-    unsettled = members.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
-    unsettled = unsettled.where("x <> y").select("tile", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    own = members.join(unsettled, "tile").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int"))
+    members = members.join(facts.select("sid", "n"), "sid")
+    unsettled = members.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("tile", "m")
+    own = checkpointed(members.join(unsettled, "tile"))
+    few = own.where(F.col("m") <= block // 16).select("tile", "sid", "n", "label").repartition("tile").sortWithinPartitions("tile").mapInArrow(_near(percent), "a binary, b binary")
+    few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = few.join(facts.toDF("b", "nb", "bits_b"), "b").join(facts.toDF("a", "na", "bits_a"), "a").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    few = few.mapInArrow(_bound(percent), "a binary, b binary, gap long").select("a", "b")
+
+    blocked = own.where(F.col("m") > block // 16).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).join(facts.select("sid", "bits"), "sid")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
     dealt_out = (
-        own.select("tile", "sid", "label", "n", "bits", "block", other, band.alias("own_band"))
+        blocked.select("tile", "sid", "label", "n", "bits", "block", other, band.alias("own_band"))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
         .withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1)))
     )
-    more = dealt_out.groupBy("tile", "lo", "hi", "band").applyInPandas(_across(percent), "a binary, b binary")
-    pairs = checkpointed(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    many = dealt_out.groupBy("tile", "lo", "hi", "band").applyInPandas(_across(percent), "a binary, b binary")
+    many = many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = checkpointed(few.union(many).distinct())
     links = first_links
     if pairs.limit(1).count():
         links = first_links.union(_exact(pairs, texts, percent, width, filter_bits))
