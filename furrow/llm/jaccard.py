@@ -28,14 +28,26 @@ from furrow.llm.common import as_text, binary16, checkpointed, from_binary16, pi
 from furrow.llm.components import components
 from furrow.llm.shingles import mix, set_name, shingle_sets
 
-BITS = 1024
+LEAST_BITS = 256
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A hashed bitmap signature of BITS bits."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    """A hashed bitmap signature with two to four bits a shingle, a power of two."""
+    width = max(LEAST_BITS, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
+    bits = np.zeros(width, np.uint8)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def fold(bits: list[bytes], size: int) -> np.ndarray:
+    """(n, words) of bitmaps of one size folded to `size` bytes: the bitmaps that a narrower width would have given."""
+    x = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1, size // 8)
+    return np.bitwise_or.reduce(x, axis=1)
+
+
+def only_bits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits each of two bitmaps has alone."""
+    return np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64)
 
 
 def may_link(na, nb, only_a, only_b, percent: int):
@@ -126,39 +138,50 @@ def _deal(percent: int, width: int, hot):
     return run
 
 
-def _meet(batches):
-    """Rows sorted by (tile, sid): (tile, first sid, sid) for tiles with several different sids, the first one's row too."""
-    held_tile = held_sid = lead = None
-    open_tile = False  # a second sid of the held tile has been seen
-    for batch in batches:
-        tile = batch.column("tile").to_numpy(zero_copy_only=False)
-        sid = from_binary16(batch.column("sid"))
-        n = len(tile)
-        if not n:
-            continue
-        if held_tile is not None:
-            tile, sid = np.append(held_tile, tile), np.vstack([held_sid, sid])
-            n += 1
-        new_tile = np.append(True, tile[1:] != tile[:-1])
-        new = new_tile | np.append(True, (sid[1:] != sid[:-1]).any(axis=1))
-        begins = np.flatnonzero(new_tile)
-        first = np.repeat(begins, np.diff(np.append(begins, n)))
-        leads = sid[first]
-        if held_tile is not None and lead is not None:
-            leads[: begins[1] if len(begins) > 1 else n] = lead
-        same = new & ~new_tile  # a further sid of its tile
-        several = np.zeros(n, bool)
-        several[first[same]] = True
-        out = same | (several & new_tile)
-        if held_tile is not None:
-            out[0] = not open_tile and bool(several[0])
-        last_from = int(begins[-1])
-        carried = open_tile if last_from == 0 and held_tile is not None else False
-        open_tile = carried or bool(same[last_from:].any())
-        lead = leads[-1].copy()
-        held_tile, held_sid = tile[-1], sid[-1].copy()
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(tile[out]), binary16(leads[out]), binary16(sid[out])], names=["tile", "lead", "sid"])
+def _meet(most: int = 1 << 20):
+    """Rows sorted by (tile, sid) to (tile, lead, sid, several) for tiles with different sids; lead is a tile's first sid. A tile of
+    two has one row; one of several has a row for each sid. A tile of more than `most` sids is passed on in parts."""
+
+    def rows(tile, sid, lead, skip):
+        begins = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        count = np.diff(np.append(begins, len(tile)))
+        leads = np.repeat(sid[begins], count, axis=0)
+        m = np.repeat(count, count)
+        if lead is not None:
+            leads[: count[0]] = lead
+            m[: count[0]] = 3
+        out = m > 2
+        two = m == 2
+        two[begins] = False
+        out |= two
+        if skip:
+            out[0] = False
+        return pa.RecordBatch.from_arrays([pa.array(tile[out]), binary16(leads[out]), binary16(sid[out]), pa.array(m[out] > 2)], names=["tile", "lead", "sid", "several"])
+
+    def run(batches):
+        held, lead, skip = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile, sid = batch.column("tile").to_numpy(zero_copy_only=False), from_binary16(batch.column("sid"))
+            if held is not None:
+                tile, sid = np.append(held[0], tile), np.vstack([held[1], sid])
+            new = np.append(True, (tile[1:] != tile[:-1]) | (sid[1:] != sid[:-1]).any(axis=1))
+            tile, sid = tile[new], sid[new]
+            last = int(np.searchsorted(tile, tile[-1]))
+            if last:
+                yield rows(tile[:last], sid[:last], lead, skip)
+                lead, skip = None, False
+            tile, sid = tile[last:], sid[last:]
+            if len(tile) > most:
+                lead = sid[0].copy() if lead is None else lead
+                yield rows(tile, sid, lead, skip)
+                tile, sid, skip = tile[-1:], sid[-1:], True
+            held = (tile.copy(), sid.copy())
+        if held is not None:
+            yield rows(*held, lead, skip)
+
+    return run
 
 
 def _bound(percent: int):
@@ -166,12 +189,13 @@ def _bound(percent: int):
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = np.frombuffer(b"".join(batch.column("bits_a").to_pylist()), np.uint64).reshape(n, -1)
-            y = np.frombuffer(b"".join(batch.column("bits_b").to_pylist()), np.uint64).reshape(n, -1)
-            only_a, only_b = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+            x, y = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
+            only_a, only_b = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            widths = np.array([(len(p), len(q)) for p, q in zip(x, y)]).reshape(-1, 2)
+            for wide in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == wide).all(axis=1))
+                size = int(wide.min())
+                only_a[at], only_b[at] = only_bits(fold([x[i] for i in at], size), fold([y[i] for i in at], size))
             ok = may_link(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), only_a, only_b, percent)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array((only_a + only_b)[ok])], names=["a", "b", "gap"]
@@ -243,13 +267,21 @@ def _confirm(percent: int):
     return run
 
 
+def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(a, b, gap) of the pairs (a, b) that neither sizes nor bitmaps rule out."""
+    sizes = facts.select("sid", "n")
+    near = pairs.join(sizes.toDF("b", "nb"), "b").join(sizes.toDF("a", "na"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    bits = facts.select("sid", "bits")
+    met = near.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    return met.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bound(percent), "a binary, b binary, gap long")
+
+
 def _exact(pairs: DataFrame, texts: DataFrame, percent: int, width: int, filter_bits: int) -> DataFrame:
     """The pairs (a, b) of set names that link."""
     spark = pairs.sparkSession
     involved = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
     wanted = spark.sparkContext.broadcast(_filter_bits(involved, filter_bits))
-    sets = texts.select("text").mapInArrow(_fetch(width, wanted, filter_bits), "sid binary, shingles binary")
-    sets = checkpointed(sets.join(involved.distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+    sets = texts.select("text").mapInArrow(_fetch(width, wanted, filter_bits), "sid binary, shingles binary").dropDuplicates(["sid"])
     met = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
     return checkpointed(met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a binary, b binary"))
 
@@ -265,7 +297,7 @@ def _near(percent: int):
             if not len(at):
                 break
             x, y = at, at + k
-            ok = (label[x] != label[y]).any(axis=1) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             a.append(sid[x[ok]])
             b.append(sid[y[ok]])
         if not a or not (found := np.unique(np.hstack([np.vstack(a), np.vstack(b)]), axis=0)).size:
@@ -277,7 +309,7 @@ def _near(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column("tile").to_numpy(), from_binary16(batch.column("sid")), batch.column("n").to_numpy(), from_binary16(batch.column("label"))]
+            now = [batch.column("tile").to_numpy(), from_binary16(batch.column("sid")), batch.column("n").to_numpy(), batch.column("label").to_numpy()]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = int(np.searchsorted(now[0], now[0][-1]))
@@ -301,7 +333,8 @@ def _across(percent: int):
         comp = pd.factorize(group["label"])[0]
         block = group["block"].to_numpy()
         own = np.floor(np.log(n) / step + 1e-9).astype(int)
-        bits = np.frombuffer(b"".join(group["bits"]), np.uint64).reshape(len(n), -1)
+        size = group["bits"].map(len).min()
+        bits = np.vstack([fold([x], size) for x in group["bits"]])
         sids, a, b = group["sid"].to_numpy(), [], []
         for i in np.flatnonzero((block == lo)):
             rest = (block == hi) & (comp != comp[i]) & (np.minimum(own, own[i]) == band)
@@ -310,9 +343,7 @@ def _across(percent: int):
             rest &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
             j = np.flatnonzero(rest)
             if len(j):
-                only_i = np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64)
-                only_j = np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64)
-                j = j[may_link(n[i], n[j], only_i, only_j, percent)]
+                j = j[may_link(n[i], n[j], *only_bits(bits[i], bits[j]), percent)]
                 a += [sids[i]] * len(j)
                 b += list(sids[j])
         return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
@@ -349,27 +380,32 @@ def jaccard_classes(
         texts.mapInArrow(_describe(percent, width, common), "kind int, doc_id long, n long, sid binary, bits binary, shingle long"), "described"
     )
     rows = described.where("kind = 0").select("doc_id", "n", "sid")
-    facts = described.where("kind = 0 and n > 0").select("sid", "n", "bits").dropDuplicates(["sid"])
+    facts = checkpointed(described.where("kind = 0 and n > 0").select("sid", "n", "bits").dropDuplicates(["sid"]))
 
     hot = spark.sparkContext.broadcast(_common_shingles(described, least_common, most_common))
     dealt = texts.select("text").mapInArrow(_deal(percent, width, hot), "tile long, sid binary")
-    tiles = written(dealt.repartition("tile").sortWithinPartitions("tile", "sid").mapInArrow(_meet, "tile long, lead binary, sid binary"), "tiles")
+    tiles = written(dealt.repartition("tile").sortWithinPartitions("tile", "sid").mapInArrow(_meet(), "tile long, lead binary, sid binary, several boolean"), "tiles")
 
     stars = tiles.where("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    sized = stars.join(facts.toDF("b", "nb", "bits_b"), "b").join(facts.toDF("a", "na", "bits_a"), "a")
-    likely = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "bits_a", "bits_b")
-    best = likely.mapInArrow(_bound(percent), "a binary, b binary, gap long").groupBy("b").agg(F.min(F.struct("gap", "a")).alias("x"))
-    first_links = _exact(checkpointed(best.select(F.col("x.a").alias("a"), "b")), texts, percent, width, filter_bits)
+    likely = checkpointed(_likely(stars, facts, percent).select("b", "a", "gap"))
+    best = likely.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    first_links = _exact(checkpointed(best), texts, percent, width, filter_bits)
     first = components(first_links)
 
-    members = tiles.select("tile", "sid").join(first.toDF("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    members = members.join(facts.select("sid", "n"), "sid")
+    # From here on a set's component is a long: a hash of its label or, without links, of its own name.
+    labels = first.select(F.col("node").alias("sid"), F.xxhash64("label").alias("of"))
+    label = F.coalesce("of", F.xxhash64("sid")).alias("label")
+    again = likely.select("a", "b")
+    for side in ("a", "b"):
+        again = again.join(labels.toDF(side, "of"), side, "left").withColumn(f"of_{side}", F.coalesce("of", F.xxhash64(side))).drop("of")
+    again = again.where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    members = tiles.where("several").select("tile", "sid").join(labels, "sid", "left").select("tile", "sid", label)
     unsettled = members.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("tile", "m")
-    own = checkpointed(members.join(unsettled, "tile"))
+    own = checkpointed(members.join(unsettled, "tile").join(facts.select("sid", "n"), "sid"))
     few = own.where(F.col("m") <= block // 16).select("tile", "sid", "n", "label").repartition("tile").sortWithinPartitions("tile").mapInArrow(_near(percent), "a binary, b binary")
     few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    few = few.join(facts.toDF("b", "nb", "bits_b"), "b").join(facts.toDF("a", "na", "bits_a"), "a").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    few = few.mapInArrow(_bound(percent), "a binary, b binary, gap long").select("a", "b")
+    few = _likely(few, facts, percent).select("a", "b")
 
     blocked = own.where(F.col("m") > block // 16).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).join(facts.select("sid", "bits"), "sid")
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int"))
@@ -383,7 +419,7 @@ def jaccard_classes(
     )
     many = dealt_out.groupBy("tile", "lo", "hi", "band").applyInPandas(_across(percent), "a binary, b binary")
     many = many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = checkpointed(few.union(many).distinct())
+    pairs = checkpointed(again.union(few).union(many).distinct())
     links = first_links
     if pairs.limit(1).count():
         links = first_links.union(_exact(pairs, texts, percent, width, filter_bits))
