@@ -8,11 +8,12 @@
    shared shingles of step 1 last, so that a passage which thousands of documents hold makes no tile of
    thousands. The order is a matter of speed only: any list of shared shingles gives the same links.
 3. In each tile every set is held against the tile's first one. The bitmaps' bit counts bound the overlap
-   from above; the best pair that passes, a set, is confirmed by exact intersection of sorted arrays. This
+   from above; the likeliest pairs of each set that pass are confirmed by exact intersection of sorted arrays. This
    joins large groups of near copies in few comparisons.
 4. In tiles whose sets still lie in different components, the pairs of sets of different components that pass the sizes
    and bitmaps are confirmed exactly. A tile of more than a few sets is cut into size bands and blocks first, which are
-   held against each other inside tasks. Pairs inside one component are not looked at: their link would change nothing.
+   held against each other inside tasks; these hand on each component's likeliest pairs, then more of those that did not link, until
+   none is left. Pairs inside one component are not looked at: their link would change nothing.
 """
 
 
@@ -21,7 +22,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import as_text, binary16, checkpointed, from_binary16, pick, written
@@ -32,8 +33,8 @@ LEAST_BITS = 256
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A hashed bitmap signature with two to four bits a shingle, a power of two."""
-    width = max(LEAST_BITS, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
+    """A hashed bitmap signature with four to eight bits a shingle, a power of two."""
+    width = max(LEAST_BITS, 1 << int(4 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
     bits = np.zeros(width, np.uint8)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -276,16 +277,35 @@ def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bound(percent), "a binary, b binary, gap long")
 
 
-def _exact(pairs: DataFrame, texts: DataFrame, percent: int, width: int, filter_bits: int) -> DataFrame:
-    """The pairs (a, b) of set names that link."""
-    spark = pairs.sparkSession
+def _sets(pairs: DataFrame, texts: DataFrame, width: int, filter_bits: int) -> DataFrame:
+    """(sid, shingles) of all sets in pairs (a, b), and a few more."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    wanted = spark.sparkContext.broadcast(_filter_bits(involved, filter_bits))
-    sets = texts.select("text").mapInArrow(_fetch(width, wanted, filter_bits), "sid binary, shingles binary").dropDuplicates(["sid"])
-    met = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+    wanted = pairs.sparkSession.sparkContext.broadcast(_filter_bits(involved, filter_bits))
+    return texts.select("text").mapInArrow(_fetch(width, wanted, filter_bits), "sid binary, shingles binary").dropDuplicates(["sid"])
+
+
+def _linking(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names that link."""
+    met = pairs.select("a", "b").join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
     return checkpointed(met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a binary, b binary"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(sid, of): a set's component as a long, a hash of its label."""
+    return components(links).select(F.col("node").alias("sid"), F.xxhash64("label").alias("of"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose sets lie in different components; a set without links is one of its own."""
+    for side in ("a", "b"):
+        pairs = pairs.join(labels.toDF(side, "of"), side, "left").withColumn(f"of_{side}", F.coalesce("of", F.xxhash64(side))).drop("of")
+    return pairs.where("of_a <> of_b").drop("of_a", "of_b")
+
+
 def _near(percent: int):
     """Rows (tile, sid, n, label) sorted by tile to the pairs of a tile with different labels and sizes that can link. For tiles of a
     bounded number of sets."""
@@ -322,8 +342,9 @@ def _near(percent: int):
     return run
 
 
-def _across(percent: int):
-    """All pairs of different components in one block pair of a tile and band that sizes and bitmaps don't rule out."""
+def _across(percent: int, most: int):
+    """Pairs of different components in one block pair of a tile and band that sizes and bitmaps don't rule out: for each component the
+    `most` likeliest ones; `more` tells whether there are others."""
     step = math.log(100 / percent)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -335,18 +356,26 @@ def _across(percent: int):
         own = np.floor(np.log(n) / step + 1e-9).astype(int)
         size = group["bits"].map(len).min()
         bits = np.vstack([fold([x], size) for x in group["bits"]])
-        sids, a, b = group["sid"].to_numpy(), [], []
-        for i in np.flatnonzero((block == lo)):
+        sids, found = group["sid"].to_numpy(), []
+        for i in np.flatnonzero(block == lo):
             rest = (block == hi) & (comp != comp[i]) & (np.minimum(own, own[i]) == band)
             if lo == hi:
                 rest[: i + 1] = False
             rest &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
             j = np.flatnonzero(rest)
             if len(j):
-                j = j[may_link(n[i], n[j], *only_bits(bits[i], bits[j]), percent)]
-                a += [sids[i]] * len(j)
-                b += list(sids[j])
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+                only_i, only_j = only_bits(bits[i], bits[j])
+                ok = may_link(n[i], n[j], only_i, only_j, percent)
+                found.append(np.stack([np.full(ok.sum(), i), j[ok], (only_i + only_j)[ok]]))
+        x, y, gap = np.hstack(found) if found else np.zeros((3, 0), np.int64)
+        keep = np.zeros(len(x), bool)
+        for side in (x, y):
+            order = np.lexsort((gap, comp[side]))
+            c = comp[side][order]
+            starts = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.empty(0, int)
+            rank = np.arange(len(c)) - np.repeat(starts, np.diff(np.append(starts, len(c))))
+            keep[order[rank < most]] = True
+        return pd.DataFrame({"a": pd.Series(list(sids[x[keep]]), dtype=object), "b": pd.Series(list(sids[y[keep]]), dtype=object), "more": bool(not keep.all())})
 
     return run
 
@@ -358,7 +387,7 @@ def jaccard_classes(
     common: int = 3,
     least_common: int = 8,
     most_common: int = 1 << 21,
-    block: int = 1024,
+    block: int = 4096,
     filter_bits: int = 1 << 24,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
@@ -388,42 +417,50 @@ def jaccard_classes(
 
     stars = tiles.where("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     likely = checkpointed(_likely(stars, facts, percent).select("b", "a", "gap"))
-    best = likely.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    first_links = _exact(checkpointed(best), texts, percent, width, filter_bits)
-    first = components(first_links)
-
-    # From here on a set's component is a long: a hash of its label or, without links, of its own name.
-    labels = first.select(F.col("node").alias("sid"), F.xxhash64("label").alias("of"))
-    label = F.coalesce("of", F.xxhash64("sid")).alias("label")
-    again = likely.select("a", "b")
-    for side in ("a", "b"):
-        again = again.join(labels.toDF(side, "of"), side, "left").withColumn(f"of_{side}", F.coalesce("of", F.xxhash64(side))).drop("of")
-    again = again.where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    members = tiles.where("several").select("tile", "sid").join(labels, "sid", "left").select("tile", "sid", label)
+    # Two rounds over the pairs with tiles' first sets join nearly all copies: each set's likeliest pair, then four of those still apart.
+    sets = checkpointed(_sets(likely, texts, width, filter_bits))
+    best = checkpointed(likely.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
+    links = _linking(best, sets, percent)
+    tested = _ordered(best)
+    labels = _labels(links)
+    ranked = _apart(likely, labels).withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("gap", "a"))).where("i <= 4")
+    second = checkpointed(_ordered(ranked).join(tested, ["a", "b"], "left_anti"))
+    links = links.union(_linking(second, sets, percent))
+    tested = tested.union(second)
+    labels = _labels(links)
+
+    # Whatever pairs are left between components.
+    again = _apart(_ordered(likely), labels)
+    members = tiles.where("several").select("tile", "sid").join(labels, "sid", "left").select("tile", "sid", F.coalesce("of", F.xxhash64("sid")).alias("label"))
     unsettled = members.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("tile", "m")
     own = checkpointed(members.join(unsettled, "tile").join(facts.select("sid", "n"), "sid"))
-    few = own.where(F.col("m") <= block // 16).select("tile", "sid", "n", "label").repartition("tile").sortWithinPartitions("tile").mapInArrow(_near(percent), "a binary, b binary")
-    few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    few = _likely(few, facts, percent).select("a", "b")
-
-    blocked = own.where(F.col("m") > block // 16).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).join(facts.select("sid", "bits"), "sid")
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-    dealt_out = (
-        blocked.select("tile", "sid", "label", "n", "bits", "block", other, band.alias("own_band"))
-        .withColumn("lo", F.least("block", "other"))
-        .withColumn("hi", F.greatest("block", "other"))
-        .withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1)))
-    )
-    many = dealt_out.groupBy("tile", "lo", "hi", "band").applyInPandas(_across(percent), "a binary, b binary")
-    many = many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = checkpointed(again.union(few).union(many).distinct())
-    links = first_links
-    if pairs.limit(1).count():
-        links = first_links.union(_exact(pairs, texts, percent, width, filter_bits))
-        first = components(links)
+    few = own.where(F.col("m") <= block // 64).select("tile", "sid", "n", "label").repartition("tile").sortWithinPartitions("tile").mapInArrow(_near(percent), "a binary, b binary")
+    few = _likely(_ordered(few).distinct(), facts, percent).select("a", "b")
+
+    blocked = own.where(F.col("m") > block // 64).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).join(facts.select("sid", "bits"), "sid")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int")).drop("label")
+    most = 2
+    while True:
+        now = blocked.join(labels, "sid", "left").withColumn("label", F.coalesce("of", F.xxhash64("sid")))
+        band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+        dealt_out = (
+            now.select("tile", "sid", "label", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), band.alias("own_band"))
+            .withColumn("lo", F.least("block", "other"))
+            .withColumn("hi", F.greatest("block", "other"))
+            .withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1)))
+        )
+        many = checkpointed(dealt_out.groupBy("tile", "lo", "hi", "band").applyInPandas(_across(percent, most), "a binary, b binary, more boolean"))
+        more = bool(many.agg(F.max("more")).first()[0])
+        pairs = checkpointed(again.union(few).union(_ordered(many)).distinct().join(tested, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            links = links.union(_linking(pairs, _sets(pairs, texts, width, filter_bits), percent))
+            tested = tested.union(pairs)
+            labels = _labels(links)
+        if not more:
+            break
+        # What is left of again and few has been tested; a component that found no link among its likeliest pairs looks at more of them.
+        again, few, most = again.limit(0), few.limit(0), most * 8
+    first = components(links)
 
     smallest = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     labelled = smallest.join(first.toDF("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -85,7 +85,7 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"common": 2, "least_common": 2, "block": 16}), (3, {"common": 10**6, "block": 16})])
+@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"common": 2, "least_common": 2, "block": 128}), (3, {"common": 10**6, "block": 128})])
 def test_jaccard_classes_equal_brute_force(spark, seed, options):
     rows = near_copies(seed)
     got = jaccard_classes(docs(spark, rows).repartition(5), **options)
