@@ -1,0 +1 @@
+"""Planted rows of farm fields from drone mosaics, as Spark jobs over tables."""
