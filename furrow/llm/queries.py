@@ -14,7 +14,7 @@ from furrow.llm.mixing import curriculum_mix
 from furrow.llm.packing import harmonic_pack
 from furrow.llm.quality import ALL_COMMON, CLASSES, COMMON_WORDS, quality_rules
 from furrow.llm.secrets import scan_secrets
-from furrow.llm.urlgraph import judge_urls
+from furrow.llm.urlgraph import LINK, judge_urls
 
 #: The url rules of op3, in any order: the longest that fits decides.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -142,7 +142,44 @@ def _quality_sql() -> str:
     """
 
 
+def _url_sql(rounds: int = 12) -> str:
+    rules = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in URL_RULES)
+    link = LINK.replace("'", "''")
+    return f"""
+        WITH RECURSIVE u AS (
+            SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT row_number() OVER () AS r, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {_LETTERS}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        rules(verdict, rule, rule_host, rule_path) AS (VALUES {rules}),
+        ruled AS (
+            SELECT p.r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS said FROM p JOIN rules
+            ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY p.r),
+        judged AS (SELECT p.*, rule, said FROM p LEFT JOIN ruled USING (r)),
+        seeds AS (
+            SELECT host, CASE WHEN a AND NOT b THEN 1 ELSE 0 END AS trusted, CASE WHEN b AND NOT a THEN 1 ELSE 0 END AS blocked FROM (
+                SELECT host, coalesce(bool_or(said = 'allow'), false) AS a, coalesce(bool_or(said = 'block'), false) AS b FROM judged WHERE host <> '' GROUP BY host)),
+        found AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {_LETTERS}) AS dst FROM p),
+        links AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+        hosts AS (SELECT src AS host FROM links UNION SELECT dst FROM links UNION SELECT host FROM seeds),
+        nodes AS (
+            SELECT h.host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked, coalesce(o.n, 0) AS out, coalesce(i.n, 0) AS into_n FROM hosts h LEFT JOIN seeds USING (host)
+            LEFT JOIN (SELECT src AS host, sum(n) AS n FROM links GROUP BY src) o USING (host) LEFT JOIN (SELECT dst AS host, sum(n) AS n FROM links GROUP BY dst) i USING (host)),
+        moves AS (
+            SELECT src AS a, dst AS b, n / out::DOUBLE AS t, 0::DOUBLE AS d FROM links JOIN nodes ON host = src
+            UNION ALL SELECT dst, src, 0, n / into_n::DOUBLE FROM links JOIN nodes ON host = dst
+            UNION ALL SELECT x.host, y.host, y.trusted / (SELECT greatest(1, sum(trusted)) FROM nodes)::DOUBLE, 0 FROM nodes x JOIN nodes y ON x.out = 0 AND y.trusted = 1
+            UNION ALL SELECT x.host, y.host, 0, y.blocked / (SELECT greatest(1, sum(blocked)) FROM nodes)::DOUBLE FROM nodes x JOIN nodes y ON x.into_n = 0 AND y.blocked = 1
+            UNION ALL SELECT host, host, 0, 0 FROM nodes),
+        rank(k, host, t, d) AS (
+            SELECT 0, host, trusted::DOUBLE, blocked::DOUBLE FROM nodes
+            UNION ALL SELECT any_value(k) + 1, b, 0.15 * any_value(trusted) + 0.85 * sum(r.t * m.t), 0.15 * any_value(blocked) + 0.85 * sum(r.d * m.d)
+            FROM rank r JOIN moves m ON r.host = m.a JOIN nodes n ON n.host = m.b WHERE k < {rounds} GROUP BY b),
+        bad AS (SELECT host FROM rank WHERE k = {rounds} AND d > t AND d >= 0.02)
+        SELECT page_id, host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM judged
+    """
+
+
 ORACLE_SQL = {
+    "op3_host_graph": _url_sql(),
     "op4_divergence_rules": _quality_sql(),
     "op7_block_naming": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_LETTERS}) AS t FROM documents),
