@@ -14,7 +14,7 @@ from furrow.llm.dedup import exact_dedup
 from furrow.llm.jaccard import jaccard_classes
 from furrow.llm.mixing import curriculum_mix, text_md5
 from furrow.llm.packing import harmonic_pack
-from furrow.llm.quality import quality_rules
+from furrow.llm.quality import kept_documents, quality_rules
 from furrow.llm.queries import tokenizer_files
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(*COLUMNS)
+    return kept_documents(quality_rules(docs)).select(*COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,8 +39,10 @@ def _let(value: Column, body) -> Column:
 
 def repeated_window_words(words: Column, width: int = 8) -> Column:
     """The number of words in windows of `width` words found twice or more, by 64-bit hashes of windows."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+
+    def hashes(w: Column) -> Column:
+        starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -56,7 +58,7 @@ def repeated_window_words(words: Column, width: int = 8) -> Column:
         gaps = _let(again, lambda t: F.transform(t, lambda p, j: F.least(F.lit(width), F.coalesce(F.get(t, j + 1) - p, F.lit(width)))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    return _let(_let(words, hashes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -150,3 +152,9 @@ def quality_rules(
     rows = rows.withColumn("js_chars", F.when(some, F.least(*by_char, F.lit(2.0)))).withColumn("js_words", F.when(some, F.least(*by_word, F.lit(2.0))))
     far = (F.col("js_chars") > char_distance) | ((F.col("n_words") >= least_words_for_words) & (F.col("js_words") > word_distance))
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("q_chars", "q_common")
+
+
+def kept_documents(judged: DataFrame) -> DataFrame:
+    """The rows of quality_rules() that are kept. The row number in the condition keeps the optimizer from moving it
+    below the projections, where each use of a text's words would split the text again."""
+    return judged.withColumn("q_row", F.monotonically_increasing_id()).where("kept and q_row >= 0").drop("q_row")
