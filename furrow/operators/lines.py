@@ -78,9 +78,10 @@ def extend_lines(lines: DataFrame, ratio: float = DEFAULTS.extend_ratio) -> Data
 
 
 def _cut(lines: DataFrame, first: Column, last: Column) -> DataFrame:
-    ranged = lines.withColumn("_t0", first).withColumn("_t1", last).where("_t0 < _t1")
+    # The row number keeps the filter above the projection: pushed below, it would spell out the whole clip twice.
+    ranged = lines.withColumns({"_t0": first, "_t1": last, "_row": F.monotonically_increasing_id()}).where("_t0 < _t1 and _row >= 0")
     (ax, ay), (bx, by) = (geometry.along(*_ends(), F.col(t)) for t in ("_t0", "_t1"))
-    return ranged.withColumns({"x1": ax, "y1": ay, "x2": bx, "y2": by}).drop("_t0", "_t1")
+    return ranged.withColumns({"x1": ax, "y1": ay, "x2": bx, "y2": by}).drop("_t0", "_t1", "_row")
 
 
 def clip_lines_to_box(lines: DataFrame) -> DataFrame:
@@ -91,9 +92,13 @@ def clip_lines_to_box(lines: DataFrame) -> DataFrame:
 def clip_lines_to_oriented(lines: DataFrame, margin: float = 0.0) -> DataFrame:
     """Lines cut to their row's oriented box (angle, u0, u1, v0, v1), grown by a margin with square corners."""
     c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
-    turn = lambda p: (p[0] * c + p[1] * s, p[1] * c - p[0] * s)
-    a, b = _ends()
-    return _cut(lines, *geometry.clip_to_box(turn(a), turn(b), (F.col("u0") - margin, F.col("v0") - margin), (F.col("u1") + margin, F.col("v1") + margin)))
+    turned = {}
+    for i in "12":
+        x, y = F.col(f"x{i}"), F.col(f"y{i}")
+        turned |= {f"_u{i}": x * c + y * s, f"_v{i}": y * c - x * s}
+    a, b = ((F.col(f"_u{i}"), F.col(f"_v{i}")) for i in "12")
+    low, high = (F.col("u0") - margin, F.col("v0") - margin), (F.col("u1") + margin, F.col("v1") + margin)
+    return _cut(lines.withColumns(turned), *geometry.clip_to_box(a, b, low, high)).drop(*turned)
 
 
 def clip_to_polygon(lines: DataFrame, ring: str = "ring") -> DataFrame:
