@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,14 +72,16 @@ def convex_hulls(points: DataFrame, *keys: str) -> DataFrame:
     """keys, hull: the convex hull's vertices, counter-clockwise. Points (x, y) are reduced to the least and greatest y of
     each x before they meet, so a key's group holds two points a column of its raster."""
     ends = points.groupBy(*keys, "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    packed = ends.groupBy(*keys).agg(F.collect_list(F.struct("x", "low", "high")).alias("hull"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema if f.name in keys)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        xy = pd.concat([group[["x", "low"]].set_axis(["x", "y"], axis=1), group[["x", "high"]].set_axis(["x", "y"], axis=1)]).to_numpy(float)
-        hull = kernels.convex_hull(xy)
-        return pd.DataFrame([[*key, [{"x": x, "y": y} for x, y in hull]]], columns=[*keys, "hull"])
+    def run(batches):
+        for batch in batches:
+            hulls = [kernels.convex_hull(np.array([(p["x"], y) for p in pts for y in (p["low"], p["high"])], float)) for pts in batch["hull"]]
+            batch["hull"] = [[{"x": x, "y": y} for x, y in hull] for hull in hulls]
+            yield batch
 
-    return ends.groupBy(*keys).applyInPandas(run, f"{schema}, hull array<struct<x:double,y:double>>")
+    return packed.mapInPandas(run, f"{schema}, hull array<struct<x:double,y:double>>")
 
 
 def ombb(hulls: DataFrame, *keys: str) -> DataFrame:

@@ -40,6 +40,16 @@ def drop_empty_geom(df: DataFrame, coords: str = "coords") -> DataFrame:
     return df.where(F.coalesce(F.size(coords), F.lit(0)) > 0)
 
 
+def with_project(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with their project's facts (mask, angle, grid). Spark broadcasts the facts if their measured size allows."""
+    return df.join(facts, "prj")
+
+
+def catalog_filter(layers: DataFrame, *types: str, column: str = "geom_type") -> DataFrame:
+    """Layers of the given geometry types."""
+    return layers.where(F.col(column).isin(*types))
+
+
 def merge_lines(*tables: DataFrame) -> DataFrame:
     """All tiles' lines in one table."""
     return reduce(DataFrame.unionByName, tables)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geometry, names, spectral
 from furrow.operators import angles, contours, grid, lines, raster, rows
+from furrow.sources import manifests, vectors
 from furrow.views import Views, pt, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -859,3 +860,64 @@ def _(v):
 )
 def _(v):
     return rows.geometric_rows(v.lines, "prj").select("prj", "grp", "idx", F.col("idg").cast("long").alias("idg"))
+
+
+# Manifests, indexes, masks
+
+
+@query("result_manifest", f"{_STAT} SELECT l.prj, 'kml/' || l.prj AS kml, epsg, candidatelines, coalesce(resultinglines, 0) AS resultinglines FROM (SELECT prj, count(DISTINCT d) AS candidatelines FROM lines GROUP BY prj) l LEFT JOIN (SELECT prj, count(*) AS resultinglines FROM s2 GROUP BY prj) r USING (prj) JOIN projects p ON p.prj = l.prj")
+def _(v):
+    made = manifests.result_manifest(rows.result_counts(v.lines, "prj"), v.projects.withColumn("mask", F.lit("m")))
+    return made.select("prj", "kml", "epsg", "candidatelines", "resultinglines")
+
+
+@query(
+    "tile_index",
+    """WITH f AS (SELECT prj, '{"type":"Feature","properties":{"col":' || col || ',"row":' || row || '},"geometry":{"type":"Point","coordinates":[' || col || ',' || row || ']}}' AS f FROM grid)
+    SELECT prj, '{"type":"FeatureCollection","features":[' || array_to_string(list_sort(list(f)), ',') || ']}' AS body FROM f GROUP BY prj""",
+)
+def _(v):
+    g = grid.tile_grid(grid.grid_facts(v.projects))
+    features = g.select("prj", names.feature(names.point_geojson(F.col("col"), F.col("row")), col=F.col("col"), row=F.col("row")).alias("feature"))
+    return vectors.feature_collection(features, "prj")
+
+
+@query("mask_edges", "SELECT prj, i - 1 AS i, x1, y1, x2, y2 FROM mask_edges")
+def _(v):
+    return vectors.mask_edges(v.masks).withColumn("i", F.col("i").cast("long"))
+
+
+@query("with_project", "SELECT idx, epsg, round(psx, 6) AS psx FROM lines JOIN projects USING (prj)")
+def _(v):
+    facts = v.projects.select("prj", "epsg", r6(F.get("pixel_size", F.lit(0)), "psx"))
+    return lines.with_project(v.lines, facts).select("idx", "epsg", "psx")
+
+
+@query("catalog_filter", "SELECT p_partkey, p_type FROM part WHERE p_type IN (SELECT min(p_type) FROM part UNION ALL SELECT 'POLYGON')")
+def _(v):
+    part = v.table("part")
+    types = [r[0] for r in part.agg(F.min("p_type")).collect()]
+    return lines.catalog_filter(part, *types, "POLYGON", column="p_type").select("p_partkey", "p_type")
+
+
+@query("locate_pixels", "SELECT p.prj, p.x, p.y, sum(CASE WHEN (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1 THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM pixels p JOIN mask_edges e ON e.prj = p.prj GROUP BY ALL")
+def _(v):
+    met = v.pixels.join(v.masks, "prj")
+    return met.select(*PIX, geometry.in_ring(F.col("x").cast("double"), F.col("y").cast("double"), F.col("ring")).alias("inside"))
+
+
+@query("convex_hull_bounds", "SELECT contour_id, min(x)::DOUBLE AS x0, max(x)::DOUBLE AS x1, min(y)::DOUBLE AS y0, max(y)::DOUBLE AS y1 FROM contours GROUP BY contour_id")
+def _(v):
+    points = v.contours.select("contour_id", F.explode("pts").alias("p")).select("contour_id", "p.x", "p.y")
+    hull = contours.convex_hulls(points, "contour_id").select("contour_id", F.explode("hull").alias("p"))
+    return hull.groupBy("contour_id").agg(F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1"))
+
+
+@query("trace_contours")
+def _(v):
+    from furrow.operators.kernels import tile_images
+
+    marked = v.bpix.select(*_AT, *[(F.col("mask") if c == "r" else F.lit(0)).alias(c) for c in "rgb"])
+    masks = tile_images(marked)
+    first = F.expr("transform(sequence(1, length(data), 3), i -> substring(data, i, 1))")
+    return contours.trace_contours(masks.withColumn("data", F.unhex(F.array_join(F.transform(first, lambda b: F.hex(b)), ""))))
