@@ -34,9 +34,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """A written table for a step of a loop. Unlike a checkpoint, whose size Spark goes on estimating as a product over all joins before
+    it, a table has its true size, so that plans stay small and well chosen however many rounds there are."""
+    return written(df, "step")
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
