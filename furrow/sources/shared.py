@@ -1,15 +1,23 @@
-"""Reliable checkpoints in the folder that driver and executors share."""
+"""Written tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a new local folder only where that is unset, as in tests."""
+    """df with its lineage cut: written as Parquet in spark.checkpoint.dir and read back, so that it has its true size too.
+
+    A new local folder is taken only where that setting is unset, as in tests.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="furrow-checkpoint-"))
-    return df.checkpoint()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = tempfile.mkdtemp(prefix="furrow-checkpoint-")
+        spark.sparkContext.setCheckpointDir(path)
+    path = f"{path.rstrip('/')}/furrow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
