@@ -145,7 +145,6 @@ def block_names(docs: DataFrame, block_bytes: int = 16384, most_local: int = 32
     cut = written(pick(docs, doc_id="long", text="string").mapInArrow(_cut(block_bytes, most_local), _LOCAL), "blocks")
     ids = cut.where("kind = 0").select("row_id", "doc_id", "sha")
     longest = cut.where("kind = 0").agg(F.max(F.size("refs"))).first()[0] or 1
-    # A one-block document needs no place for its block: its number's name is its identity.
     open_rows, level, done = checkpointed(_named(cut)), 0, None
     while True:
         ended = open_rows.where(F.size("names") == 1).select("row_id", F.lit(level).alias("level"), F.col("names")[0].alias("name"))
@@ -165,7 +164,8 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     one of the repeats stays. A null doc_id ranks below all others. Options: see block_names().
     """
     named = checkpointed(block_names(docs, **options))
-    best = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join deals out both sides itself and can split the rows of a large group.
+    best = checkpointed(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size")))
     return named.join(best, ["level", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
