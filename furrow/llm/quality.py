@@ -151,10 +151,7 @@ def quality_rules(
     rows = rows.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     rows = rows.withColumn("js_chars", F.when(some, F.least(*by_char, F.lit(2.0)))).withColumn("js_words", F.when(some, F.least(*by_word, F.lit(2.0))))
     far = (F.col("js_chars") > char_distance) | ((F.col("n_words") >= least_words_for_words) & (F.col("js_words") > word_distance))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("q_chars", "q_common")
-
-
-def kept_documents(judged: DataFrame) -> DataFrame:
-    """The rows of quality_rules() that are kept. The row number in the condition keeps the optimizer from moving it
-    below the projections, where each use of a text's words would split the text again."""
-    return judged.withColumn("q_row", F.monotonically_increasing_id()).where("kept and q_row >= 0").drop("q_row")
+    # The row number, never negative, keeps the optimizer from moving a filter on kept below the projections, where each use of a
+    # text's words would split the text again.
+    verdict = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)) & (F.monotonically_increasing_id() >= 0)
+    return rows.withColumn("kept", verdict).drop("q_chars", "q_common")
