@@ -681,11 +681,11 @@ def _(v):
     return lines.merge_lines(v.lines.where("col = 1").select("idx", "prj"), v.lines.where("col > 2").select("idx", "prj"))
 
 
-@query("merge_raw_points", "SELECT contour_id, n AS size, NULL::INT AS col FROM contours WHERE i = 1 AND col < 5 UNION ALL SELECT contour_id, n, col FROM contours WHERE i = 1 AND col >= 5 AND n > 3")
+@query("merge_raw_points", "SELECT contour_id, n AS size, 0 AS col FROM contours WHERE i = 1 AND col < 5 UNION ALL SELECT contour_id, n, col FROM contours WHERE i = 1 AND col >= 5 AND n > 3")
 def _(v):
     low = v.contours.where("col < 5").select("contour_id", "pts")
     high = v.contours.where("col >= 5").select("contour_id", "col", F.when(F.size("pts") > 3, F.col("pts")).alias("pts"))
-    return lines.merge_raw_points(low, high, coords="pts").select("contour_id", F.size("pts").cast("long").alias("size"), "col")
+    return lines.merge_raw_points(low, high, coords="pts").select("contour_id", F.size("pts").cast("long").alias("size"), F.coalesce("col", F.lit(0)).alias("col"))
 
 
 @query("line_vertices", "SELECT contour_id::VARCHAR AS contour_id, col::VARCHAR AS col, (i - 1)::INT AS vertex, x, y FROM contours")
