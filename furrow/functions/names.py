@@ -35,8 +35,9 @@ def relative_path(path: Column, drop: int = 2) -> Column:
     return F.array_join(F.slice(parts, F.lit(drop + 1), F.greatest(F.size(parts) - drop, F.lit(0))), "/")
 
 
-def project_stamp(ts: Column) -> Column:
-    return F.concat(F.lit("croprows_"), F.date_format(ts, "yyyyMMdd-HHmmss"))
+def project_stamp(ts: Column, prefix: str = "rows_") -> Column:
+    """A name of a run by its time; the prefix is free."""
+    return F.concat(F.lit(prefix), F.date_format(ts, "yyyyMMdd-HHmmss"))
 
 
 def epsg_code(text: Column) -> Column:

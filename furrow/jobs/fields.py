@@ -123,4 +123,4 @@ def run(pixels: DataFrame, projects: DataFrame, masks: DataFrame, p: Params = DE
     candidates = checkpointed(generate_lines(found, facts, field_angles))
     cleaned = lines.clean_tile_lines(candidates, tile_bounds(tiles, projects), ratio=p.extend_ratio, gap=p.min_row_gap_m, least=p.min_line_m)
     geometric, statistical, counts = build_rows(cleaned, masks, p)
-    return {"contours": found, "tile_angles": tile_angles, "field_angles": field_angles, "candidates": candidates, "tile_lines": cleaned, "croprows": geometric, "croprows_stat": statistical, "counts": counts}
+    return {"contours": found, "tile_angles": tile_angles, "field_angles": field_angles, "candidates": candidates, "tile_lines": cleaned, "rows": geometric, "rows_stat": statistical, "counts": counts}

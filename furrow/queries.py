@@ -341,7 +341,7 @@ def _(v):
     return v.table("pages").select("page_id", names.relative_path(F.col("url")).alias("path"))
 
 
-@query("project_stamp", "SELECT event_id, 'croprows_' || strftime(ts, '%Y%m%d-%H%M%S') AS stamp FROM events")
+@query("project_stamp", "SELECT event_id, 'rows_' || strftime(ts, '%Y%m%d-%H%M%S') AS stamp FROM events")
 def _(v):
     return v.table("events").select("event_id", names.project_stamp(F.col("ts")).alias("stamp"))
 

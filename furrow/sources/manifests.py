@@ -36,7 +36,7 @@ def result_manifest(counts: DataFrame, projects: DataFrame) -> DataFrame:
     at = lambda name: F.format_string(f"{name}/%s", "prj")
     met = counts.join(projects.select("prj", "epsg", F.col("mask").alias("vectormask")), "prj")
     return met.select(
-        "prj", at("croprows").alias("result"), at("buffers").alias("buffer"), at("tiles").alias("tile"), at("export").alias("export"), at("kml").alias("kml"), "epsg", "vectormask", "candidatelines", "resultinglines"
+        "prj", at("rows").alias("result"), at("buffers").alias("buffer"), at("tiles").alias("tile"), at("export").alias("export"), at("kml").alias("kml"), "epsg", "vectormask", "candidatelines", "resultinglines"
     )
 
 

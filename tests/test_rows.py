@@ -207,6 +207,6 @@ def test_striped_field_end_to_end(spark):
     masks = spark.createDataFrame([("p", [{"x": float(a), "y": float(b)} for a, b in ((999, 1999), (1021, 1999), (1021, 2021), (999, 2021), (999, 1999))])], "prj string, ring array<struct<x:double,y:double>>")
     out = fields.run(pixels, projects, masks, least_px=5.0)
     assert out["field_angles"].first()["angle_mean"] % 180 == pytest.approx(0, abs=1) or out["field_angles"].first()["angle_mean"] % 180 == pytest.approx(180, abs=1)
-    assert out["candidates"].count() == 10 and out["croprows"].count() == 9 and out["counts"].first()["candidatelines"] == 9
-    xs = sorted((r["x1"] + r["x2"]) / 2 for r in out["croprows"].collect())
+    assert out["candidates"].count() == 10 and out["rows"].count() == 9 and out["counts"].first()["candidatelines"] == 9
+    xs = sorted((r["x1"] + r["x2"]) / 2 for r in out["rows"].collect())
     assert all(1.5 < b - a < 2.5 for a, b in zip(xs, xs[1:]))
