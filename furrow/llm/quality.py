@@ -2,7 +2,7 @@
 
 DataFrame functions only, all of them within a row: no text, word or window is ever shuffled.
 
-A document's characters fall into seven classes and its words into a language's common words or the rest. The references
+A document's bytes fall into seven character classes and its words into a language's common words or the rest. The references
 are the same histograms summed over all documents of each language. Jensen-Shannon distances (base 2,
 0 to 1) to the nearest reference above a threshold reject a document long enough to tell.
 """
@@ -21,13 +21,12 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
 }
-#: Character classes as patterns; white space and all other characters follow.
+#: Character classes as patterns of one-byte characters. The further bytes of longer characters, white space and all other bytes follow.
 CLASSES = {
-    "upper": "[A-ZÀ-ÖØ-Þ]",
+    "upper": "[A-Z]",
     "digit": "[0-9]",
     "symbol": r"[#*$%&|<>]",
     "mark": r"[.,;:!?'\"()/\x2d]",
-    "wide": "[^\\x00-\\x7FÀ-ÖØ-Þ]",
 }
 ALL_COMMON = sorted({w for words in COMMON_WORDS.values() for w in words})
 
@@ -71,22 +70,24 @@ def _with_histograms(worded: DataFrame) -> DataFrame:
     """Adds `q_chars` (counts of the seven classes) and `q_common` (counts of ALL_COMMON, in order)."""
     sized = (
         worded.withColumn("q_word_chars", F.char_length(F.concat_ws("", "q_words")).cast("long"))
-        .withColumn("q_matched", F.filter("q_words", lambda w: w.isin(ALL_COMMON)))
+        .withColumn("q_marked", F.concat(F.lit("\x01"), F.array_join(F.filter("q_words", lambda w: w.isin(ALL_COMMON)), "\x02\x01"), F.lit("\x02")))
         .withColumn("q_classes", F.array(*[F.regexp_count("q_text", F.lit(p)).cast("long") for p in CLASSES.values()]))
     )
-    space = F.char_length("q_text").cast("long") - F.col("q_word_chars")
+    chars = F.char_length("q_text").cast("long")
+    space, wide = chars - F.col("q_word_chars"), F.octet_length("q_text").cast("long") - chars
     other = F.col("q_word_chars") - F.aggregate("q_classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    common = [(F.size("q_matched") - F.size(F.array_remove("q_matched", w))).cast("long") for w in ALL_COMMON]
-    return sized.withColumn("q_chars", F.concat("q_classes", F.array(space, other))).withColumn("q_common", F.array(*common))
+    # Each matched word stands between two marks in one text: the bytes that go when a word is replaced by nothing count it.
+    common = [((F.octet_length("q_marked") - F.octet_length(F.replace("q_marked", F.lit(f"\x01{w}\x02"), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in ALL_COMMON]
+    return sized.withColumn("q_chars", F.concat("q_classes", F.array(wide, space, other))).withColumn("q_common", F.array(*common))
 
 
 def language_references(docs: DataFrame) -> dict[str, tuple[list[int], list[int], int]]:
     """{language: (character counts, counts of ALL_COMMON, words)} over all documents of the languages of
     COMMON_WORDS: at most a row a language comes to the driver."""
     rows = _with_histograms(_with_words(docs.select("lang", "text").where(F.col("lang").isin(list(COMMON_WORDS)))))
-    sums = [F.sum(F.get("q_chars", i)).alias(f"c{i}") for i in range(len(CLASSES) + 2)] + [F.sum(F.get("q_common", i)).alias(f"w{i}") for i in range(len(ALL_COMMON))]
+    sums = [F.sum(F.get("q_chars", i)).alias(f"c{i}") for i in range(len(CLASSES) + 3)] + [F.sum(F.get("q_common", i)).alias(f"w{i}") for i in range(len(ALL_COMMON))]
     found = rows.groupBy("lang").agg(F.sum(F.size("q_words")).alias("n"), *sums).collect()
-    return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES) + 2)], [r[f"w{i}"] for i in range(len(ALL_COMMON))], r["n"]) for r in found if r["n"]}
+    return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES) + 3)], [r[f"w{i}"] for i in range(len(ALL_COMMON))], r["n"]) for r in found if r["n"]}
 
 
 def _shares(counts: list[int]) -> Column:

@@ -118,12 +118,12 @@ def _quality_sql() -> str:
             SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w_all,
                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, [{chars}] AS k FROM d),
         g AS (SELECT *, len(w_all) AS n_words, length(array_to_string(w_all, '')) AS word_chars FROM f),
-        h AS (SELECT *, list_concat(k, [length(t) - word_chars, word_chars - list_sum(k)]) AS c FROM g),
+        h AS (SELECT *, list_concat(k, [strlen(t) - length(t), length(t) - word_chars, word_chars - list_sum(k)]) AS c FROM g),
         l(lang, own) AS (VALUES {pick}),
         own AS (SELECT r, l.lang AS lang, {own} AS o FROM h, l),
         full_own AS (SELECT r, own.lang, list_concat(o, [n_words - list_sum(o)]) AS o FROM own JOIN h USING (r)),
         ref_c AS (SELECT lang, list(s ORDER BY i) AS rc FROM (
-            SELECT lang, i, sum(c[i]) AS s FROM h, range(1, {len(CLASSES) + 3}) x(i) WHERE lang IN (SELECT lang FROM l) GROUP BY lang, i) GROUP BY lang),
+            SELECT lang, i, sum(c[i]) AS s FROM h, range(1, {len(CLASSES) + 4}) x(i) WHERE lang IN (SELECT lang FROM l) GROUP BY lang, i) GROUP BY lang),
         ref_w AS (SELECT lang, list(s ORDER BY i) AS rw FROM (
             SELECT h.lang, i, sum(o[i]) AS s FROM h JOIN full_own ON h.r = full_own.r AND h.lang = full_own.lang, range(1, 14) x(i) GROUP BY h.lang, i) GROUP BY lang),
         js AS (
