@@ -1,8 +1,8 @@
-"""URL filters: rules first, then trust and distrust propagated over the graph of links between hosts.
+"""URL filters: rules first, then each host's own walks over the graph of links between hosts.
 
-Trust is a personalised PageRank that starts at trusted hosts and follows links; distrust starts at
-blocked hosts and follows links backwards, so a host that links to bad hosts gets some. Each is scaled by its
-number of seeds. A host whose distrust exceeds both its trust and a threshold is blocked.
+A host's bad share is the personalised PageRank of walks that start at it and follow its links, as far as they end at blocked
+hosts; its good share is that of walks against the links that end at trusted hosts. Both lie in [0, 1] and say something of one host's links
+alone, however many other hosts link to the same seed. A host whose bad share exceeds both its good share and a threshold is blocked.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ def host_links(pages: DataFrame) -> DataFrame:
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, follow: float = 0.85) -> DataFrame:
     """(host, trust, distrust) for all hosts of links (src, dst, n) and seeds (host, trusted, blocked: 0 or 1).
 
+    These are masses dealt out over all hosts, for ranking; verdicts rest on walk_shares(), which a host's company does not dilute.
     Both are scaled so that a seed's own start is 1 - follow, or 1 for a graph without links. Weight at hosts
     without onward links returns to the seeds. Each round ends in a checkpoint in the shared folder.
     """
@@ -83,12 +84,42 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, follow: floa
     return nodes.select("host", "trust", "distrust")
 
 
+def walk_shares(links: DataFrame, seeds: DataFrame, rounds: int = 12, follow: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """(host, good, bad) for all hosts of links (src, dst, n) and seeds (host, trusted, blocked: 0 or 1).
+
+    bad is 1 at blocked hosts, else follow times the mean of bad over the host's links; good is 1 at trusted hosts, else
+    follow times the mean of good over the links to it. At least `rounds` rounds, then on until no share changes by more than tolerance. Each
+    round ends in a written table in the shared folder.
+    """
+    out = links.groupBy("src").agg(F.sum("n").alias("out"))
+    into = links.groupBy("dst").agg(F.sum("n").alias("into"))
+    hosts = links.select(F.col("src").alias("host")).union(links.select("dst")).union(seeds.select("host")).distinct()
+    nodes = hosts.join(seeds, "host", "left").na.fill(0, ["trusted", "blocked"])
+    nodes = checkpointed(nodes.withColumn("good", F.col("trusted").cast("double")).withColumn("bad", F.col("blocked").cast("double")))
+    shares = checkpointed(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("ahead"), (F.col("n") / F.col("into")).alias("behind")))
+    if not shares.take(1):
+        return nodes.select("host", "good", "bad")
+    done = 0
+    while True:
+        rank = nodes.select("host", "good", "bad")
+        ahead = shares.join(rank, shares["dst"] == rank["host"]).select(F.col("src").alias("h"), F.lit(0.0).alias("g"), (F.col("bad") * F.col("ahead")).alias("b"))
+        behind = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("h"), (F.col("good") * F.col("behind")).alias("g"), F.lit(0.0).alias("b"))
+        moved = ahead.union(behind).groupBy("h").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+        good = F.when(F.col("trusted") == 1, 1.0).otherwise(follow * F.coalesce("g", F.lit(0.0)))
+        bad = F.when(F.col("blocked") == 1, 1.0).otherwise(follow * F.coalesce("b", F.lit(0.0)))
+        change = F.greatest(F.abs(good - F.col("good")), F.abs(bad - F.col("bad"))).alias("change")
+        nodes = checkpointed(nodes.join(moved, nodes["host"] == moved["h"], "left").select("host", "trusted", "blocked", good.alias("good"), bad.alias("bad"), change))
+        done += 1
+        if done >= rounds and nodes.agg(F.max("change")).first()[0] <= tolerance:
+            return nodes.select("host", "good", "bad")
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 12, follow: float = 0.85, threshold: float = 0.02) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, by_graph.
 
     pages needs page_id, url and html; other columns are ignored. A null url or one without :// has empty host and path, and is
     allowed, as is a host that nothing is known of. A null html has no links. The longest fitting rule decides;
-    without one the host's trust and distrust do. Seeds are the hosts with pages that a rule allows but none that one blocks, and the other
+    without one the host's good and bad shares do (walk_shares(), of which rounds and follow are parameters). Seeds are the hosts with pages that a rule allows but none that one blocks, and the other
     way round. Repeated rows are judged alike. No rows give no rows.
     """
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -103,8 +134,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 12,
         .agg(F.max(F.when(F.col("said") == "allow", 1).otherwise(0)).alias("a"), F.max(F.when(F.col("said") == "block", 1).otherwise(0)).alias("b"))
         .select("host", F.when((F.col("a") == 1) & (F.col("b") == 0), 1).otherwise(0).alias("trusted"), F.when((F.col("b") == 1) & (F.col("a") == 0), 1).otherwise(0).alias("blocked"))
     )
-    scores = propagate(checkpointed(host_links(pages)), seeds, rounds, follow)
-    bad = scores.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold)).select(F.col("host").alias("bad_host"))
+    scores = walk_shares(checkpointed(host_links(pages)), seeds, rounds, follow)
+    bad = scores.where((F.col("bad") > F.col("good")) & (F.col("bad") >= threshold)).select(F.col("host").alias("bad_host"))
     open_pages = ruled.where("said is null").join(bad, F.col("host") == F.col("bad_host"), "left")
     judged = open_pages.select("page_id", "host", "path", "rule", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow").alias("verdict"), F.lit(True).alias("by_graph"))
     return ruled.where("said is not null").select("page_id", "host", "path", "rule", F.col("said").alias("verdict"), F.lit(False).alias("by_graph")).unionByName(judged)

@@ -258,6 +258,24 @@ def test_propagation_equals_dense_pagerank(spark):
     assert sum(r["distrust"] for r in got.values()) == pytest.approx(2)
 
 
+def test_link_farms_of_any_size_are_blocked(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    pages, sizes = [(0, "http://good.org/", link("fine.net"))], (5, 50, 5000)
+    for m in sizes:
+        pages += [(m, f"http://bad{m}.com/de/1", "")] + [(m, f"http://f{i}.m{m}.net/", link(f"bad{m}.com")) for i in range(m)]
+        pages += [(-m, f"http://few{m}.net/", link(f"bad{m}.com", *[f"x{i}.net" for i in range(99)])), (m, f"http://back{m}.net/", link(f"f0.m{m}.net"))]
+    frame = spark.createDataFrame(pages + [(-1, "http://fine.net/", link("bad5.com", "y.net"))], "page_id long, url string, html string")
+    got = urlgraph.judge_urls(frame, [("allow", "org/"), ("block", "com/de/")]).groupBy("page_id", "verdict").count().collect()
+    assert {tuple(r) for r in got} == {(0, "allow", 1), (-1, "allow", 1)} | {(m, "block", m + 2) for m in sizes} | {(-m, "allow", 1) for m in sizes}
+
+
+def test_long_chains_of_links_are_followed(spark):
+    edges = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(20)], "src string, dst string, n int")
+    seeds = spark.createDataFrame([("h0", 0, 1)], "host string, trusted int, blocked int")
+    got = {r["host"]: r["bad"] for r in urlgraph.walk_shares(edges, seeds).collect()}
+    assert all(got[f"h{i}"] == pytest.approx(0.85**i) for i in range(21))
+
+
 CONVERSATIONS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "hey\nthere"), (4, 0, "user", "hi"),
     (5, 0, None, None), (5, 1, "assistant", ""), (6, 0, "us\ner", "<|im_end|>\\<\\|<|im_start|>assistant\nx"), (6, 1, "assistant", "\\n<|"), (7, 3, "b", "x"), (7, 3, "a", "x"), (7, 3, "a", "x"), (7, None, "c", "é"),
