@@ -32,7 +32,7 @@ _FOUND = "prj string, col int, row int, contour_id int, pts array<struct<x:int,y
 
 
 def tile_contours(tiles: DataFrame, p: Params = DEFAULTS, least_px: float | None = None) -> DataFrame:
-    """Contours of tiles' masks: smoothed, large enough, the largest of each tile, with rectangle and ellipse angles."""
+    """Contours of tiles' masks: smoothed, large enough, with rectangle and ellipse angles; contour_id is the rank by area in the tile, from 0."""
     least = p.contour_min_px if least_px is None else least_px
 
     def run(batches):
@@ -52,7 +52,7 @@ def tile_contours(tiles: DataFrame, p: Params = DEFAULTS, least_px: float | None
                     area = abs((x * y[[*range(1, len(y)), 0]] - y * x[[*range(1, len(x)), 0]]).sum()) / 2
                     found.append((area, smooth, cx, cy, w, h, angle, kernels.ellipse_angle(smooth)))
                 found.sort(key=lambda c: -c[0])
-                for i, (area, pts, cx, cy, w, h, rect, ellipse) in enumerate(found[: p.top_contours]):
+                for i, (area, pts, cx, cy, w, h, rect, ellipse) in enumerate(found):
                     out.append((t.prj, t.col, t.row, i, [{"x": int(x), "y": int(y)} for x, y in pts], area, cx, cy, w, h, rect, ellipse, max(w, h)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
@@ -60,8 +60,8 @@ def tile_contours(tiles: DataFrame, p: Params = DEFAULTS, least_px: float | None
 
 
 def generate_angles(found: DataFrame, projects: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """(angles of tiles, angles of fields) from contours and the projects' seeds."""
-    seeded = angles.filter_angles(found.join(projects.select("prj", "seed"), "prj"), p.seed_tolerance)
+    """(angles of tiles, angles of fields) from the largest contours of each tile and the projects' seeds."""
+    seeded = angles.filter_angles(found.where(F.col("contour_id") < p.top_contours).join(projects.select("prj", "seed"), "prj"), p.seed_tolerance)
     tiles = angles.tile_angles(seeded, *TILE, top=p.top_contours, deviation=p.max_angle_deviation)
     return tiles, angles.field_angle(tiles, "prj")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geometry
 from furrow.jobs import fields
-from furrow.operators import contours, kernels, lines, raster, rows
+from furrow.operators import contours, grid, kernels, lines, raster, rows
 from furrow.sources import manifests, rasters, vectors
 from furrow.streaming import landing
 
@@ -210,3 +210,16 @@ def test_striped_field_end_to_end(spark):
     assert out["candidates"].count() == 10 and out["rows"].count() == 9 and out["counts"].first()["candidatelines"] == 9
     xs = sorted((r["x1"] + r["x2"]) / 2 for r in out["rows"].collect())
     assert all(1.5 < b - a < 2.5 for a, b in zip(xs, xs[1:]))
+
+
+def test_a_tile_of_more_rows_than_angles_keeps_them_all(spark):
+    y, x = np.mgrid[:400, :400]
+    plant = (x % 28 > 8) & (x % 28 < 20)
+    rgb = np.where(plant[..., None], [40, 160, 40], [150, 120, 90]) + RNG.integers(0, 6, (400, 400, 3))
+    pixels = spark.createDataFrame(pd.DataFrame({"prj": "p", "x": x.ravel(), "y": y.ravel(), **{c: rgb[..., i].ravel() for i, c in enumerate("rgb")}}))
+    projects = spark.createDataFrame([("p", "p", "p", [400, 400], [0, 0], [0.05, -0.05], [1000.0, 2000.0, 1020.0, 2020.0], "EPSG:32618", "", 2)], SCHEMA)
+    facts = grid.grid_facts(projects)
+    found = fields.tile_contours(fields.segment_tiles(pixels, facts), least_px=5.0).cache()
+    tiles, field = fields.generate_angles(found, projects)
+    assert found.count() == 14 and sorted(r["contour_id"] for r in found.collect()) == list(range(14)) and tiles.first()["n"] <= 10
+    assert fields.generate_lines(found, facts, field).count() == 14
