@@ -6,7 +6,7 @@ the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import written
@@ -16,6 +16,7 @@ from furrow.llm.mixing import curriculum_mix, text_md5
 from furrow.llm.packing import harmonic_pack
 from furrow.llm.quality import quality_rules
 from furrow.llm.queries import tokenizer_files
+from furrow.llm.urlgraph import LOWER, UPPER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,23 +26,45 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs).where("kept").select(*COLUMNS)
 
 
+def _once(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
+    """One row of docs for each key in stay (key), a table of different keys; rows with one key are repeats of each other."""
+    met = docs.withColumn("p_key", key).join(stay.select(F.col("key").alias("p_stay")), F.col("p_key") == F.col("p_stay"))
+    repeat = F.row_number().over(Window.partitionBy("p_key").orderBy("source", "lang", "n_chars", "text"))
+    return met.withColumn("p_repeat", repeat).where("p_repeat = 1").select(*COLUMNS)
+
+
+def _with_id(sha: Column) -> Column:
+    """A digest of a text and its row's doc_id in one key that is never null."""
+    return F.concat_ws(":", sha, F.col("doc_id").cast("string"))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest doc_id."""
-    stay = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(stay.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of equal texts: one with the largest doc_id; null ranks below all others."""
+    stay = exact_dedup(docs).where("kept").select(_with_id(F.col("text_sha256")).alias("key"))
+    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).cast("binary")
+    return _once(docs, _with_id(F.sha2(low, 256)), stay)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links: the one with the smallest doc_id."""
-    stay = jaccard_classes(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(stay.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each component of links: one with the smallest doc_id; null ranks above all others. The join names rows by a
+    64-bit hash of doc_id and text, as a doc_id may be null or repeat with another text."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    classes = jaccard_classes(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("of"))
+    ids = docs.select(key.alias("row_key"), "doc_id").distinct()
+    met = classes.join(ids, F.col("key") == F.col("row_key"))
+    best = met.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
+    return _once(docs, key, best.select("x.key"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, in order of training position; a document that the mix takes in
-    part ends after the last word taken. The plan is made without texts, which join it by doc_id and MD5."""
-    plan = curriculum_mix(docs).select(F.col("doc_id").alias("id"), F.col("text_md5").alias("md5"), "size", F.explode("epochs").alias("e"))
-    taken = docs.join(plan.distinct(), F.col("doc_id").eqNullSafe(F.col("id")) & (text_md5(F.col("text")) == F.col("md5")))
+    part ends after the last word taken. The plan is made without texts, which join it by doc_id, source and MD5; rows alike in these
+    are repeats: one of them stands for all, once for each time that the plan takes any."""
+    named = F.md5(F.to_json(F.struct("doc_id", "source", "text_md5"), {"ignoreNullFields": "false"}))
+    plan = curriculum_mix(docs).select(named.alias("key"), "size", F.explode("epochs").alias("e"))
+    keyed = docs.withColumn("text_md5", text_md5(F.col("text"))).withColumn("p_key", named)
+    repeat = F.row_number().over(Window.partitionBy("p_key").orderBy("lang"))
+    taken = keyed.withColumn("p_repeat", repeat).where("p_repeat = 1").join(plan, F.col("p_key") == F.col("key"))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     part = F.array_join(F.slice(pieces, F.lit(1), F.col("e.words").cast("int")), "")
     whole = F.col("e.words") >= F.col("size")

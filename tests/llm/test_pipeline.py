@@ -58,3 +58,24 @@ def test_stages(spark, sf, con):
     for r in packed:
         by.setdefault(r["sequence_id"], []).append(r)
     assert all(sum(r["length"] for r in s) == max(r["offset"] + r["length"] for r in s) <= 2048 for s in by.values())
+
+
+def test_stages_with_repeated_rows_and_null_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(20))
+    near = text("n") + " end"
+    rows_ = [(1, text("a")), (1, text("a")), (1, text("A").lower()), (2, text("a").upper()), (None, text("a"))]  # one text
+    rows_ += [(None, text("b")), (None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (5, text("e"))]  # b, c, d, e
+    rows_ += [(7, text("n")), (8, near), (8, near), (None, near + " x"), (None, text("g")), (None, text("g") + " y"), (None, None), (9, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda got: sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    unique = order(corpus_pipeline.dedup(spark, frame, ""))
+    assert unique == sorted([(2, text("a").upper()), (None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (7, text("n")), (8, near), (None, near + " x"), (None, text("g")), (None, text("g") + " y"), (9, "")], key=repr)
+    words = frame.where("text <> ''")
+    different = order(corpus_pipeline.near_dedup(spark, words, ""))
+    assert [r for r in different if (r[1] or "")[:1] != "g"] == sorted([(1, text("a")), (None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (7, text("n"))], key=repr)
+    assert len([r for r in different if r[1][:1] == "g"]) == 1
+    mixed = corpus_pipeline.mix(spark, words, "").collect()
+    size = sum(len(t.split()) for _, t in rows_ if t)
+    assert abs(sum(len(r["text"].split()) for r in mixed) - 1.5 * size) <= 1
+    times = Counter((r["doc_id"], r["text"].split()[0]) for r in mixed)
+    assert times[(1, "aw0")] <= 6 and times[(None, "bw0")] <= 4 and all(n >= 1 for n in times.values()) and len(times) == len({(i, t.split()[0]) for i, t in rows_ if t})
