@@ -184,6 +184,19 @@ def test_quality_rules(spark):
     assert alone["js_chars"] is None and alone["n_repeat_words"] == alone["n_words"] and alone["base_failed"]
 
 
+def test_quality_rules_of_other_languages(spark):
+    rng = random.Random(7)
+    words = {"ru": "и в не на он что тот быть весь это как она по но они к у ты из мы за вы так же от сказать этот который мочь человек".split(), "pl": "i w nie na to że się z do jest jak po co ale tak za od przez który może ten był jego tylko już czy być tym".split()}
+    prose = lambda lang, k: " ".join(rng.choices(words[lang], weights=[30 - i for i in range(len(words[lang]))] if len(words[lang]) <= 30 else None, k=k)) + "."
+    rows = [(i, prose(lang, 180 if i % 3 else 40), lang) for i, lang in enumerate(["ru", "pl"] * 20)] + [(100 + i, "the house of the man is in a town and it was on %s " % i * 3, "en") for i in range(9)]
+    rows += [(200, prose("ru", 60), "xx"), (201, prose("ru", 60), None), (202, "#$%& 12 34 !! " * 1 + " ".join("#%d$%d" % (i, i * 7) for i in range(170)), "pl")]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [(i, got[i]["base_failed"], got[i]["js_chars"], got[i]["js_words"]) for i in range(40) if not got[i]["kept"]] == []
+    assert got[200]["kept"] and got[201]["kept"] and got[200]["js_chars"] is None and not got[202]["kept"] and not got[202]["base_failed"]
+    known = quality.language_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(known) == ["en", "pl", "ru"] and len(known["ru"][3]) == 12 and set(known["ru"][3]) <= set(words["ru"]) | {w + "." for w in words["ru"]}
+
+
 def der(tag, value):
     n = len(value)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + value
