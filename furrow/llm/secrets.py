@@ -1,8 +1,9 @@
 """Secret scans with structural confirmation.
 
-Patterns for assignments, access keys and long hex find the base spans. Beyond them, base64 and hex runs, armoured
+Patterns for assignments, access keys and long hex find the base spans. Beyond them, heads of keys in base64 and hex, armoured
 key blocks and dotted tokens are candidates only: each is decoded and its structure parsed, and a span is reported
-when a key encoding, its nested lengths or a signed token's header hold together.
+when a key encoding, its nested lengths or a signed token's header hold together. A head may stand anywhere in a run, and
+a key may go on over line ends, plain or escaped; its own lengths say where it stops.
 """
 
 from __future__ import annotations
@@ -24,8 +25,19 @@ KINDS = ("assign", "access", "hex", "armour", "der", "openssh", "token")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----).){16,}?)-----END \1-----", re.S)
+#: RFC 1421 headers of an encrypted key: the cipher's name and its start value.
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,\s*([0-9A-Fa-f]+)\s+")
+_HEADERS = re.compile(r"\A\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\n]+\n)*)+")
+_ESCAPED = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|([rnt/]))")
+_LINE_MARKS = re.compile(r"""["'][ \t]*[+.,;]?[ \t]*$|^[ \t>#*|]*["']?|\\$""", re.M)
+#: The first character of what may be a DER SEQUENCE, with what has to follow it on its line.
+_BASE64_HEAD = re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{14})")
+_HEX_HEAD = re.compile(r"3(?=0(?:[0-7][0-9a-fA-F]|8[1-4])[0-9a-fA-F]{28})")
+_OPENSSH_HEADS = re.compile(r"b3BlbnNzaC1rZXktdjEA|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100")
+_BASE64_RUN, _HEX_RUN = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9a-fA-F]+")
+#: From one line of a wrapped run to the next: line ends, plain or escaped, with the quotes and margins around them.
+_BREAK = re.compile(r"""(?:["'][ \t]*[+.,]?)?[ \t]*(?:\\+[rn]|\\?[\r\n])(?:\\+[rn]|\\?[\r\n]|["'][ \t]*[+.](?=\s)|[ \t"'>#*|])*""")
 _TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
 _OPENSSH = b"openssh-key-v1\0"
 
@@ -72,14 +84,24 @@ def der_items(data: bytes, depth: int = 0) -> list | None:
     return out
 
 
+def _is_encrypted_key(inside: list) -> bool:
+    """EncryptedPrivateKeyInfo: a SEQUENCE of an algorithm's OBJECT IDENTIFIER and parameters, and an OCTET STRING."""
+    if [tag for tag, _ in inside] != [0x30, 0x04] or len(inside[1][1]) < 16:
+        return False
+    algorithm = inside[0][1]
+    return [tag for tag, _ in algorithm] == [0x06, 0x30] and bool(algorithm[1][1])
+
+
 def is_der_key(data: bytes | None) -> bool:
-    """A private key: one SEQUENCE that starts with a small version INTEGER and holds key material."""
+    """A private key: one SEQUENCE that starts with a small version INTEGER and holds key material, or an encrypted one."""
     if not data or len(data) < 32 or data[0] != 0x30:
         return False
     items = der_items(data)
     if not items or len(items) != 1 or not isinstance(items[0][1], list):
         return False
     inside = items[0][1]
+    if _is_encrypted_key(inside):
+        return True
     if len(inside) < 2 or inside[0][0] != 0x02 or inside[0][1] not in (b"\0", b"\1"):
         return False
     numbers = sum(tag == 0x02 and len(value) >= 16 for tag, value in inside)
@@ -87,10 +109,10 @@ def is_der_key(data: bytes | None) -> bool:
     return numbers >= 4 or octets
 
 
-def is_openssh_key(data: bytes | None) -> bool:
-    """The openssh-key-v1 container: strings with four-byte lengths that fill it exactly."""
+def openssh_end(data: bytes | None) -> int | None:
+    """The length of the openssh-key-v1 container that data starts with: strings with four-byte lengths; None without one."""
     if not data or not data.startswith(_OPENSSH):
-        return False
+        return None
     at = len(_OPENSSH)
 
     def string() -> bytes | None:
@@ -104,10 +126,84 @@ def is_openssh_key(data: bytes | None) -> bool:
         return data[at - length : at]
 
     if any(string() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 0 < keys < 100 and all(string() is not None for _ in range(keys + 1)) and at == len(data)
+    return at if 0 < keys < 100 and all(string() is not None for _ in range(keys + 1)) else None
+
+
+def is_openssh_key(data: bytes | None) -> bool:
+    """The openssh-key-v1 container, which fills data exactly."""
+    return bool(data) and openssh_end(data) == len(data)
+
+
+def is_armoured_key(body: str) -> bool:
+    """What stands between the lines of an armour: a key's encoding, after headers if there are any, or, after those of
+    an encrypted key, whole blocks of its cipher. Line ends may be escaped, lines may be quoted."""
+    body = _ESCAPED.sub(lambda m: chr(int(m[1], 16)) if m[1] else "/" if m[2] == "/" else "\n", body)
+    body = _LINE_MARKS.sub("", body)
+    m = _ENCRYPTED.search(body)
+    if m:
+        data = decode_base64(body[m.end() :])
+        return bool(data) and len(m[1]) in (16, 32) and len(data) >= 32 and len(data) % (len(m[1]) // 2) == 0
+    data = decode_base64(_HEADERS.sub("", body))
+    return is_der_key(data) or is_openssh_key(data)
+
+
+def _der_length(head: bytes) -> int | None:
+    """The whole length of the SEQUENCE that starts with head (12 bytes or more), if a version or a SEQUENCE is first in it."""
+    n = head[1] & 0x7F if head[1] > 0x80 else 0
+    if head[0] != 0x30 or head[1] == 0x80 or n > 4:
+        return None
+    inside = head[2 + n :]
+    if inside[0] != 0x30 and inside[:3] not in (b"\2\1\0", b"\2\1\1"):
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _wrapped(text: str, at: int, run: re.Pattern, most: int) -> tuple[str, int]:
+    """At most so many characters of a run from at on, which may go on over line ends, and where they stop."""
+    out, left, end = [], most, at
+    while left:
+        m = run.match(text, at, at + left)
+        if not m:
+            break
+        out.append(m[0])
+        left, end = left - len(m[0]), m.end()
+        gap = _BREAK.match(text, end) if left else None
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(out), end
+
+
+def _decoded(run: str, of_hex: bool) -> bytes | None:
+    return bytes.fromhex(run[: len(run) // 2 * 2]) if of_hex else decode_base64(run[: len(run) - (len(run) % 4 == 1)])
+
+
+def key_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64 or hex, found by their heads. A key's inner parts, which may look like keys, are not reported."""
+    found = []
+    for head, run, of_hex in (_BASE64_HEAD, _BASE64_RUN, False), (_HEX_HEAD, _HEX_RUN, True):
+        last = 0
+        for m in head.finditer(text):
+            at = m.start()
+            length = _der_length(_decoded(text[at : at + (32 if of_hex else 16)], of_hex)) if at >= last else None
+            most = 0 if length is None else 2 * length if of_hex else -(-length * 4 // 3)
+            if not 0 < most <= len(text) - at:
+                continue
+            key, end = _wrapped(text, at, run, most)
+            if len(key) == most and is_der_key(_decoded(key, of_hex)):
+                found.append((at, end, "der", of_hex))
+                last = end
+    for m in _OPENSSH_HEADS.finditer(text):
+        of_hex = m[0][0] == "6"
+        run = _HEX_RUN if of_hex else _BASE64_RUN
+        length = openssh_end(_decoded(_wrapped(text, m.start(), run, len(text))[0], of_hex))
+        if length:
+            found.append((m.start(), _wrapped(text, m.start(), run, 2 * length if of_hex else -(-length * 4 // 3))[1], "openssh", of_hex))
+    padded = lambda end: end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+    return [(at, end if of_hex else padded(end), kind) for at, end, kind, of_hex in found]
 
 
 def is_signed_token(header: str, payload: str, signature: str) -> bool:
@@ -131,21 +227,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN " in text:
         for m in _ARMOUR.finditer(text):
-            data = decode_base64(m[2])
-            if is_der_key(data) or is_openssh_key(data):
+            if is_armoured_key(m[2]):
                 out.append((m.start(), m.end(), "armour"))
     if "eyJ" in text:
         out += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
-    for m in _BASE64.finditer(text):
-        run = m[0]
-        forms = [decode_base64(run)]
-        if re.fullmatch(r"(?:[0-9a-fA-F]{2})+", run):
-            forms.append(bytes.fromhex(run))
-        if any(is_der_key(x) for x in forms):
-            out.append((m.start(), m.end(), "der"))
-        elif any(is_openssh_key(x) for x in forms):
-            out.append((m.start(), m.end(), "openssh"))
-    return out
+    return out + key_spans(text)
 
 
 def _joined(spans) -> str:

@@ -223,6 +223,39 @@ def test_secret_scan(spark):
     assert secrets.is_openssh_key(ssh) and not secrets.is_openssh_key(ssh + b"x") and not secrets.is_der_key(key[:-1])
 
 
+def test_secret_scan_of_real_key_forms(spark):
+    rng = random.Random(3)
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, b"\x01" + rng.randbytes(64)) for _ in range(8)))
+    kdf = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(4, rng.randbytes(8)) + der(2, b"\x08\0")))
+    locked = der(0x30, kdf + der(4, rng.randbytes(640)))
+    digest = der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + der(5, b"")) + der(4, rng.randbytes(32)))
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (rng.randbytes(51), rng.randbytes(130)))
+    wrap = lambda x, n, end="\n": end.join(x[i : i + n] for i in range(0, len(x), n))
+    b64 = lambda x: base64.b64encode(x).decode()
+    armour = lambda kind, body, end="\n": f"-----BEGIN {kind}-----{end}{body}{end}-----END {kind}-----"
+    dek = "Proc-Type: 4,ENCRYPTED%sDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF%s" % ("\n", "\n\n")
+    whole = {  # the whole text is the span
+        "armour": [
+            armour("ENCRYPTED PRIVATE KEY", wrap(b64(locked), 64)), armour("RSA PRIVATE KEY", dek + wrap(b64(rng.randbytes(608)), 64)), armour("RSA PRIVATE KEY", wrap(b64(key), 64, "\\n"), "\\n"),
+            armour("RSA PRIVATE KEY", (dek + wrap(b64(rng.randbytes(608)), 64)).replace("\n", "\\n"), "\\n"), armour("OPENSSH PRIVATE KEY", wrap(b64(ssh), 70, "\\r\\n"), "\\r\\n"), armour("RSA PRIVATE KEY", "Comment: mine\n\n" + wrap(b64(key), 64)),
+            armour("PRIVATE KEY", wrap(b64(key), 64, '\\n" +\n    "'), '\\n" +\n    "'),
+        ],
+        "der": [wrap(b64(key), 64), wrap(b64(locked), 76, "\r\n"), wrap(key.hex(), 64), wrap(key.hex().upper(), 76, "\\n"), wrap(base64.urlsafe_b64encode(key).decode(), 64, "\n  ")],
+        "openssh": [wrap(b64(ssh), 70), wrap(ssh.hex(), 64)],
+    }
+    rows = [(kind, x) for kind, texts in whole.items() for x in texts]
+    rows += [("der", "\0" + glue + "\0" + x) for glue in ("a", "/", "_", "-", "xy", "key_") for x in (b64(key), b64(locked))] + [("der", "\0a\0" + key.hex()), ("openssh", "\0x/\0" + b64(ssh)), ("der", b64(key).rstrip("=") + "\0.tail\0")]
+    bad = [b64(digest), wrap(b64(key[:-9]), 64), wrap(b64(rng.randbytes(900)), 64), armour("RSA PRIVATE KEY", dek + b64(rng.randbytes(605))), armour("PRIVATE KEY", wrap(b64(rng.randbytes(600)), 64)), b64(ssh[:-3])]
+    texts = [x.replace("\0", "") for _, x in rows] + bad
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, list(enumerate(texts)))).collect()}
+    for i, (kind, x) in enumerate(rows):
+        parts = x.split("\0")
+        start = len(parts[1]) if len(parts) == 3 and not parts[0] else 0
+        end = len(parts[0]) if len(parts) == 3 and parts[0] else len(texts[i])
+        assert f"{kind}:{start}:{end}" in got[i]["spans"].split(","), (i, kind, got[i]["spans"])
+    assert [got[len(rows) + i]["n_confirmed"] for i in range(len(bad))] == [0] * len(bad)
+
+
 def test_languages(spark):
     words = {"aa": "alpha beta gamma delta epsilon", "bb": "uno dos tres cuatro cinco", "cc": "слово дом река поле лес"}
     rng = random.Random(2)
