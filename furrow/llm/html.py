@@ -18,15 +18,37 @@ from furrow.llm.common import as_text
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)|()(noscript|template|svg|iframe|textarea|select|title|head)(?=[\s/>])([^>]*))>"
     r"|<[!?/][^>]*>"
     r"|[^<]+|<",
     re.S | re.I,
 )
 #: Elements that flow inside a block of text; all others end one.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements kept on the stack for what they say of the text in them.
+#: Elements skipped with all in them, up to their end tag. One that closes itself, or has no end tag, is skipped alone.
+_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg iframe textarea select title".split()}
+#: What a head may hold; anything else ends it, as its end tag may be left out.
+_HEAD_TAGS = frozenset("head title meta link base basefont bgsound noframes noscript template".split())
+_VOID = frozenset("area base basefont bgsound br col embed hr input link meta param source track".split())
+#: Elements that aren't blocks: classes of a whole page don't tell furniture.
+_PAGE = frozenset("html body head".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose start tag ends an open p.
+_END_P = _HEADINGS | frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+#: Elements whose start tag ends open ones (the first set), as far up as an element of the second.
+_IMPLIED = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu dir table td th".split())),
+    **dict.fromkeys(("dt", "dd"), (frozenset("dt dd".split()), frozenset("dl table td th".split()))),
+    **dict.fromkeys(("td", "th"), (frozenset("td th".split()), frozenset("tr table".split()))),
+    "tr": (frozenset("tr td th caption".split()), frozenset("table".split())),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset("thead tbody tfoot tr td th caption".split()), frozenset(["table"]))),
+    **dict.fromkeys(_HEADINGS, (_HEADINGS, frozenset("article aside blockquote body dd div dl fieldset figure footer form header li main nav ol section table td th ul".split()))),
+}
+_P_BOUNDS = frozenset("button caption table td th".split())
+#: As far up as an end tag of an element that is no holder looks for its start tag.
+_END_BOUNDS = {"p": _P_BOUNDS, "li": _IMPLIED["li"][1], "dt": _IMPLIED["dt"][1], "dd": _IMPLIED["dd"][1]}
+#: Elements kept on the stack for what they say of the text in them, besides all other blocks.
 _HOLDERS = frozenset("article main nav header footer aside form section div ul ol dl table menu dialog figure button fieldset".split())
 _BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 #: Words of class, id and role that name page furniture.
@@ -113,12 +135,13 @@ def classify(tree, features) -> bool:
     return tree >= 0.5
 
 
-def _names_boiler(attributes: str) -> bool:
+def _names_boiler(attributes: str, allowed: frozenset = frozenset()) -> bool:
+    """Whether class, id or role name page furniture, by other words than those allowed."""
     if "=" not in attributes:
         return False
     for found in _NAMES.findall(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found))
-        if not _BOILER_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
+        if not (_BOILER_NAMES - allowed).isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
             return True
     return False
 
@@ -138,36 +161,81 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 out.append((text, words, min(linked, words), inside, boiler))
         held, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
+    def end(tags: frozenset, bounds: frozenset):
+        """Takes the outermost open one of tags within the nearest of bounds, and all in it, from the stack."""
+        last = None
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in bounds:
+                break
+            if stack[i][0] in tags:
+                last = i
+        if last is not None:
+            del stack[last:]
+
+    at, in_head, title_open, without_end = 0, False, False, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        tag = m[3] or m[6]
         if tag is None:
             text = m[0]
             if m[1] is not None:
                 flush()
             elif text[0] != "<" or text == "<":
+                if in_head and (title_open or not text.strip()):
+                    continue
+                in_head = False
                 held.append(text)
                 if anchor:
                     linked += len(text.split())
             continue
-        tag = tag.lower()
+        tag, closing, attributes = tag.lower(), m[2], m[4] if m[3] else m[7]
+        title_open = False
+        if tag == "head":
+            in_head = not closing
+        elif tag not in _HEAD_TAGS:
+            in_head = False
+        if tag in _SKIPPED and not closing:
+            flush()
+            if not attributes.endswith("/") and tag not in without_end:
+                found = _SKIPPED[tag].search(page, at)
+                if found:
+                    at = found.end()
+                    continue
+                without_end.add(tag)
+            title_open = tag == "title" and in_head
+            continue
         if tag in _INLINE:
             if tag == "a":
-                anchor = 0 if m[2] else 1
+                anchor = 0 if closing else 1
             continue
         flush()
-        if tag not in _HOLDERS:
+        if tag in _PAGE or tag in _SKIPPED:
             continue
-        if m[2]:
+        holder = tag in _HOLDERS
+        if closing:
+            bounds = _END_BOUNDS.get(tag, frozenset())
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i][0] == tag or (tag in _HEADINGS and stack[i][0] in _HEADINGS):
                     del stack[i:]
                     break
-            anchor = 0
-        elif not m[4].endswith("/"):
-            _, boiler, inside = stack[-1] if stack else ("", False, False)
-            inside = inside or tag in ("article", "main")
-            boiler = boiler or tag in _BOILER_TAGS or (tag == "header" and not inside) or _names_boiler(m[4])
-            stack.append((tag, boiler, inside))
+                if stack[i][0] in bounds or (not holder and stack[i][0] == "table" and tag != "table"):
+                    break
+            if holder:
+                anchor = 0
+            continue
+        if tag in _END_P:
+            end(frozenset(["p"]), _P_BOUNDS)
+        if tag in _IMPLIED:
+            end(*_IMPLIED[tag])
+        if tag in _VOID or attributes.endswith("/"):
+            continue
+        _, boiler, inside = stack[-1] if stack else ("", False, False)
+        inside = inside or tag in ("article", "main")
+        # A header of a table or a heading is no page furniture.
+        named = _names_boiler(attributes) if holder else _names_boiler(attributes, frozenset(["header"]))
+        boiler = boiler or tag in _BOILER_TAGS or (tag == "header" and not inside) or named
+        stack.append((tag, boiler, inside))
     flush()
     return out
 

@@ -357,6 +357,28 @@ def test_prefix_tree_round_trip(spark, tokenizer):
     assert empty.count() == 0 and chat.read_back(empty, none).count() == 0
 
 
+def test_html_with_tags_left_out(spark):
+    body = "".join(f"<p>This is the sentence number {i} of a text that is long enough to be read as one.</p>" for i in range(4))
+    text = " ".join(f"This is the sentence number {i} of a text that is long enough to be read as one." for i in range(4))
+    more = "And then the text goes on for one more sentence that has to be kept."
+    whole = [
+        f"<head><title>t</title><body><article>{body}</article>", f"<html><head><meta charset=utf-8><title>t</title><article>{body}</article>", f"<head><title>t<body><article>{body}</article>", f"<head><title>a <b></title></head><body>{body}",
+        f"<head><title>t</title><noscript><p>no</p></noscript>{body}", f"<head-line>{body}</head-line>",
+    ]
+    after = [
+        f"<article>{body}<svg viewBox='0 0 9 9'/><p>{more}</p></article>", f"<article>{body}<iframe src=x /><p>{more}</p></article>", *[f"<article>{body}<{t} a=b><p>{more}</p></article>" for t in ("svg", "iframe", "select", "template", "noscript")],
+        f"<article>{body}<svg><title>no</title></svg><p>{more}</article>", f"<article>{body}<p class=ad>Buy this thing now, it is on sale today only.<p>{more}</article>",
+        *[f"<article>{body}<{t} class='x {c}'>Someone said here that this was so good, and buy more of it.</{t}><p>{more}</article>" for t, c in (("p", "ad"), ("p", "notice"), ("blockquote", "comment"), ("h3", "related"), ("pre", "promo"), ("my-box", "sponsor"))],
+        f"<article>{body}<ul><li class=comment>I like this a lot, says a reader of it.<ul><li>And I do not like it, says one more.</ul>So do I, says a third reader of it.<li>{more}</ul></article>",
+        f"<article>{body}<table><tr><td class=ad>Buy this thing now, it is on sale today only.<td>{more}</table></article>", f"<body class='has search sidebar'><article>{body}<p class=header>{more}</p></article>",
+    ]
+    rows = [(i, "u", x) for i, x in enumerate(whole + after)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in range(len(whole)) if got[i] != text] == []
+    assert [(x, got[len(whole) + i]) for i, x in enumerate(after) if got[len(whole) + i] != f"{text} {more}"] == []
+    assert html.blocks("<svg>" * 200000 + "x")[0][0] == "x"
+
+
 def test_html_main_text(spark):
     page = (
         '<html><head><title>T</title><script>var a="</p>";</script></head><body><header><p>Site name and slogan of it</p></header><nav><ul><li><a href=/x>Home</a></li></ul></nav><!-- <p>no</p> -->'
