@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a new one only where unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a new one only where unset, in local mode. On a cluster
+    an unset folder is an error: tables in folders of single machines can't be read back."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="furrow-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -26,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df: write it as Parquet in the shared folder and read it back."""
+    """Cut the lineage of df: write it as Parquet in the shared folder, inside the scratch folder in use if there is one, and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/furrow-{uuid.uuid4().hex}/{name}"
+    return _written(df, f"{_scratch.get() or shared_dir(spark)}/furrow-{uuid.uuid4().hex}/{name}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -39,6 +50,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return written(df, "step")
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A folder for the tables written inside the block, removed at its end. Yields a function that writes a result which stays; what
+    leaves the block must have gone through it."""
+    folder = f"{shared_dir(spark)}/furrow-{uuid.uuid4().hex}"
+    outside = _scratch.get()
+    token = _scratch.set(folder)
+    try:
+        yield lambda df, name="result": _written(df, f"{outside or shared_dir(spark)}/furrow-{uuid.uuid4().hex}/{name}")
+    finally:
+        _scratch.reset(token)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder with all in it, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast to the given types: extra columns with clashing names do no harm."""
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
