@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import checkpointed, pick, written
+from furrow.llm.common import checkpointed, pick, scratch, written
 
 _LOCAL = "kind int, row_id long, doc_id long, sha string, refs array<long>, ref long, block binary"
 _LOCAL_ARROW = pa.schema(
@@ -161,16 +161,21 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row_id.
 
     Of equal texts the row with the largest doc_id stays; if that doc_id repeats with an equal text,
-    one of the repeats stays. A null doc_id ranks below all others. Options: see block_names().
+    one of the repeats stays. A null doc_id ranks below all others. The result is a written table of one narrow row a document
+    (see common.scratch). Options: see block_names().
     """
-    named = checkpointed(block_names(docs, **options))
-    # Written, so that the join deals out both sides itself and can split the rows of a large group.
-    best = checkpointed(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size")))
-    return named.join(best, ["level", "name"]).select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row_id") == F.col("best.row_id")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        "row_id",
-    )
+    with scratch(docs.sparkSession) as result:
+        named = checkpointed(block_names(docs, **options))
+        # Written, so that the join deals out both sides itself and can split the rows of a large group.
+        best = checkpointed(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size")))
+        met = named.join(best, ["level", "name"])
+        return result(
+            met.select(
+                "doc_id",
+                F.col("best.doc_id").alias("keep_id"),
+                "group_size",
+                (F.col("row_id") == F.col("best.row_id")).alias("kept"),
+                F.col("sha").alias("text_sha256"),
+                "row_id",
+            )
+        )

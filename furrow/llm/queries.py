@@ -78,7 +78,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    mixed = curriculum_mix(_table(spark, sf_dir, "documents"))
+    positions = [F.round(F.get("epochs", F.lit(e))["position"], 6).alias(name) for e, name in enumerate(("position", "position_again"))]
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", *positions)
 
 
 QUERIES = {
@@ -205,7 +207,8 @@ ORACLE_SQL = {
                 len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
         s AS (
             SELECT source, sum(size)::DOUBLE AS n,
-                [3.0, 1.0, 2.0][1 + ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3)::INT]::DOUBLE AS w FROM d GROUP BY source),
+                [3.0, 1.0, 2.0][1 + ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3)::INT]::DOUBLE AS w,
+                [-0.5, 0.0, 0.5][1 + ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3)::INT]::DOUBLE AS slope FROM d GROUP BY source),
         fill(round, free, level) AS (
             SELECT 0, sum(w), 1.5 * sum(n) / sum(w) FROM s
             UNION ALL
@@ -214,10 +217,15 @@ ORACLE_SQL = {
                     (SELECT sum(2 * n) FROM s WHERE f.level * w > 2 * n) AS capped,
                     (SELECT sum(w) FROM s WHERE f.level * w <= 2 * n) AS free FROM fill f WHERE f.round < 100) x
             WHERE x.capped IS NOT NULL AND x.free IS NOT NULL AND (x.due - x.capped) / x.free > x.level),
-        t AS (SELECT source, n, least(2 * n, w * (SELECT max(level) FROM fill)) AS target FROM s),
-        c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM d)
-        SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(target, 6) AS target,
-            CAST(least(size, greatest(0, floor(target) - c)) + least(size, greatest(0, floor(target) - c - n)) AS BIGINT) AS taken
-        FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+        t AS (SELECT source, n, slope, least(2 * n, w * (SELECT max(level) FROM fill)) AS target FROM s),
+        c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM d),
+        e AS (
+            SELECT *, least(size, greatest(0, floor(target) - c)) AS first_words, least(size, greatest(0, floor(target) - c - n)) AS more_words,
+                least(1.0, c / target) AS first_due, least(1.0, (c + n) / target) AS more_due
+            FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(target, 6) AS target, CAST(first_words + more_words AS BIGINT) AS taken,
+            CASE WHEN first_words > 0 THEN round(2 * first_due / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * first_due)), 6) END AS position,
+            CASE WHEN more_words > 0 THEN round(2 * more_due / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * more_due)), 6) END AS position_again
+        FROM e
     """,
 }
