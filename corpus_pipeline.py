@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import written
+from furrow.llm.common import scratch
 from furrow.llm.dedup import exact_dedup
 from furrow.llm.jaccard import jaccard_classes
-from furrow.llm.mixing import curriculum_mix, text_md5
+from furrow.llm.mixing import curriculum_mix, in_order, text_md5
 from furrow.llm.packing import harmonic_pack
 from furrow.llm.quality import quality_rules
 from furrow.llm.queries import tokenizer_files
@@ -59,7 +59,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, in order of training position; a document that the mix takes in
     part ends after the last word taken. The plan is made without texts, which join it by doc_id, source and MD5; rows alike in these
-    are repeats: one of them stands for all, once for each time that the plan takes any."""
+    are repeats: one of them stands for all, once for each time that the plan takes any. Null ids, sources and texts match theirs; a text
+    without words is not taken. No rows give no rows."""
     named = F.md5(F.to_json(F.struct("doc_id", "source", "text_md5"), {"ignoreNullFields": "false"}))
     plan = curriculum_mix(docs).select(named.alias("key"), "size", F.explode("epochs").alias("e"))
     keyed = docs.withColumn("text_md5", text_md5(F.col("text"))).withColumn("p_key", named)
@@ -75,8 +76,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "source",
         F.when(whole, F.col("n_chars")).otherwise(F.char_length(part).cast("long")).alias("n_chars"),
         F.col("e.position").alias("position"),
+        F.col("e.demand").alias("demand"),
     )
-    return out.orderBy("position", "doc_id").select(*COLUMNS)
+    return in_order(out, F.col("demand"), "position", "doc_id").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,10 +99,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"stage{i}")
-    return docs
+    """All stages over documents: the rows of the last one. No documents give no rows."""
+    return _after(len(STAGES), spark, sf_dir)
+
+
+def _after(n: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows after n stages, written. The table of the stage before goes with the scratch folder when they are."""
+    if not n:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch(spark) as result:
+        return result(STAGES[n - 1][1](spark, _after(n - 1, spark, sf_dir), sf_dir))
