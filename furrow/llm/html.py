@@ -1,14 +1,16 @@
 """HTML extraction from flat text blocks.
 
-A page becomes a flat list of text blocks. Each has a word count, a link density, those of its two neighbours, and two
+A page becomes a flat list of text blocks. Each has a word count, a link density, those of its two neighbours, and three
 hints of the markup around it. A decision tree trained on the small labelled table below tells content from
-the rest; content blocks are joined in page order.
+the rest; content blocks are joined in page order. Where the markup says nothing the sizes and links decide; where it does they
+yield to it, as an advert or a reader's comment may read like prose.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +18,15 @@ from pyspark.sql import DataFrame
 
 from furrow.llm.common import as_text
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)|()(noscript|template|svg|iframe|textarea|select|title|head)(?=[\s/>])([^>]*))>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: What may end a tag or hide its end.
+_STOP = re.compile(r"""[<>"']""")
 #: Elements that flow inside a block of text; all others end one.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements skipped with all in them, up to their end tag. One that closes itself, or has no end tag, is skipped alone.
 _SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg iframe textarea select title".split()}
+#: Elements of no text at all; without an end tag they go on to the end of the page.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 #: What a head may hold; anything else ends it, as its end tag may be left out.
 _HEAD_TAGS = frozenset("head title meta link base basefont bgsound noframes noscript template".split())
 _VOID = frozenset("area base basefont bgsound br col embed hr input link meta param source track".split())
@@ -59,53 +58,32 @@ _BOILER_NAMES = frozenset(
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "outside", "boiler")
-#: The labelled table: FEATURES, then 1 for content. inside: in an article or main element; outside: elsewhere on a page that has one;
-#: boiler: an element or name around the block marks page furniture.
-LABELLED = (
-    (12, 0.0, 0, 0.0, 80, 0.0, 1, 0, 0, 1),
-    (80, 0.0, 12, 0.0, 45, 0.02, 1, 0, 0, 1),
-    (45, 0.02, 80, 0.0, 1, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 45, 0.0, 2, 0.0, 1, 0, 0, 1),
-    (2, 0.0, 1, 0.0, 150, 0.1, 1, 0, 0, 1),
-    (150, 0.1, 2, 0.0, 6, 1.0, 1, 0, 0, 1),
-    (6, 1.0, 150, 0.1, 30, 0.0, 1, 0, 0, 1),
-    (30, 0.0, 6, 1.0, 5, 0.2, 1, 0, 0, 1),
-    (3, 0.0, 0, 0.0, 1, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 1, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0),
-    (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0),
-    (25, 0.0, 1, 1.0, 60, 0.0, 0, 1, 1, 0),
-    (40, 0.0, 60, 0.0, 35, 0.0, 1, 0, 1, 0),
-    (60, 0.05, 40, 0.0, 20, 0.1, 0, 0, 1, 0),
-    (120, 0.0, 30, 0.0, 90, 0.0, 0, 1, 1, 0),
-    (8, 0.0, 90, 0.0, 0, 0.0, 0, 1, 1, 0),
-    (8, 0.2, 150, 0.0, 0, 0.0, 0, 0, 1, 0),
-    (18, 0.5, 10, 0.5, 12, 0.4, 1, 0, 1, 0),
-    (3, 0.0, 20, 0.0, 20, 0.0, 1, 0, 1, 0),
-    (15, 0.0, 1, 1.0, 70, 0.0, 0, 1, 0, 0),
-    (7, 0.1, 80, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (55, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (30, 0.9, 5, 1.0, 10, 1.0, 0, 1, 0, 0),
-    (90, 0.0, 10, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (35, 0.1, 60, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 4, 0.0, 30, 0.1, 0, 0, 0, 1),
-    (18, 0.05, 40, 0.0, 5, 1.0, 0, 0, 0, 1),
-    (6, 0.0, 2, 1.0, 70, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 60, 0.0, 80, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 35, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (5, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0, 0),
-    (14, 0.8, 6, 0.9, 9, 1.0, 0, 0, 0, 0),
-    (40, 0.7, 12, 0.9, 20, 0.8, 0, 0, 0, 0),
-    (3, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
-    (6, 0.3, 70, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
-)
 
+#: Neighbours of blocks in the labelled table: (words, link density) of the block before and of the one after; zeros where there is none.
+_NOTHING, _LONG, _PLAIN, _SHORT, _LINKS, _LINKED = (0, 0.0), (90, 0.02), (35, 0.0), (4, 0.0), (2, 1.0), (30, 0.8)
+_AROUND_TEXT = ((_NOTHING, _NOTHING), (_NOTHING, _LONG), (_LONG, _NOTHING), (_LONG, _PLAIN), (_PLAIN, _PLAIN), (_SHORT, _LONG), (_PLAIN, _SHORT), (_SHORT, _SHORT), (_LINKS, _PLAIN), (_LONG, _LINKS), (_LINKS, _LINKS), (_SHORT, _NOTHING), (_LINKED, _SHORT))
+_AROUND_BIT = ((_LONG, _LONG), (_PLAIN, _PLAIN), (_LONG, _SHORT), (_SHORT, _LONG), (_NOTHING, _PLAIN), (_LONG, _NOTHING), (_PLAIN, _LINKS), (_LINKS, _PLAIN), (_LINKS, _LONG))
+_AROUND_CRUMB = ((_LINKS, _LINKS), (_NOTHING, _LINKS), (_LINKS, _NOTHING), (_SHORT, _LINKS), (_LINKS, _SHORT), (_LINKED, _LINKS), (_SHORT, _SHORT))
+_ANYWHERE = (_AROUND_TEXT[1], _AROUND_TEXT[3], _AROUND_BIT[2], _AROUND_BIT[7], _AROUND_CRUMB[0], _AROUND_CRUMB[6])
+_ANY_SIZE = ((1, 0.0), (9, 0.0), (13, 0.05), (60, 0.05), (7, 1.0), (40, 0.7))
+#: The labelled table: blocks of pages, without a word of markup around them and with, as (words and link densities, neighbours, hints as
+#: in FEATURES, 1 for content). inside: in an article or main element; outside: elsewhere on a page that has one; boiler: an element or name
+#: around the block marks page furniture.
+_CASES = (
+    (((15, 0.0), (25, 0.1), (60, 0.0), (150, 0.05), (200, 0.25)), _AROUND_TEXT, (0, 0, 0), 1),  # prose wherever it stands
+    (((1, 0.0), (6, 0.0), (11, 0.05), (14, 0.0)), _AROUND_BIT, (0, 0, 0), 1),  # headings and short lines beside prose
+    (((1, 0.0), (5, 0.0), (9, 0.0), (13, 0.0)), _AROUND_CRUMB, (0, 0, 0), 0),  # crumbs among links and crumbs
+    (((1, 1.0), (4, 0.8), (12, 0.6), (30, 0.9), (80, 0.7)), _ANYWHERE, (0, 0, 0), 0),  # lists of links
+    (_ANY_SIZE, _ANYWHERE, (1, 0, 0), 1),  # all of an article
+    (_ANY_SIZE, _ANYWHERE, (0, 1, 0), 0),  # what stands beside one
+    (_ANY_SIZE[::2], _ANYWHERE, (0, 0, 1), 0),  # furniture by name
+    (_ANY_SIZE[1::2], _ANYWHERE, (1, 0, 1), 0),
+    (_ANY_SIZE[::3], _ANYWHERE, (0, 1, 1), 0),
+)
+LABELLED = tuple((*own, *before, *after, *hints, label) for sizes, around, hints, label in _CASES for own in sizes for before, after in around)
 
-def train_tree(rows, most_depth: int = 6):
+
+def train_tree(rows, most_depth: int = 10):
     """A decision tree by Gini impurity: (feature, bound, tree below or at it, tree above) or the share of content."""
     data = np.asarray(rows, float)
     x, y = data[:, :-1], data[:, -1]
@@ -146,10 +124,63 @@ def _names_boiler(attributes: str, allowed: frozenset = frozenset()) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int) -> tuple[int, int]:
+    """Where the attributes that start at `at` end, and where to go on: after a >, or at a < that comes first. Quotes hide both where
+    they follow a =."""
+    while True:
+        m = _STOP.search(page, at)
+        if not m:
+            return len(page), len(page)
+        i = m.start()
+        if m[0] == ">":
+            return i, i + 1
+        if m[0] == "<":
+            return i, i
+        at = i + 1
+        if page[max(0, i - 64) : i].rstrip()[-1:] == "=":
+            close = page.find(m[0], at)
+            at = close + 1 if close >= 0 else at
+
+
+def _tokens(page: str):
+    """(text, tag, closing, attributes, end) of each piece of a page: text, or a tag with what follows it at end. Comments, declarations,
+    scripts and styles are left out; what follows a sent position goes on there. One pass."""
+    at, n = 0, len(page)
+    while at < n:
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = n if to < 0 else to
+            yield page[at:to], None, False, "", to
+            at = to
+            continue
+        closing = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + closing)
+        if m:
+            tag = m[0].lower()
+            last, to = _tag_end(page, m.end())
+            if tag in _RAW and not closing:
+                found = _RAW[tag].search(page, to)
+                yield "", tag, False, "", to
+                at = found.end() if found else n
+                continue
+            moved = yield "", tag, closing, page[m.end() : last], to
+            at = to if moved is None else moved
+        elif page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            at = n if to < 0 else to + 3
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            to = page.find(">", at)
+            at = n if to < 0 else to + 1
+        else:
+            yield "<", None, False, "", at + 1
+            at += 1
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, inside, boiler) of each text block, in page order."""
     out, held, linked, anchor = [], [], 0, 0
     stack: list[tuple[str, bool, bool]] = []  # tag, boiler, inside; the last two hold for all below
+    open_tags: Counter = Counter()
 
     def flush():
         nonlocal held, linked
@@ -161,8 +192,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 out.append((text, words, min(linked, words), inside, boiler))
         held, linked = [], 0
 
+    def cut(i: int):
+        open_tags.subtract(t for t, _, _ in stack[i:])
+        del stack[i:]
+
     def end(tags: frozenset, bounds: frozenset):
         """Takes the outermost open one of tags within the nearest of bounds, and all in it, from the stack."""
+        if not any(open_tags[t] for t in tags):
+            return
         last = None
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in bounds:
@@ -170,26 +207,27 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             if stack[i][0] in tags:
                 last = i
         if last is not None:
-            del stack[last:]
+            cut(last)
 
-    at, in_head, title_open, without_end = 0, False, False, set()
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[3] or m[6]
+    in_head, title_open, without_end, moved = False, False, set(), None
+    tokens = _tokens(page)
+    while True:
+        try:
+            text, tag, closing, attributes, to = tokens.send(moved)
+        except StopIteration:
+            break
+        moved = None
         if tag is None:
-            text = m[0]
-            if m[1] is not None:
-                flush()
-            elif text[0] != "<" or text == "<":
-                if in_head and (title_open or not text.strip()):
-                    continue
-                in_head = False
-                held.append(text)
-                if anchor:
-                    linked += len(text.split())
+            if in_head and (title_open or not text.strip()):
+                continue
+            in_head = False
+            held.append(text)
+            if anchor:
+                linked += len(text.split())
+            continue
+        if tag in _RAW:
+            flush()
             continue
-        tag, closing, attributes = tag.lower(), m[2], m[4] if m[3] else m[7]
         title_open = False
         if tag == "head":
             in_head = not closing
@@ -198,9 +236,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if tag in _SKIPPED and not closing:
             flush()
             if not attributes.endswith("/") and tag not in without_end:
-                found = _SKIPPED[tag].search(page, at)
+                found = _SKIPPED[tag].search(page, to)
                 if found:
-                    at = found.end()
+                    moved = found.end()
                     continue
                 without_end.add(tag)
             title_open = tag == "title" and in_head
@@ -215,12 +253,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         holder = tag in _HOLDERS
         if closing:
             bounds = _END_BOUNDS.get(tag, frozenset())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag or (tag in _HEADINGS and stack[i][0] in _HEADINGS):
-                    del stack[i:]
-                    break
-                if stack[i][0] in bounds or (not holder and stack[i][0] == "table" and tag != "table"):
-                    break
+            if open_tags[tag] or (tag in _HEADINGS and any(open_tags[t] for t in _HEADINGS)):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag or (tag in _HEADINGS and stack[i][0] in _HEADINGS):
+                        cut(i)
+                        break
+                    if stack[i][0] in bounds or (not holder and stack[i][0] == "table" and tag != "table"):
+                        break
             if holder:
                 anchor = 0
             continue
@@ -236,6 +275,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         named = _names_boiler(attributes) if holder else _names_boiler(attributes, frozenset(["header"]))
         boiler = boiler or tag in _BOILER_TAGS or (tag == "header" and not inside) or named
         stack.append((tag, boiler, inside))
+        open_tags[tag] += 1
     flush()
     return out
 
