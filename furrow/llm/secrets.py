@@ -28,18 +28,20 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----).){16,}?)-----END \1-----", re.S)
 #: RFC 1421 headers of an encrypted key: the cipher's name and its start value.
 _ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,\s*([0-9A-Fa-f]+)\s+")
-_HEADERS = re.compile(r"\A\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\n]+\n)*)+")
-_ESCAPED = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|([rnt/]))")
-_LINE_MARKS = re.compile(r"""["'][ \t]*[+.,;]?[ \t]*$|^[ \t>#*|]*["']?|\\$""", re.M)
+_HEADERS = re.compile(r"\A\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t][^\n]*\n)*)+")
+_ESCAPED = re.compile(r"(?<!\\)\\+(?:u([0-9a-fA-F]{4})|([rnt/]))")
+_LINE_MARKS = re.compile(r"""["'][ \t]*(?:[+.,;][ \t]*)?$|^[ \t>#*|]*["']?|\\$""", re.M)
 #: The first character of what may be a DER SEQUENCE, with what has to follow it on its line.
 _BASE64_HEAD = re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{14})")
 _HEX_HEAD = re.compile(r"3(?=0(?:[0-7][0-9a-fA-F]|8[1-4])[0-9a-fA-F]{28})")
 _OPENSSH_HEADS = re.compile(r"b3BlbnNzaC1rZXktdjEA|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100")
 _BASE64_RUN, _HEX_RUN = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9a-fA-F]+")
 #: From one line of a wrapped run to the next: line ends, plain or escaped, with the quotes and margins around them.
-_BREAK = re.compile(r"""(?:["'][ \t]*[+.,]?)?[ \t]*(?:\\+[rn]|\\?[\r\n])(?:\\+[rn]|\\?[\r\n]|["'][ \t]*[+.](?=\s)|[ \t"'>#*|])*""")
-_TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
+_BREAK = re.compile(r"""(?:["'][ \t]*(?:[+.,][ \t]*)?|[ \t]*)(?:\\+[rn]|\\?[\r\n])(?:\\+[rn]|\\?[\r\n]|["'][ \t]*[+.](?=\s)|[ \t"'>#*|])*""")
+#: Three dotted runs, from the start of a run only; others may begin inside the second and third.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{11,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,}))")
 _OPENSSH = b"openssh-key-v1\0"
+_JSON, _FIRST_KEY = json.JSONDecoder(), re.compile(r'\{"[^"\\]*"\s*:')
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -110,26 +112,25 @@ def is_der_key(data: bytes | None) -> bool:
 
 
 def openssh_end(data: bytes | None) -> int | None:
-    """The length of the openssh-key-v1 container that data starts with: strings with four-byte lengths; None without one."""
+    """The length of the openssh-key-v1 container that data starts with: strings with four-byte lengths; None without one. Minus the
+    bytes it takes to know more, if data ends too early."""
     if not data or not data.startswith(_OPENSSH):
         return None
-    at = len(_OPENSSH)
-
-    def string() -> bytes | None:
-        nonlocal at
+    at, strings, keys = len(_OPENSSH), 3, None
+    while True:
         if at + 4 > len(data):
-            return None
+            return -(at + 4)
         length = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + length > len(data):
+        at += 4
+        if strings:
+            at, strings = at + length, strings - 1
+            if strings == 0 and keys is not None:
+                return at if at <= len(data) else -at
+        elif 0 < length < 100:
+            keys = length
+            strings = keys + 1
+        else:
             return None
-        at += 4 + length
-        return data[at - length : at]
-
-    if any(string() is None for _ in range(3)) or at + 4 > len(data):
-        return None
-    keys = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    return at if 0 < keys < 100 and all(string() is not None for _ in range(keys + 1)) else None
 
 
 def is_openssh_key(data: bytes | None) -> bool:
@@ -151,12 +152,16 @@ def is_armoured_key(body: str) -> bool:
 
 
 def _der_length(head: bytes) -> int | None:
-    """The whole length of the SEQUENCE that starts with head (12 bytes or more), if a version or a SEQUENCE is first in it."""
+    """The whole length of the SEQUENCE that starts with head (12 bytes or more), if a version, and after it an INTEGER, OCTET STRING or
+    SEQUENCE, or else the SEQUENCE of an OBJECT IDENTIFIER is first in it."""
     n = head[1] & 0x7F if head[1] > 0x80 else 0
     if head[0] != 0x30 or head[1] == 0x80 or n > 4:
         return None
     inside = head[2 + n :]
-    if inside[0] != 0x30 and inside[:3] not in (b"\2\1\0", b"\2\1\1"):
+    if inside[0] == 0x30:
+        if inside[2 + (inside[1] & 0x7F if inside[1] > 0x80 else 0) :][:1] not in (b"\6", b""):
+            return None
+    elif inside[:3] not in (b"\2\1\0", b"\2\1\1") or inside[3] not in (0x02, 0x04, 0x30):
         return None
     return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
@@ -199,9 +204,15 @@ def key_spans(text: str) -> list[tuple[int, int, str]]:
     for m in _OPENSSH_HEADS.finditer(text):
         of_hex = m[0][0] == "6"
         run = _HEX_RUN if of_hex else _BASE64_RUN
-        length = openssh_end(_decoded(_wrapped(text, m.start(), run, len(text))[0], of_hex))
-        if length:
-            found.append((m.start(), _wrapped(text, m.start(), run, 2 * length if of_hex else -(-length * 4 // 3))[1], "openssh", of_hex))
+        length, chars = -64, lambda n: 2 * n if of_hex else -(-n * 4 // 3)
+        while length is not None and length < 0 and chars(-length) <= len(text) - m.start():
+            most = chars(max(4096, -2 * length))
+            key = _wrapped(text, m.start(), run, most)[0]
+            length = openssh_end(_decoded(key, of_hex))
+            if len(key) < most:
+                break
+        if length is not None and length > 0:
+            found.append((m.start(), _wrapped(text, m.start(), run, chars(length))[1], "openssh", of_hex))
     padded = lambda end: end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
     return [(at, end if of_hex else padded(end), kind) for at, end, kind, of_hex in found]
 
@@ -215,6 +226,41 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict) and decode_base64(signature) is not None
 
 
+def token_start(run: str) -> int | None:
+    """Where in a run the header of a signed token begins, which goes on to the run's end. Heads at one alignment are decoded once."""
+    heads: dict[int, int] = {}
+    best = None
+    for m in re.finditer("eyJ", run):
+        heads.setdefault(m.start() % 4, m.start())
+    for first in heads.values():
+        data = (decode_base64(run[first:]) or b"").decode("latin-1")
+        at = first
+        while at >= 0 and (best is None or at < best):
+            end = None
+            if _FIRST_KEY.match(data, (at - first) // 4 * 3):
+                try:
+                    header, end = _JSON.raw_decode(data, (at - first) // 4 * 3)
+                except (ValueError, RecursionError):
+                    pass
+            if end == len(data) and isinstance(header, dict) and isinstance(header.get("alg"), str):
+                best = at
+                break
+            at = run.find("eyJ", at + 1)
+            while at >= 0 and at % 4 != first % 4:
+                at = run.find("eyJ", at + 1)
+    return best
+
+
+def token_spans(text: str) -> list[tuple[int, int, str]]:
+    out, last = [], 0
+    for m in _TOKEN.finditer(text):
+        at = token_start(m[1]) if m.start() >= last else None
+        if at is not None and is_signed_token(m[1][at:], m[2], m[3]):
+            last = m.end(3)
+            out.append((m.start() + at, last, "token"))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
@@ -230,7 +276,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if is_armoured_key(m[2]):
                 out.append((m.start(), m.end(), "armour"))
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
+        out += token_spans(text)
     return out + key_spans(text)
 
 
