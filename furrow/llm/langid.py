@@ -57,52 +57,89 @@ class Space:
         return out
 
 
-def gram_counts(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letters of the different n-grams (m, n), counts (texts, m) as float32, whether each text has a letter).
+def _codes(text: str, n: int, most_chars: int):
+    """A text's letters as code points, in pieces: runs of other characters are one 0, with one before and after the text. A piece begins
+    with the n - 1 last codes of the one before."""
+    table, last, held = _folded(), 1, np.zeros(0, np.uint32)
+    total = -(-max(1, len(text)) // most_chars)
+    for k in range(total):
+        codes = table[np.frombuffer(text[k * most_chars : (k + 1) * most_chars].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = ([0] if k == 0 else []), ([0] if k == total - 1 else [])
+        codes = np.concatenate([ends[0], codes, ends[1]]).astype(np.uint32)
+        codes = codes[(codes != 0) | (np.append(last, codes[:-1]) != 0)] if len(codes) else codes
+        if len(codes):
+            last = codes[-1]
+            whole = np.concatenate([held, codes])
+            yield whole
+            held = whole[max(0, len(whole) - n + 1) :]
+
+
+def text_vectors(space: Space, texts: list[str], groups: list[int] | None = None, most_chars: int = 1 << 20, most_cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """((texts, d) bundles of the texts' n-grams, or of groups of texts numbered from 0; whether each text has a letter). Long texts go
+    piece by piece, and counts of n-grams by most_cells at a time, so memory follows neither text length nor alphabet."""
+    groups = list(range(len(texts))) if groups is None else groups
+    out, some = np.zeros((max(groups, default=-1) + 1, space.d), np.float64), np.zeros(len(texts), bool)
+    parts, rows, size = [], [], 0
+
+    def bundle():
+        nonlocal parts, rows, size
+        if parts:
+            _add_grams(out, space, parts, rows, most_cells)
+        parts, rows, size = [], [], 0
 
-    Runs of other characters count as one space, and each text begins and ends with one.
-    """
-    table, parts, rows, some = _folded(), [], [], np.zeros(len(texts), bool)
     for i, text in enumerate(texts):
-        codes = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if not codes.any():
-            continue
-        some[i] = True
-        codes = np.concatenate([[0], codes, [0]]).astype(np.uint32)
-        codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
-        if len(codes) < n:
-            codes = np.concatenate([codes, np.zeros(n - len(codes), np.uint32)])
-        parts.append(codes)
-        rows.append(i)
-    if not parts:
-        return np.empty((0, n), np.uint32), np.zeros((len(texts), 0), np.float32), some
+        for codes in _codes(text, space.n, most_chars):
+            some[i] |= codes.any()
+            if len(codes) < space.n and len(text) <= most_chars:
+                codes = np.concatenate([codes, np.zeros(space.n - len(codes), np.uint32)])
+            if codes.any() and len(codes) >= space.n:
+                parts.append(codes)
+                rows.append(groups[i])
+                size += len(codes)
+            if size > most_chars:
+                bundle()
+    bundle()
+    return out, some
+
+
+def _add_grams(out: np.ndarray, space: Space, parts: list[np.ndarray], rows: list[int], most_cells: int) -> None:
+    """Add to out[row] the vectors of the n-grams of its parts."""
+    n = space.n
     alphabet = np.unique(np.concatenate(parts))
     size = len(alphabet)
-    keys, owner = [], []
-    for i, codes in zip(rows, parts):
+    if size**n > 1 << 22 and len(parts) > 1:  # hardly an n-gram in two texts
+        for codes, row in zip(parts, rows):
+            _add_grams(out, space, [codes], [row], most_cells)
+        return
+    used, owner = np.unique(rows, return_inverse=True)
+    keys = []
+    for codes in parts:
         at = np.searchsorted(alphabet, codes).astype(np.int64)
         key = np.zeros(len(at) - n + 1, np.int64)
         for k in range(n):
             key = key * size + at[k : len(at) - n + 1 + k]
         keys.append(key)
-        owner.append(np.full(len(key), i, np.int64))
-    key, owner = np.concatenate(keys), np.concatenate(owner)
+    key, owner = np.concatenate(keys), np.repeat(owner, [len(k) for k in keys])
     if size**n <= 1 << 22:
         present = np.zeros(size**n, bool)
         present[key] = True
         different = np.flatnonzero(present)
-        place = np.cumsum(present) - 1
-        column = place[key]
+        column = (np.cumsum(present) - 1)[key]
     else:
         different, column = np.unique(key, return_inverse=True)
-    m = len(different)
-    counts = np.bincount(owner * m + column, minlength=len(texts) * m).reshape(len(texts), m).astype(np.float32)
-    letters = np.empty((m, n), np.uint32)
-    rest = different.copy()
-    for k in range(n - 1, -1, -1):
-        letters[:, k] = alphabet[rest % size]
-        rest //= size
-    return letters, counts, some
+    step = max(1, min(4096, most_cells // len(used)))
+    if len(different) > step:
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+    for first in range(0, len(different), step):
+        m = min(step, len(different) - first)
+        lo, hi = np.searchsorted(column, [first, first + m]) if len(different) > step else (0, len(column))
+        counts = np.bincount(owner[lo:hi] * m + (column[lo:hi] - first), minlength=len(used) * m).reshape(len(used), m).astype(np.float32)
+        letters, rest = np.empty((m, n), np.uint32), different[first : first + m].copy()
+        for k in range(n - 1, -1, -1):
+            letters[:, k] = alphabet[rest % size]
+            rest //= size
+        out[used] += counts @ space.grams(letters).astype(np.float32)
 
 
 def _slices(texts, most_rows: int = 256, most_chars: int = 1 << 20):
@@ -132,17 +169,11 @@ def learn_prototypes(docs: DataFrame, dimensions: int = 1024, n: int = 3, seed:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for first, texts in _slices(as_text(batch.column("text"))):
-                letters, counts, some = gram_counts(texts, n)
-                if not len(letters):
-                    continue
                 own = langs[first : first + len(texts)]
                 names = sorted(set(own))
-                total = np.stack([counts[[i for i, x in enumerate(own) if x == name]].sum(axis=0) for name in names])
-                vectors = np.zeros((len(names), dimensions))
-                for i in range(0, len(letters), 4096):
-                    vectors += total[:, i : i + 4096] @ space.grams(letters[i : i + 4096]).astype(np.float32)
-                for name, vector in zip(names, vectors):
-                    sums[name] = sums.get(name, 0) + vector
+                vectors, some = text_vectors(space, texts, [names.index(x) for x in own])
+                for name in {x for x, ok in zip(own, some) if ok}:
+                    sums[name] = sums.get(name, 0) + vectors[names.index(name)]
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())], names=["lang", "vector"])
 
@@ -173,10 +204,7 @@ def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dimen
         for batch in batches:
             found, score = [], []
             for _, texts in _slices(as_text(batch.column("text"))):
-                letters, counts, some = gram_counts(texts, n)
-                vectors = np.zeros((len(texts), dimensions), np.float32)
-                for i in range(0, len(letters), 4096):
-                    vectors += counts[:, i : i + 4096] @ space.grams(letters[i : i + 4096]).astype(np.float32)
+                vectors, some = text_vectors(space, texts)
                 length = np.linalg.norm(vectors, axis=1)
                 ok = some & (length > 0) & bool(names)
                 cosines = (vectors / np.where(length > 0, length, 1)[:, None]) @ sent.value.T if names else np.zeros((len(texts), 1))
