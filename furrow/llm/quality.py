@@ -150,8 +150,11 @@ def quality_rules(
     """
     references = language_references(docs) if references is None else references
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept"]
-    kept_columns = [c for c in docs.columns if c.lower() not in names and not c.startswith("q_")]
-    rows = _with_histograms(_with_words(docs.select(*kept_columns)))
+    # The caller's columns go under numbers, so that none clashes with the columns used here.
+    stay = [c for c in docs.columns if c.lower() not in names]
+    kept_columns = [f"q_stay_{i}" for i in range(len(stay))]
+    used = ["text", "lang"] if "lang" in docs.columns else ["text"]
+    rows = _with_histograms(_with_words(docs.select(*[docs[f"`{c}`"].alias(k) for c, k in zip(stay, kept_columns)], *used)))
     own = _own_reference(references)
     if own is not None:
         # Counted only where there is such a reference: its common words, then the rest.
@@ -161,6 +164,7 @@ def quality_rules(
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("q_lines", lines).select(
         *kept_columns,
+        *used[1:],
         *held,
         "q_chars",
         "q_common",
@@ -187,4 +191,4 @@ def quality_rules(
     # The row number, never negative, keeps the optimizer from moving a filter on kept below the projections, where each use of a
     # text's words would split the text again.
     verdict = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)) & (F.monotonically_increasing_id() >= 0)
-    return rows.withColumn("kept", verdict).drop("q_chars", "q_common", *held)
+    return rows.withColumn("kept", verdict).select(*[F.col(k).alias(c) for c, k in zip(stay, kept_columns)], *names)
