@@ -144,7 +144,7 @@ def _quality_sql() -> str:
     """
 
 
-def _url_sql(rounds: int = 12) -> str:
+def _url_sql(rounds: int = 80) -> str:
     rules = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in URL_RULES)
     link = LINK.replace("'", "''")
     return f"""
@@ -166,16 +166,14 @@ def _url_sql(rounds: int = 12) -> str:
             SELECT h.host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked, coalesce(o.n, 0) AS out, coalesce(i.n, 0) AS into_n FROM hosts h LEFT JOIN seeds USING (host)
             LEFT JOIN (SELECT src AS host, sum(n) AS n FROM links GROUP BY src) o USING (host) LEFT JOIN (SELECT dst AS host, sum(n) AS n FROM links GROUP BY dst) i USING (host)),
         moves AS (
-            SELECT src AS a, dst AS b, n / out::DOUBLE AS t, 0::DOUBLE AS d FROM links JOIN nodes ON host = src
-            UNION ALL SELECT dst, src, 0, n / into_n::DOUBLE FROM links JOIN nodes ON host = dst
-            UNION ALL SELECT x.host, y.host, y.trusted / (SELECT greatest(1, sum(trusted)) FROM nodes)::DOUBLE, 0 FROM nodes x JOIN nodes y ON x.out = 0 AND y.trusted = 1
-            UNION ALL SELECT x.host, y.host, 0, y.blocked / (SELECT greatest(1, sum(blocked)) FROM nodes)::DOUBLE FROM nodes x JOIN nodes y ON x.into_n = 0 AND y.blocked = 1
+            SELECT src AS a, dst AS b, n / into_n::DOUBLE AS g, 0::DOUBLE AS d FROM links JOIN nodes ON host = dst
+            UNION ALL SELECT dst, src, 0, n / out::DOUBLE FROM links JOIN nodes ON host = src
             UNION ALL SELECT host, host, 0, 0 FROM nodes),
-        rank(k, host, t, d) AS (
+        rank(k, host, g, d) AS (
             SELECT 0, host, trusted::DOUBLE, blocked::DOUBLE FROM nodes
-            UNION ALL SELECT any_value(k) + 1, b, 0.15 * any_value(trusted) + 0.85 * sum(r.t * m.t), 0.15 * any_value(blocked) + 0.85 * sum(r.d * m.d)
+            UNION ALL SELECT any_value(k) + 1, b, CASE WHEN any_value(trusted) = 1 THEN 1 ELSE 0.85 * sum(r.g * m.g) END, CASE WHEN any_value(blocked) = 1 THEN 1 ELSE 0.85 * sum(r.d * m.d) END
             FROM rank r JOIN moves m ON r.host = m.a JOIN nodes n ON n.host = m.b WHERE k < {rounds} GROUP BY b),
-        bad AS (SELECT host FROM rank WHERE k = {rounds} AND d > t AND d >= 0.02)
+        bad AS (SELECT host FROM rank WHERE k = {rounds} AND d > g AND d >= 0.02)
         SELECT page_id, host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM judged
     """
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from furrow.llm.common import checkpointed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The host of an anchor's absolute or scheme-relative link.
+#: The host of an anchor's absolute or scheme-relative link. Relative links stay on their host and are no edge, whatever a <base> says;
+#: <link> and other elements name resources, not pages, and do not count.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^\s"'<>/?#]+)"""
 
 
