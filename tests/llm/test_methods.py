@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, html, langid, secrets
+from furrow.llm import chat, html, langid, quality, secrets, urlgraph
 from furrow.llm.queries import tokenizer_files
 from tests.llm.test_operators import CONVERSATIONS, der
 
@@ -264,3 +264,38 @@ def test_held_out_accuracy(spark, sf):
     got = langid.identify_languages(docs, langid.learn_prototypes(docs.where("not held_out"))).join(docs.select("doc_id", "lang", "held_out", F.length("text").alias("n")), "doc_id")
     right = got.where("held_out and lang is not null and n > 60").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right >= 0.95
+
+
+# Hosts
+
+
+def test_walk_shares_equal_dense_iteration_on_thousands_of_hosts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n = 3000
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (9000, 2)) if a != b} | {(i, 0) for i in range(1, n)} | {(0, i) for i in range(1, n, 7)}  # host 0 is a hub
+    edges = [(f"h{a}", f"h{b}", 1 + (a + b) % 3) for a, b in sorted(pairs)]
+    blocked, trusted = set(range(5, n, 97)), set(range(3, n, 89))
+    seeds = [(f"h{i}", int(i in trusted - blocked), int(i in blocked)) for i in sorted(blocked | trusted)]
+    weight = np.zeros((n, n))
+    for (a, b), (_, _, w) in zip(sorted(pairs), edges):
+        weight[a, b] = w
+    ahead, behind = weight / np.maximum(weight.sum(1, keepdims=True), 1), (weight / np.maximum(weight.sum(0, keepdims=True), 1)).T
+    good = np.array([float(i in trusted - blocked) for i in range(n)])
+    bad = np.array([float(i in blocked) for i in range(n)])
+    fixed_good, fixed_bad = good > 0, bad > 0
+    for _ in range(200):
+        good, bad = np.where(fixed_good, 1.0, 0.85 * behind @ good), np.where(fixed_bad, 1.0, 0.85 * ahead @ bad)
+    got = urlgraph.walk_shares(spark.createDataFrame(edges, "src string, dst string, n int"), spark.createDataFrame(seeds, "host string, trusted int, blocked int"), tolerance=1e-7).collect()
+    assert len(got) == n
+    assert max(abs(r["good"] - good[int(r["host"][1:])]) + abs(r["bad"] - bad[int(r["host"][1:])]) for r in got) < 1e-5
+
+
+# Quality
+
+
+def test_quality_rules_keep_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "the house of the man " * 9, "en", 5, "a", 3)], "doc_id long, text string, lang string, q_text int, q_words string, n_words int")
+    got = quality.quality_rules(frame).first()
+    assert got["q_text"] == 5 and got["q_words"] == "a" and got["n_words"] == 45 and got["text"].startswith("the house") and got["lang"] == "en"
