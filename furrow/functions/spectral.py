@@ -32,15 +32,15 @@ def _cive(r, g, b):
     return 0.441 * r - 0.811 * g + 0.385 * b + 18.78745
 
 
-_INDICES = {"exg": _exg, "exr": _exr, "cive": _cive, "exgr": lambda r, g, b: _exg(r, g, b) - _exr(r, g, b)}
+INDICES = {"exg": _exg, "exr": _exr, "cive": _cive, "exgr": lambda r, g, b: _exg(r, g, b) - _exr(r, g, b)}
 
 
 def veg_index(name: str, r: Column, g: Column, b: Column, order: str = "rgb") -> Column:
     """A vegetation index: exg, exr, cive, exgr, ndi, or the raw ndvi; order `grb` reads the bands as (g, r, b)."""
     if order == "grb":
         r, g = g, r
-    if name in _INDICES:
-        return _INDICES[name](*chromatic(r, g, b))
+    if name in INDICES:
+        return INDICES[name](*chromatic(r, g, b))
     if name == "ndi":
         total = (g + r).cast("double")
         return F.when(total > 0, (g - r) / total)

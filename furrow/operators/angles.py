@@ -35,10 +35,15 @@ def tile_angles(contours: DataFrame, *tile: str, top: int = DEFAULTS.top_contour
 
 
 def field_angle(tiles: DataFrame, *keys: str) -> DataFrame:
-    """keys, angle_mean, angle_std over tiles with an angle; an error for a field without any."""
+    """keys, angle_mean, angle_std over tiles with an angle; null for a field without any, which is to be put aside (see
+    fields.without_angle): one field is no reason to end the job of all."""
     a = _not_nan("angle")
-    means = tiles.groupBy(*keys).agg(F.avg(a).alias("angle_mean"), F.stddev_pop(a).alias("angle_std"))
-    return means.withColumn("angle_mean", F.when(F.col("angle_mean").isNull(), F.raise_error(F.lit("no tile has a row angle")).cast("double")).otherwise(F.col("angle_mean")))
+    return tiles.groupBy(*keys).agg(F.avg(a).alias("angle_mean"), F.stddev_pop(a).alias("angle_std"))
+
+
+def rect_angles(contours: DataFrame, *tile: str, top: int = DEFAULTS.top_contours, deviation: float = DEFAULTS.max_angle_deviation) -> DataFrame:
+    """The same of the contours' rectangle angles, under the same gate."""
+    return tile_angles(contours.withColumn("angle", F.col("rect_angle")), *tile, top=top, deviation=deviation)
 
 
 def fallback_angle(contours: DataFrame, *tile: str) -> DataFrame:

@@ -11,7 +11,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from furrow.functions import spectral
 from furrow.operators.raster import gaussian_weights
 from furrow.params import DEFAULTS, Params
 
@@ -198,12 +200,19 @@ def distance_mask(mask: np.ndarray, share: float = 0.4) -> np.ndarray:
 # Colours
 
 
-def exg_bytes(rgb: np.ndarray) -> np.ndarray:
-    """Excess green of the chromatic coordinates as wrapped bytes; black pixels are 0."""
-    v = rgb.astype(float)
-    total = v.sum(axis=2)
-    exg = np.where(total > 0, (2 * v[..., 1] - v[..., 0] - v[..., 2]) / np.where(total > 0, total, 1), 0.0)
-    return (np.trunc(exg * 255).astype(np.int64) % 256).astype(np.uint8)
+def index_bytes(rgb: np.ndarray, name: str = "exg") -> np.ndarray:
+    """A vegetation index of spectral.veg_index as wrapped bytes; pixels without one are 0."""
+    r, g, b = (rgb[..., i].astype(float) for i in range(3))
+    if name in ("ndi", "ndvi"):
+        x, y = (g, r) if name == "ndi" else (r, b)
+        total = x + y
+        some = total > 0 if name == "ndi" else np.ones(total.shape, bool)
+        value = (x - y) / np.where(total > 0, total, 0.01)
+    else:
+        total = r + g + b
+        some = total > 0
+        value = spectral.INDICES[name](*(c / np.where(some, total, 1) for c in (r, g, b)))
+    return (np.trunc(np.where(some, value, 0.0) * 255).astype(np.int64) % 256).astype(np.uint8)
 
 
 def green_raw(rgb: np.ndarray, sensitivity: int) -> np.ndarray:
@@ -228,9 +237,8 @@ def prepare(rgb: np.ndarray) -> np.ndarray:
     return np.stack([gaussian_blur(calm[..., i], 5) for i in range(3)], axis=2)
 
 
-def _scaled(shape: tuple, *sizes: int) -> list[int]:
-    """Kernel sizes for a tile: as given for a tile of 20 m at 1.84 cm a pixel (1084 pixels), in proportion for a smaller one."""
-    scale = min(1.0, min(shape[:2]) / 1084)
+def _scaled(scale: float, *sizes: int) -> list[int]:
+    """Kernel sizes at another ground resolution than Params.kernel_pixel_m. They never depend on how much of a tile there is."""
     return [max(1, round(s * scale)) for s in sizes]
 
 
@@ -238,38 +246,39 @@ def _odd(n: int) -> int:
     return n | 1
 
 
-def segment(index: np.ndarray, p: Params = DEFAULTS) -> np.ndarray:
+def segment(index: np.ndarray, p: Params = DEFAULTS, scale: float = 1.0) -> np.ndarray:
     """Plant strips in an index image: blur, Otsu, open 9, dilate 3 nine times, erode 20 nine times, large components, erode 9
-    three times, median 15; sizes for a full tile."""
-    opened, grown, shrunk, last, middle = _scaled(index.shape, 9, 9, 20, 9, 15)
-    scale = min(1.0, min(index.shape) / 1084)
+    three times, median 15; sizes at scale 1 (see _scaled)."""
+    opened, grown, shrunk, last, middle = _scaled(scale, 9, 9, 20, 9, 15)
     mask = otsu_mask(gaussian_blur(index, 5, 2.0))
     mask = erode(dilate(morph_open(mask, _odd(opened)), 3, grown), shrunk, grown)
     mask = large_components(mask, max(1, round(p.segment_min_area * scale * scale)))
     return median_binary(erode(mask, last, 3), _odd(middle))
 
 
-def green(rgb: np.ndarray, p: Params = DEFAULTS) -> np.ndarray:
+def green(rgb: np.ndarray, p: Params = DEFAULTS, scale: float = 1.0) -> np.ndarray:
     """Green plants, 1 where set: blur, colour range, open, close, large components, their cores, dilate."""
-    (k,) = _scaled(rgb.shape, 9)
-    scale = min(1.0, min(rgb.shape[:2]) / 1084)
+    (k,) = _scaled(scale, 9)
     blurred = np.stack([gaussian_blur(rgb[..., i], 7) for i in range(3)], axis=2)
     raw = morph_close(morph_open(green_raw(blurred, p.green_sensitivity), _odd(k)), _odd(k))
     core = dilate(distance_mask(large_components(raw, max(1, round(p.green_min_area * scale * scale)))), 3, 1)
     return np.where((core > 0) & (raw > 0), 1, 0).astype(np.uint8)
 
 
-def run_tile(rgb: np.ndarray, p: Params = DEFAULTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mask, masked colours, index) of a tile."""
+def run_tile(rgb: np.ndarray, p: Params = DEFAULTS, pixel_m: float | None = None, index: str = "exg") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask, masked colours, index) of a tile of pixels of pixel_m metres (kernel_pixel_m if not given)."""
+    scale = p.kernel_pixel_m / (pixel_m or p.kernel_pixel_m)
     calm = prepare(rgb)
-    index = exg_bytes(calm)
-    mask = np.minimum(segment(index, p).astype(int) + green(calm, p), 255).astype(np.uint8)
-    return mask, np.minimum(mask[..., None], rgb), index
+    found = index_bytes(calm, index)
+    mask = np.minimum(segment(found, p, scale).astype(int) + green(calm, p, scale), 255).astype(np.uint8)
+    return mask, np.minimum(mask[..., None], rgb), found
 
 
-def tile_pipeline(tiles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """tile_images rows (prj, col, row, w, h, data) to prj, col, row, w, h, mask, masked, index (binary). A row is a tile: give Arrow
+def tile_pipeline(tiles: DataFrame, p: Params = DEFAULTS, index: str = "exg") -> DataFrame:
+    """tile_images rows (prj, col, row, w, h, data, and pixel_m, the ground size of a pixel, if not kernel_pixel_m) to prj, col, row, w, h,
+    mask, masked, index (binary), plants (pixels set in mask). index: a name of spectral.veg_index. A row is a tile: give Arrow
     small batches (spark.sql.execution.arrow.maxRecordsPerBatch). All-black tiles are dropped before the chain."""
+    size = F.col("pixel_m") if "pixel_m" in tiles.columns else F.lit(None).cast("double").alias("pixel_m")
 
     def run(batches):
         for batch in batches:
@@ -277,10 +286,11 @@ def tile_pipeline(tiles: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             for t in batch.itertuples():
                 rgb = as_image(t.data, t.h, t.w, 3)
                 if rgb.any():
-                    rows.append((t.prj, t.col, t.row, t.w, t.h, *(x.tobytes() for x in run_tile(rgb, p))))
-            yield pd.DataFrame(rows, columns=["prj", "col", "row", "w", "h", "mask", "masked", "index"])
+                    found = run_tile(rgb, p, t.pixel_m if t.pixel_m and t.pixel_m > 0 else None, index)
+                    rows.append((t.prj, t.col, t.row, t.w, t.h, *(x.tobytes() for x in found), int((found[0] > 0).sum())))
+            yield pd.DataFrame(rows, columns=["prj", "col", "row", "w", "h", "mask", "masked", "index", "plants"])
 
-    return tiles.select("prj", "col", "row", "w", "h", "data").mapInPandas(run, "prj string, col int, row int, w int, h int, mask binary, masked binary, index binary")
+    return tiles.select("prj", "col", "row", "w", "h", "data", size).mapInPandas(run, "prj string, col int, row int, w int, h int, mask binary, masked binary, index binary, plants long")
 
 
 def tile_images(pixels: DataFrame) -> DataFrame:

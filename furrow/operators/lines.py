@@ -211,10 +211,13 @@ def number_lines(lines: DataFrame, *keys: str, order: tuple = ("d",), name: str
 
 
 def clean_tile_lines(lines: DataFrame, tiles: DataFrame, *, ratio: float = DEFAULTS.extend_ratio, gap: float = DEFAULTS.min_row_gap_m, least: float = DEFAULTS.min_line_m) -> DataFrame:
-    """Tile lines (prj, col, row, idx, x1, y1, x2, y2) extended, cut to their tile, measured from its seed point and spaced; numbered
-    from 0 in each tile. tiles: prj, col, row, seed, xmin, ymin, xmax, ymax."""
+    """Tile lines (prj, col, row, idx, x1, y1, x2, y2) extended, cut to their tile and to the field's oriented box if there is one, measured
+    from the tile's seed point and spaced; numbered from 0 in each tile. tiles: prj, col, row, seed, xmin, ymin, xmax, ymax, and angle, u0, u1,
+    v0, v1 of the box (see contours.ombb)."""
     tile = ("prj", "col", "row")
     met = clip_lines_to_box(extend_lines(lines_with_bounds(lines, tiles), ratio))
+    if "u0" in tiles.columns:
+        met = clip_lines_to_oriented(met)
     first = Window.partitionBy(*tile).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = met.withColumn("first_azimuth", F.first(geometry.azimuth(*_ends())).over(first))
     px, py = seed_point(F.col("seed"), F.col("first_azimuth"))

@@ -1,8 +1,8 @@
 """Final rows of a field: overlapping lines grouped, one line chosen for each group, in two branches.
 
 All lines of a field are nearly parallel, so lines whose buffers overlap lie in the same or a neighbouring strip
-across the rows; strips bound the pairs to look at. Keys are a project with a strip until the last step, so one very
-large field is spread over many tasks.
+along the rows; strips, cut into intervals along them, bound the pairs to look at. Keys are a project with a cell until the last step, so one
+very large field is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,20 +19,36 @@ def _ends(suffix: str = "") -> tuple[geometry.Point, geometry.Point]:
     return (F.col(f"x1{suffix}"), F.col(f"y1{suffix}")), (F.col(f"x2{suffix}"), F.col(f"y2{suffix}"))
 
 
+def _frames(lines: DataFrame, *keys: str, least: float) -> DataFrame:
+    """keys, fc, fs, fl: cosine and sine of the lines' common direction, whichever way each points, and their mean length; a row a key."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sums = lines.groupBy(*keys).agg(F.sum(2 * dx * dy).alias("s"), F.sum(dx * dx - dy * dy).alias("c"), F.avg(F.sqrt(dx * dx + dy * dy)).alias("l"))
+    angle = F.atan2("s", "c") / 2
+    return sums.select(*keys, F.cos(angle).alias("fc"), F.sin(angle).alias("fs"), F.greatest("l", F.lit(float(least))).alias("fl"))
+
+
 def overlap_pairs(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row_buffer_m, cell: float | None = None) -> DataFrame:
-    """keys, a, b: pairs of lines (idx, a before b) nearer than width. Each line is dealt to the grid cells that its box,
-    grown by width, touches; a pair meets in the one cell that holds the low corner of their boxes' overlap, and is measured exactly there."""
-    side = cell or max(width * 8, 1.0)
-    x1, x2, y1, y2 = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
-    boxed = lines.select(*keys, "idx", "x1", "y1", "x2", "y2", (x1 - width).alias("bx0"), (x2 + width).alias("bx1"), (y1 - width).alias("by0"), (y2 + width).alias("by1"))
-    dealt = boxed.withColumn("cx", F.explode(F.sequence(F.floor(F.col("bx0") / side), F.floor(F.col("bx1") / side)))).withColumn(
-        "cy", F.explode(F.sequence(F.floor(F.col("by0") / side), F.floor(F.col("by1") / side)))
-    )
-    other = dealt.select(*keys, "cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("idx", "x1", "y1", "x2", "y2", "bx0", "bx1", "by0", "by1")])
-    met = dealt.join(other, [*keys, "cx", "cy"]).where("idx < idx_b and bx0 <= bx1_b and bx0_b <= bx1 and by0 <= by1_b and by0_b <= by1")
-    here = (F.floor(F.greatest("bx0", "bx0_b") / side) == F.col("cx")) & (F.floor(F.greatest("by0", "by0_b") / side) == F.col("cy"))
+    """keys, a, b: pairs of lines (idx, a before b) nearer than width. The lines of a key are turned into their common direction and dealt
+    to intervals along it, about a line long, and in each of these to the strips across that their part there comes near. A line along
+    the others touches a few cells, however long it is; one across them the cells along itself. Pairs that meet are measured exactly."""
+    turned = lines.select(*keys, "idx", "x1", "y1", "x2", "y2").join(_frames(lines, *keys, least=4 * width), list(keys))
+    u = lambda i: F.col(f"x{i}") * F.col("fc") + F.col(f"y{i}") * F.col("fs")
+    v = lambda i: F.col(f"y{i}") * F.col("fc") - F.col(f"x{i}") * F.col("fs")
+    side, strip = (F.lit(float(cell)) if cell else F.col("fl")), float(cell or 2 * width)
+    first = u(1) <= u(2)
+    ends = turned.select("*", side.alias("su"), *[F.when(first, x).otherwise(y).alias(n) for n, x, y in (("u1", u(1), u(2)), ("u2", u(2), u(1)), ("v1", v(1), v(2)), ("v2", v(2), v(1)))])
+    cut = ends.withColumn("cu", F.explode(F.sequence(F.floor((F.col("u1") - width) / F.col("su")), F.floor((F.col("u2") + width) / F.col("su")))))
+    long = F.col("u2") - F.col("u1")
+    # The line at the interval's two ends, widened by width; a line square to the others has one interval and all of itself.
+    at = lambda x: F.when(long > 0, F.col("v1") + (F.col("v2") - F.col("v1")) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("u1")) / F.when(long > 0, long))))
+    low, high = F.coalesce(at(F.col("cu") * F.col("su") - width), "v1"), F.coalesce(at((F.col("cu") + 1) * F.col("su") + width), "v2")
+    ranged = cut.withColumn("s0", F.floor((F.least(low, high) - width) / strip)).withColumn("s1", F.floor((F.greatest(low, high) + width) / strip))
+    dealt = ranged.select(*keys, "idx", "x1", "y1", "x2", "y2", "cu", "s0", "s1", F.explode(F.sequence("s0", "s1")).alias("cs"))
+    other = dealt.select(*keys, "cu", "cs", F.col("s0").alias("s0_b"), *[F.col(c).alias(f"{c}_b") for c in ("idx", "x1", "y1", "x2", "y2")])
+    # In one interval a pair is looked at in the first strip that both touch.
+    met = dealt.join(other, [*keys, "cu", "cs"]).where((F.col("idx") < F.col("idx_b")) & (F.col("cs") == F.greatest("s0", "s0_b")))
     near = geometry.segment_distance(*_ends(), *_ends("_b")) < width
-    return met.where(here & near).select(*keys, F.col("idx").alias("a"), F.col("idx_b").alias("b"))
+    return met.where(near).select(*keys, F.col("idx").alias("a"), F.col("idx_b").alias("b")).distinct()
 
 
 def dissolve_groups(lines: DataFrame, pairs: DataFrame, *keys: str, most_rounds: int = 100) -> DataFrame:
@@ -75,7 +91,8 @@ def nearest_line(points: DataFrame, lines: DataFrame, *keys: str, point: str = "
     """keys, point, idx, dist: the nearest line to each point, the least idx on a tie.
 
     Lines are dealt to the cells they touch. A point looks in its cell's neighbourhood, first of reach 1; points whose nearest find may lie
-    farther than the reach look again with a reach four times as wide. Points of a key without lines have no row.
+    farther than the reach look again with a reach four times as wide, among the lines of the keys still waiting that lie within reach of
+    the box of their waiting points. Points of a key without lines have no row.
     """
     from furrow.sources.shared import checkpointed
 
@@ -84,7 +101,11 @@ def nearest_line(points: DataFrame, lines: DataFrame, *keys: str, point: str = "
     waiting = checkpointed(points.select(*keys, point, "x", "y").join(lines.select(*keys).distinct(), list(keys), "left_semi"))
     out, side = None, cell
     while True:
-        dealt = lines.withColumn("cx", F.explode(span(x0, x1, side))).withColumn("cy", F.explode(span(y0, y1, side)))
+        box = waiting.groupBy(*keys).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+        reach = F.lit(float(side))
+        within = (x1 >= F.col("lox") - reach) & (x0 <= F.col("hix") + reach) & (y1 >= F.col("loy") - reach) & (y0 <= F.col("hiy") + reach)
+        asked = lines.select(*keys, "idx", "x1", "y1", "x2", "y2").join(box, list(keys)).where(within).drop("lox", "hix", "loy", "hiy")
+        dealt = asked.withColumn("cx", F.explode(span(x0, x1, side))).withColumn("cy", F.explode(span(y0, y1, side)))
         around = waiting.withColumn("cx", F.explode(span(F.col("x") - side, F.col("x") + side, side))).withColumn("cy", F.explode(span(F.col("y") - side, F.col("y") + side, side)))
         found = around.join(dealt, [*keys, "cx", "cy"]).groupBy(*keys, point).agg(F.min(F.struct(F.round(_to_line(), 9).alias("dist"), F.col("idx"))).alias("m"))
         near = checkpointed(found.where(F.col("m.dist") <= side).select(*keys, point, "m.idx", "m.dist"))

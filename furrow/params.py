@@ -10,6 +10,7 @@ class Params:
     seed_tolerance: float = 3.0  # degrees
     contour_min_px: float = 20.0  # least width and height of a contour's rectangle
     top_contours: int = 10
+    kernel_pixel_m: float = 20.0 / 1084  # ground resolution that kernel sizes and least areas are given for
     max_angle_deviation: float = 3.0
     min_line_m: float = 0.4
     min_row_gap_m: float = 1.3

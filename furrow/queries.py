@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from furrow.functions import geometry, names, spectral
 from furrow.operators import angles, contours, grid, lines, raster, rows
 from furrow.sources import manifests, vectors
-from furrow.views import Views, pt, with_views
+from furrow.views import TILE_PX, Views, pt, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -291,9 +291,9 @@ def _(v):
     return f.select("prj", *[F.get("image_origin", F.lit(i)).alias(n) for i, n in enumerate(("ox", "oy"))], *[r6(F.get("pixel_size", F.lit(i)), n) for i, n in enumerate(("psx", "psy"))])
 
 
-@query("world_files", "SELECT prj, col, row, concat_ws(chr(10), printf('%.6f', psx), '0.000000', '0.000000', printf('%.6f', psy), printf('%.6f', x0), printf('%.6f', y0)) AS body FROM grid WHERE psx = 0.02")
+@query("world_files", "SELECT prj, col, row, concat_ws(chr(10), printf('%.6f', psx), '0.000000', '0.000000', printf('%.6f', psy), printf('%.6f', x0), printf('%.6f', y0)) AS body FROM grid")
 def _(v):
-    return grid.world_files(grid.tile_georef(grid.tile_grid(grid.grid_facts(v.projects))).where("psx = 0.02"))
+    return grid.world_files(grid.tile_georef(grid.tile_grid(grid.grid_facts(v.projects))))
 
 
 @query("pending_tiles", "SELECT prj, col, row FROM grid WHERE (prj, col, row) NOT IN (SELECT prj, col, row FROM grid WHERE (col + row) % 3 = 0)")
@@ -595,7 +595,7 @@ def _(v):
 def _(v):
     from furrow.operators.kernels import tile_images, tile_pipeline
 
-    out = tile_pipeline(tile_images(v.tpix))
+    out = tile_pipeline(tile_images(v.tpix).withColumn("pixel_m", F.lit(20.0 / TILE_PX)))
     return out.select(*TILE, "w", "h", F.sha2("mask", 256).alias("mask_sha"), F.sha2("index", 256).alias("index_sha"))
 
 
@@ -627,6 +627,17 @@ def _(v):
 
 
 
+@query(
+    "rect_angles",
+    f"""SELECT prj, col, row, n, CASE WHEN isnan(angle) THEN NULL ELSE round(angle, 6) END AS angle FROM
+    {_STATS.format("(SELECT prj, col, row % 3 AS row, rect_angle / 10 AS angle FROM angles)")}""",
+)
+def _(v):
+    near = v.angles.select("prj", "col", (F.col("row") % 3).alias("row"), (F.col("rect_angle") / 10).alias("rect_angle"))
+    t = angles.rect_angles(near, *TILE)
+    return t.select(*TILE, "n", F.when(~F.isnan("angle"), F.round("angle", 6)).alias("angle"))
+
+
 @query(
     "field_angle",
     f"""WITH t AS {_STATS.format("(SELECT prj, seed AS col, row % 3 AS row, rect_angle / 10 AS angle FROM angles)")}
@@ -676,16 +687,16 @@ def _(v):
     return lines.line_points(l).select("idx", "typepoint", r6(F.col("x"), "x"))
 
 
-@query("merge_lines", "SELECT idx, prj FROM lines WHERE col = 1 UNION ALL SELECT idx, prj FROM lines WHERE col > 2")
+@query("merge_lines", "SELECT idx, prj FROM lines")
 def _(v):
-    return lines.merge_lines(v.lines.where("col = 1").select("idx", "prj"), v.lines.where("col > 2").select("idx", "prj"))
+    return lines.merge_lines(*[v.lines.where(F.col("col") == c).select("idx", "prj") for c in range(1, 5)])
 
 
-@query("merge_raw_points", "SELECT contour_id, n AS size, 0 AS col FROM contours WHERE i = 1 AND col < 5 UNION ALL SELECT contour_id, n, col FROM contours WHERE i = 1 AND col >= 5 AND n > 3")
+@query("merge_raw_points", "SELECT contour_id, n AS size, NULL::VARCHAR AS col FROM contours WHERE i = 1 AND col < 5 UNION ALL SELECT contour_id, n, col::VARCHAR FROM contours WHERE i = 1 AND col >= 5 AND n > 3")
 def _(v):
     low = v.contours.where("col < 5").select("contour_id", "pts")
     high = v.contours.where("col >= 5").select("contour_id", "col", F.when(F.size("pts") > 3, F.col("pts")).alias("pts"))
-    return lines.merge_raw_points(low, high, coords="pts").select("contour_id", F.size("pts").cast("long").alias("size"), F.coalesce("col", F.lit(0)).alias("col"))
+    return lines.merge_raw_points(low, high, coords="pts").select("contour_id", F.size("pts").cast("long").alias("size"), F.col("col").cast("string").alias("col"))
 
 
 @query("line_vertices", "SELECT contour_id::VARCHAR AS contour_id, col::VARCHAR AS col, (i - 1)::INT AS vertex, x, y FROM contours")
@@ -772,6 +783,17 @@ def _(v):
     return out.select(*TILE, F.col("id").cast("long").alias("id"), "colrow", "idx", F.round("d", 5).alias("d"))
 
 
+_IN_BOX = f"(SELECT *, x1 * {_C30!r} + y1 * {_S30!r} AS u1, y1 * {_C30!r} - x1 * {_S30!r} AS v1, x2 * {_C30!r} + y2 * {_S30!r} AS u2, y2 * {_C30!r} - x2 * {_S30!r} AS v2 FROM {_TILE_CUT})"
+_BOX_CUT = f"(SELECT prj, col, row, idx, {_CUT} FROM {_box_sql(_IN_BOX, 'u1', 'v1', 'u2', 'v2', '20', '130', '20', '60')})"
+
+
+@query("tile_lines_in_box", f"SELECT prj, col, row, idx, round(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 6) AS length FROM {_BOX_CUT} WHERE sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) > 0.4")
+def _(v):
+    boxed = v.tiles.withColumns({"angle": F.lit(30.0), "u0": F.lit(20.0), "u1": F.lit(130.0), "v0": F.lit(20.0), "v1": F.lit(60.0)})
+    out = lines.clean_tile_lines(v.lines, boxed, gap=0.0)
+    return out.select(*TILE, "idx", r6(geometry.distance(*_ab()), "length"))
+
+
 # Rows
 
 
@@ -913,6 +935,18 @@ def _(v):
     return hull.groupBy("contour_id").agg(F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1"))
 
 
+_VERTICES = """WITH p AS (SELECT DISTINCT contour_id, x::DOUBLE AS x, y::DOUBLE AS y FROM contours),
+    e AS (SELECT a.contour_id, a.x, a.y FROM p a JOIN p b ON a.contour_id = b.contour_id AND (a.x <> b.x OR a.y <> b.y) JOIN p r ON r.contour_id = a.contour_id GROUP BY a.contour_id, a.x, a.y, b.x, b.y
+        HAVING bool_and((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) > 0 OR ((b.x - a.x) * (r.y - a.y) = (b.y - a.y) * (r.x - a.x) AND r.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND r.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y))))
+    SELECT DISTINCT contour_id, x, y FROM e UNION ALL SELECT contour_id, min(x), min(y) FROM p GROUP BY contour_id HAVING count(*) = 1"""
+
+
+@query("convex_hull_vertices", _VERTICES)
+def _(v):
+    points = v.contours.select("contour_id", F.explode("pts").alias("p")).select("contour_id", "p.x", "p.y")
+    return contours.convex_hulls(points, "contour_id").select("contour_id", F.explode("hull").alias("p")).select("contour_id", "p.x", "p.y")
+
+
 @query("trace_contours")
 def _(v):
     from furrow.operators.kernels import tile_images

@@ -32,10 +32,12 @@ def stream_projects(spark: SparkSession, landing: str, out: str, checkpoint: str
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, by Spark's own readers; None if there is none yet."""
+    """The table at a path, by Spark's own readers; None if there is no such path yet. A table that can't be read is an error."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        return spark.read.schema(PROJECTS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None

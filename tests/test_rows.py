@@ -223,3 +223,88 @@ def test_a_tile_of_more_rows_than_angles_keeps_them_all(spark):
     tiles, field = fields.generate_angles(found, projects)
     assert found.count() == 14 and sorted(r["contour_id"] for r in found.collect()) == list(range(14)) and tiles.first()["n"] <= 10
     assert fields.generate_lines(found, facts, field).count() == 14
+
+
+def test_a_cropped_tile_is_segmented_alike_away_from_the_cut():
+    y, x = np.mgrid[:400, :400]
+    plant = (x % 40 > 12) & (x % 40 < 28) & (y % 90 > 6)
+    rgb = (np.where(plant[..., None], [40, 160, 40], [150, 120, 90]) + np.random.default_rng(3).integers(0, 6, (400, 400, 3))).astype(np.uint8)
+    whole, half = kernels.run_tile(rgb, pixel_m=0.05)[0], kernels.run_tile(rgb[:, :200], pixel_m=0.05)[0]
+    assert whole.any() and ((whole > 0)[:, :120] == (half > 0)[:, :120]).mean() > 0.97
+
+
+def test_a_tile_of_full_size_at_its_own_resolution():
+    side = 1084
+    y, x = np.mgrid[:side, :side]
+    plant = (x % 108 > 30) & (x % 108 < 78)
+    rgb = (np.where(plant[..., None], [40, 160, 40], [150, 120, 90]) + np.random.default_rng(4).integers(0, 6, (side, side, 3))).astype(np.uint8)
+    mask = kernels.run_tile(rgb)[0] > 0
+    inner = mask[100:-100, 100:-100]
+    assert 0.02 < inner.mean() < plant.mean() and not (inner & ~plant[100:-100, 100:-100]).any()
+
+
+@pytest.mark.parametrize("name", ["exg", "exr", "cive", "exgr", "ndi", "ndvi"])
+def test_kernel_indices_equal_the_expressions(spark, name):
+    from furrow.functions import spectral
+
+    rgb = np.random.default_rng(5).integers(0, 256, (9, 11, 3)).astype(np.uint8)
+    rgb[0, 0] = rgb[3, 3] = 0
+    y, x = np.mgrid[:9, :11]
+    df = spark.createDataFrame(pd.DataFrame({"px": x.ravel(), "py": y.ravel(), **{c: rgb[..., i].ravel().astype(int) for i, c in enumerate("rgb")}}))
+    got = df.withColumn("v", spectral.to_byte(spectral.veg_index(name, F.col("r"), F.col("g"), F.col("b"))))
+    assert np.abs(back(got, "v") - kernels.index_bytes(rgb, name).astype(int)).max() == 0
+
+
+def test_overlap_of_field_long_lines_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    data = []
+    for i in range(120):
+        base, a = rng.uniform(0, 60), math.radians(37 + rng.uniform(-0.3, 0.3) + (180 if i % 2 else 0) + (90 if i > 112 else 0))
+        length = rng.choice([0.0, 2.0, 40.0, 300.0])
+        x, y = 500 - base * math.sin(a), 900 + base * math.cos(a) + rng.uniform(0, 100) * (i % 3 == 0)
+        data.append(("p" if i % 5 else "q", i, x, y, x + length * math.cos(a), y + length * math.sin(a)))
+    df = spark.createDataFrame(data, "prj string, idx long, x1 double, y1 double, x2 double, y2 double")
+    ends = lambda s: ((F.col(f"x1{s}"), F.col(f"y1{s}")), (F.col(f"x2{s}"), F.col(f"y2{s}")))
+    other = df.select("prj", *[F.col(c).alias(f"{c}_b") for c in ("idx", "x1", "y1", "x2", "y2")])
+    want = df.join(other, "prj").where((F.col("idx") < F.col("idx_b")) & (geometry.segment_distance(*ends(""), *ends("_b")) < 0.6)).select("prj", "idx", "idx_b")
+    assert sorted(map(tuple, rows.overlap_pairs(df, "prj", width=0.6).collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+
+
+def test_products_restart_and_a_field_without_an_angle(spark, tmp_path):
+    y, x = np.mgrid[:400, :400]
+    plant = (x % 40 > 12) & (x % 40 < 28)
+    rgb = np.where(plant[..., None], [40, 160, 40], [150, 120, 90]) + RNG.integers(0, 6, (400, 400, 3))
+    field = pd.DataFrame({"prj": "p", "x": x.ravel(), "y": y.ravel(), **{c: rgb[..., i].ravel() for i, c in enumerate("rgb")}})
+    bare = field[(field["x"] < 60) & (field["y"] < 60)].assign(prj="bare", r=150, g=120, b=90)
+    pixels = spark.createDataFrame(pd.concat([field, bare]))
+    project = lambda n: (n, n, n, [400, 400], [0, 0], [0.05, -0.05], [1000.0, 2000.0, 1020.0, 2020.0], "EPSG:32618", "", 2)
+    projects = spark.createDataFrame([project("p"), project("bare")], SCHEMA)
+    ring = [{"x": float(a), "y": float(b)} for a, b in ((999, 1999), (1021, 1999), (1021, 2021), (999, 2021), (999, 1999))]
+    masks = spark.createDataFrame([("p", ring), ("bare", ring)], "prj string, ring array<struct<x:double,y:double>>")
+    out = fields.run(pixels, projects, masks, least_px=5.0)
+    assert [tuple(r) for r in out["errors"].collect()] == [("bare", "no tile has a row angle")]
+    assert out["points"].count() == 3 * out["candidates"].count() == 30
+    fields.write_products(out, projects, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/export").count() == spark.read.parquet(f"{tmp_path}/buffers").count() == out["rows"].count() == 9
+    kml = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/kml").collect())
+    assert kml.count("<Placemark>") == 9 and manifests.read_results(spark, f"{tmp_path}/results").first()["candidatelines"] == 9
+    assert spark.read.option("header", True).option("sep", ";").csv(f"{tmp_path}/angles").count() == out["tile_angles"].where("not isnan(angle)").count()
+    done = spark.read.parquet(f"{tmp_path}/contours")
+    again = fields.run(pixels.where("prj = 'none'"), projects, masks, least_px=5.0, done=done)
+    assert sorted(map(str, again["rows"].select("prj", "idg").collect())) == sorted(map(str, out["rows"].select("prj", "idg").collect()))
+
+
+def test_a_broken_projects_table_is_an_error(spark, tmp_path):
+    assert landing.existing(spark, f"{tmp_path}/none") is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        landing.existing(spark, f"{tmp_path}/broken").collect()
+
+
+def test_contours_and_tile_images_there_and_back(spark, tmp_path):
+    found = spark.createDataFrame([("p", 1, 2, 0, [(1, 2), (5, 2), (5, 9)])], "prj string, col int, row int, contour_id int, pts array<struct<x:int,y:int>>")
+    rasters.write_contours(found, f"{tmp_path}/c")
+    assert [r.asDict(True) for r in rasters.read_contours(spark, f"{tmp_path}/c").select(found.columns).collect()] == [r.asDict(True) for r in found.collect()]
+    path = vectors.write_table(found, str(tmp_path), "named")
+    assert path.endswith("/named") and spark.read.parquet(path).count() == 1
