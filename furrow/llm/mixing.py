@@ -73,12 +73,15 @@ def source_targets(sizes: DataFrame, share: float = 1.5, passes: float = 2.0, we
     return ranked.select("source", "source_size", target.alias("target"), "slope")
 
 
-def in_order(df: DataFrame, demand: Column, *order) -> DataFrame:
-    """df sorted by order, dealt by the share of the mix (0 to 1, null last) that is due before each row: as many equal ranges as
-    there are shuffle partitions. order must sort by what demand follows from."""
+def in_order(df: DataFrame, demand: Column, *order, rest: Column | None = None) -> DataFrame:
+    """df sorted by order, dealt by the share of the mix (0 to 1) that is due before each row: as many equal ranges as there are shuffle
+    partitions. Rows without one come last, dealt in the same way by rest, if given. order must sort by what demand and rest follow from."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.least(F.floor(F.coalesce(demand, F.lit(1.0)) * n), F.lit(n - 1)).cast("int")
-    return df.repartitionById(n, part).sortWithinPartitions(*order)
+    place = lambda share: F.least(F.floor(share * n), F.lit(n - 1)).cast("int")
+    if rest is None:
+        return df.repartitionById(n, place(F.coalesce(demand, F.lit(1.0)))).sortWithinPartitions(*order)
+    part = F.when(demand.isNotNull(), place(demand)).otherwise(n + place(rest))
+    return df.repartitionById(2 * n, part).sortWithinPartitions(*order)
 
 
 def curriculum_mix(docs: DataFrame, share: float = 1.5, passes: float = 2.0, weights=WEIGHTS, slopes=SLOPES) -> DataFrame:
@@ -140,7 +143,8 @@ def _mix(docs, share, passes, weights, slopes) -> DataFrame:
         "order",
     ).withColumn("taken", F.aggregate("epochs", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
     first = F.get("epochs", F.lit(0))
-    ordered = in_order(out, first["demand"], first["position"].asc_nulls_last(), "order", "doc_id", "text_md5")
+    rest = F.conv(F.substring("order", 1, 6), 16, 10).cast("double") / (1 << 24)
+    ordered = in_order(out, first["demand"], first["position"].asc_nulls_last(), "order", "doc_id", "text_md5", rest=rest)
     return ordered.select("doc_id", "text_md5", "source", "size", "source_size", "target", "taken", "epochs")
 
 
