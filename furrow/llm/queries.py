@@ -11,7 +11,10 @@ from furrow.llm.html import extract_main_text
 from furrow.llm.jaccard import jaccard_classes
 from furrow.llm.langid import held_out, identify_languages, learn_prototypes
 from furrow.llm.mixing import curriculum_mix
+from furrow.llm.negatives import hard_negatives
 from furrow.llm.packing import harmonic_pack
+from furrow.llm.periodic import periodic_runs, planted_periods
+from furrow.llm.pieces import encode_pieces
 from furrow.llm.quality import ALL_COMMON, CLASSES, COMMON_WORDS, quality_rules
 from furrow.llm.secrets import scan_secrets
 from furrow.llm.urlgraph import LINK, judge_urls
@@ -83,6 +86,37 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", *positions)
 
 
+def op11_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoded = encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector")))
+
+
+def op13_name_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", planted_periods(F.col("doc_id"), F.col("text")).alias("text")))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = found.withColumn("best", F.array_max(ranked))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.short")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_structural_secrets": op1_structural_secrets,
     "op3_host_graph": op3_host_graph,
@@ -94,6 +128,9 @@ QUERIES = {
     "op7_block_naming": op7_block_naming,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_curriculum_mix": op10_curriculum_mix,
+    "op11_chunk_table": op11_chunk_table,
+    "op12_bit_sliced_negatives": op12_bit_sliced_negatives,
+    "op13_name_levels": op13_name_levels,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -179,6 +216,19 @@ def _url_sql(rounds: int = 80) -> str:
 
 
 ORACLE_SQL = {
+    "op12_bit_sliced_negatives": """
+        WITH e AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+            FROM e a JOIN e b ON a.vec_id % 100 = 0),
+        p AS (SELECT a, b, s FROM s WHERE same AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        n AS (
+            SELECT p.a, p.b AS positive, n.b AS negative, p.s AS ps, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS r
+            FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND n.s <= p.s)
+        SELECT a AS anchor_id, positive AS positive_id, r::INT AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5
+    """,
     "op3_host_graph": _url_sql(),
     "op4_divergence_rules": _quality_sql(),
     "op7_block_naming": f"""
