@@ -114,8 +114,9 @@ def tile_bounds(tiles: DataFrame, projects: DataFrame, boxes: DataFrame | None =
 def build_rows(tile_lines: DataFrame, masks: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(geometric rows, statistical rows, counts) of fields from cleaned tile lines and field masks.
 
-    Lines are extended, cut to the mask's least box with a margin, measured from the line closest to a far probe, and cut to the mask.
-    Groups of overlapping lines give the first rows, their distances alone the second.
+    Lines are extended, cut to the mask's least box with a margin, and measured mid-point to point from a point side_probe_m beyond the line
+    closest to a far probe on the left of the first line, so that the outermost line is at that distance, not at 0; then they are cut to the mask.
+    Groups of overlapping lines give the first rows, their distances alone the second. Distances count to a micrometre.
     """
     box = mask_boxes(masks)
     long = lines.clip_lines_to_oriented(lines.extend_lines(tile_lines.drop("d", "id").join(box, "prj"), p.extend_ratio), p.clip_margin_m).drop("angle", "u0", "u1", "v0", "v1")
@@ -125,14 +126,14 @@ def build_rows(tile_lines: DataFrame, masks: DataFrame, p: Params = DEFAULTS) ->
     long = checkpointed(long)
     first = lines.first_line(long, "prj", order="idx")
     ends = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
-    px, py = geometry.project_point(geometry.midpoint(*ends), geometry.azimuth(*ends) + 90, p.far_probe_m)
-    near = rows.closest_to_probe(long, first.select("prj", px.alias("x"), py.alias("y")), "prj")
-    base = long.join(near.select("prj", F.col("idx").alias("base")), "prj").where("idx = base").select("prj", *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
-    met = long.join(base, "prj")
-    dx, dy = F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")
-    mx, my = geometry.midpoint(*ends)
-    across = F.abs((mx - F.col("bx1")) * dy - (my - F.col("by1")) * dx) / F.sqrt(dx * dx + dy * dy)
-    measured = met.withColumn("d", F.round(across, 6)).drop("bx1", "by1", "bx2", "by2")
+    side = (geometry.azimuth(*ends) + 270).alias("side")
+    px, py = geometry.project_point(geometry.midpoint(*ends), geometry.azimuth(*ends) + 270, p.far_probe_m)
+    probes = first.select("prj", side, px.alias("x"), py.alias("y"))
+    near = rows.closest_to_probe(long, probes, "prj").join(probes.select("prj", "side"), "prj").withColumnRenamed("idx", "base").drop("dist")
+    base = long.join(near, "prj").where("idx = base")
+    qx, qy = geometry.project_point(geometry.midpoint(*ends), F.col("side"), p.side_probe_m)
+    away = geometry.distance((F.col("qx"), F.col("qy")), geometry.midpoint(*ends))
+    measured = long.join(base.select("prj", qx.alias("qx"), qy.alias("qy")), "prj").withColumn("d", F.round(away, 6)).drop("qx", "qy")
     inside = checkpointed(lines.clip_to_polygon(measured.join(masks, "prj")).where(F.size("parts") > 0).drop("ring"))
     geometric = rows.geometric_rows(inside.select("prj", "idx", "x1", "y1", "x2", "y2"), "prj", width=2 * p.row_buffer_m)
     with_parts = inside.select("prj", "idx", "parts", F.col("inside_length").alias("crlen"), "x1", "y1", "x2", "y2", F.col("d").alias("geo_dist"))

@@ -715,8 +715,13 @@ def _(v):
 
 
 _AZ = "CASE WHEN degrees(atan2(x2 - x1, y2 - y1)) <= 0 THEN degrees(atan2(x2 - x1, y2 - y1)) + 360 ELSE degrees(atan2(x2 - x1, y2 - y1)) END"
-_SEEDED = f"""(SELECT *, CASE seed WHEN 1 THEN (xmin + xmax) / 2 WHEN 2 THEN xmin WHEN 3 THEN xmin + sin(radians(az + 270)) * 100 ELSE xmax + sin(radians(az + 270)) * 100 END AS sx,
-    CASE seed WHEN 1 THEN ymax WHEN 2 THEN (ymin + ymax) / 2 ELSE ymax + cos(radians(az + 270)) * 100 END AS sy FROM (SELECT *, first({_AZ}) OVER (PARTITION BY prj, col, row ORDER BY idx) AS az FROM {_TILE_CUT}))"""
+def _seeded(cut: str) -> str:
+    """The lines of a table with the point (sx, sy) that their tile's seed sets."""
+    return f"""(SELECT *, CASE seed WHEN 1 THEN (xmin + xmax) / 2 WHEN 2 THEN xmin WHEN 3 THEN xmin + sin(radians(az + 270)) * 100 ELSE xmax + sin(radians(az + 270)) * 100 END AS sx,
+    CASE seed WHEN 1 THEN ymax WHEN 2 THEN (ymin + ymax) / 2 ELSE ymax + cos(radians(az + 270)) * 100 END AS sy FROM (SELECT *, first({_AZ}) OVER (PARTITION BY prj, col, row ORDER BY idx) AS az FROM {cut}))"""
+
+
+_SEEDED = _seeded(_TILE_CUT)
 
 
 @query("seed_point", f"SELECT DISTINCT prj, col, row, round(sx, 5) AS sx, round(sy, 5) AS sy FROM {_SEEDED}")
@@ -784,10 +789,14 @@ def _(v):
 
 
 _IN_BOX = f"(SELECT *, x1 * {_C30!r} + y1 * {_S30!r} AS u1, y1 * {_C30!r} - x1 * {_S30!r} AS v1, x2 * {_C30!r} + y2 * {_S30!r} AS u2, y2 * {_C30!r} - x2 * {_S30!r} AS v2 FROM {_TILE_CUT})"
-_BOX_CUT = f"(SELECT prj, col, row, idx, {_CUT} FROM {_box_sql(_IN_BOX, 'u1', 'v1', 'u2', 'v2', '20', '130', '20', '60')})"
+_BOX_CUT = f"(SELECT prj, col, row, idx, seed, xmin, ymin, xmax, ymax, {_CUT} FROM {_box_sql(_IN_BOX, 'u1', 'v1', 'u2', 'v2', '20', '130', '20', '60')})"
 
 
-@query("tile_lines_in_box", f"SELECT prj, col, row, idx, round(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 6) AS length FROM {_BOX_CUT} WHERE sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) > 0.4")
+@query(
+    "tile_lines_in_box",
+    f"""WITH m AS (SELECT *, sqrt((sx - (x1 + x2) / 2) ** 2 + (sy - (y1 + y2) / 2) ** 2) AS e, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS n FROM {_seeded(_BOX_CUT)})
+    SELECT prj, col, row, min(idx) AS idx, round(arg_min(n, idx), 6) AS length FROM m WHERE n > 0.4 GROUP BY prj, col, row, e""",
+)
 def _(v):
     boxed = v.tiles.withColumns({"angle": F.lit(30.0), "u0": F.lit(20.0), "u1": F.lit(130.0), "v0": F.lit(20.0), "v1": F.lit(60.0)})
     out = lines.clean_tile_lines(v.lines, boxed, gap=0.0)

@@ -308,3 +308,16 @@ def test_contours_and_tile_images_there_and_back(spark, tmp_path):
     assert [r.asDict(True) for r in rasters.read_contours(spark, f"{tmp_path}/c").select(found.columns).collect()] == [r.asDict(True) for r in found.collect()]
     path = vectors.write_table(found, str(tmp_path), "named")
     assert path.endswith("/named") and spark.read.parquet(path).count() == 1
+
+
+def test_statistical_rows_keep_the_outermost_line_and_number_from_its_side(spark):
+    """Ten upright rows 2 m apart, each in two tiles: the row farthest to the left of the first line is number 0, at the probe's 1 m."""
+    data = [("p", 1 + i % 2, 1, k * 2 + i % 2, 1000.0 + 2 * k + 0.001 * (i % 2), 2000.0 + 10 * (i % 2), 1000.0 + 2 * k + 0.001 * (i % 2), 2008.0 + 10 * (i % 2)) for k in range(10) for i in range(2)]
+    tile_lines = spark.createDataFrame(data, "prj string, col int, row int, idx long, x1 double, y1 double, x2 double, y2 double").withColumns({"d": F.lit(0.0), "id": F.lit(0)})
+    ring = [{"x": float(a), "y": float(b)} for a, b in ((999, 1999), (1020, 1999), (1020, 2021), (999, 2021), (999, 1999))]
+    masks = spark.createDataFrame([("p", ring)], "prj string, ring array<struct<x:double,y:double>>")
+    geometric, statistical, counts = fields.build_rows(tile_lines, masks)
+    found = sorted((r["id"], round(r["geo_dist"], 3), round(r["x1"])) for r in statistical.collect())
+    assert [f[0] for f in found] == list(range(10)) and [f[1] for f in found] == pytest.approx([1 + 2 * k for k in range(10)], abs=0.01)
+    assert [f[2] for f in found] == [1000 + 2 * k for k in range(10)]  # the lines run north, so the left is the west
+    assert counts.first()["resultinglines"] == 10 and geometric.count() == 10
