@@ -956,6 +956,19 @@ def _(v):
     return contours.convex_hulls(points, "contour_id").select("contour_id", F.explode("hull").alias("p")).select("contour_id", "p.x", "p.y")
 
 
+@query("mosaic_tiles", "SELECT prj, col, row, px, py, r, g, b FROM tpix")
+def _(v):
+    """Tiles written as TIFF files in the shared folder and read back by window."""
+    from furrow.operators.kernels import tile_images
+    from furrow.sources import mosaics, shared
+
+    path = shared.shared_folder(v.spark)
+    mosaics.write_mosaics(tile_images(v.tpix).withColumn("name", F.concat_ws("-", "prj", "col", "row")), path)
+    part = F.split("prj", "-")
+    back = mosaics.read_mosaics(v.spark, path)
+    return back.select(part[0].alias("prj"), part[1].cast("int").alias("col"), part[2].cast("int").alias("row"), F.col("x").alias("px"), F.col("y").alias("py"), "r", "g", "b")
+
+
 @query("trace_contours")
 def _(v):
     from furrow.operators.kernels import tile_images

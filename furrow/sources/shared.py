@@ -5,21 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written as Parquet in spark.checkpoint.dir and read back, so that it has its true size too.
-
-    A new local folder is taken only where that setting is unset in local mode, as in tests; on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in spark.checkpoint.dir. A local folder is taken only where that setting is unset in local mode, as in tests; on a cluster
+    that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="furrow-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
-    path = f"{path.rstrip('/')}/furrow-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/furrow-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written as Parquet in the shared folder and read back, so that it has its true size too."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
