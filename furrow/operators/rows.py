@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry
+from furrow.operators import ordered
 from furrow.operators.lines import distinct_sorted, first_index_of, gap_filter, number_lines, span_groups
 from furrow.params import DEFAULTS
 
@@ -136,16 +137,28 @@ def geometric_rows(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row
     return number_lines(near, *keys, order=("grp",), name="idg")
 
 
+def _spaced(lines: DataFrame, *keys: str, p) -> DataFrame:
+    """keys, d, id: spans of different distances, then two gaps, numbered from 0. Fields of up to p.fold_values distances are folded one a group; if
+    any has more, all go by sorted ranges, which gives the same."""
+    from furrow.sources.shared import checkpointed
+
+    values = checkpointed(distinct_sorted(lines, *keys))
+    most = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= p.fold_values:
+        spans = span_groups(values, *keys, span=p.group_span).select(*keys, "d")
+        return number_lines(gap_filter(gap_filter(spans, *keys, gap=p.gap_small), *keys, gap=p.gap_large), *keys)
+    spans = ordered.span_groups(ordered.order_values(values, *keys), *keys, span=p.group_span).select(*keys, "d", "part")
+    return ordered.numbered(ordered.gap_filter(ordered.gap_filter(spans, *keys, gap=p.gap_small), *keys, gap=p.gap_large), *keys).drop("part")
+
+
 def statistical_rows(lines: DataFrame, *keys: str, p=DEFAULTS) -> DataFrame:
     """Lines (idx, d) chosen by distance alone: keys, d, idx, numbered id from 0. Spans, then two gaps, then the first line at that distance."""
-    spans = span_groups(distinct_sorted(lines, *keys), *keys, span=p.group_span).select(*keys, "d")
-    spaced = gap_filter(gap_filter(spans, *keys, gap=p.gap_small), *keys, gap=p.gap_large)
-    return number_lines(first_index_of(spaced, lines, *keys), *keys)
+    spaced = _spaced(lines, *keys, p=p)
+    return first_index_of(spaced, lines, *keys).join(spaced, [*keys, "d"]).select(*keys, "d", "idx", "id")
 
 
 def result_counts(lines: DataFrame, *keys: str, p=DEFAULTS) -> DataFrame:
     """keys, candidatelines (different distances) and resultinglines (those of the statistical branch)."""
-    candidates = lines.groupBy(*keys).agg(F.countDistinct("d").alias("candidatelines"))
-    spans = span_groups(distinct_sorted(lines, *keys), *keys, span=p.group_span).select(*keys, "d")
-    results = gap_filter(gap_filter(spans, *keys, gap=p.gap_small), *keys, gap=p.gap_large).groupBy(*keys).agg(F.count(F.lit(1)).alias("resultinglines"))
+    candidates = distinct_sorted(lines, *keys).groupBy(*keys).agg(F.count("d").alias("candidatelines"))
+    results = _spaced(lines, *keys, p=p).groupBy(*keys).agg(F.count(F.lit(1)).alias("resultinglines"))
     return candidates.join(results, list(keys), "left").na.fill(0, ["resultinglines"])

@@ -19,6 +19,7 @@ class Params:
     segment_min_area: int = 400
     extend_ratio: float = 500.0
     group_span: float = 1.3
+    fold_values: int = 200_000  # distances of one field that one task folds; beyond, sorted ranges
     gap_small: float = 0.4
     gap_large: float = 0.9
     clip_margin_m: float = 20.0

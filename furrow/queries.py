@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry, names, spectral
-from furrow.operators import angles, contours, grid, lines, raster, rows
+from furrow.operators import angles, contours, grid, lines, ordered, raster, rows
 from furrow.sources import manifests, vectors
 from furrow.views import TILE_PX, Views, pt, with_views
 
@@ -766,6 +766,17 @@ def _(v):
     return lines.span_groups(v.dists, "prj")
 
 
+@query("span_groups_in_ranges", f"WITH RECURSIVE {_SPANS.format('dists')} SELECT prj, grp, d FROM spans")
+def _(v):
+    return ordered.span_groups(ordered.order_values(lines.distinct_sorted(v.dists, "prj"), "prj"), "prj").drop("part")
+
+
+@query("gap_filter_in_ranges", "SELECT prj, d, row_number() OVER (PARTITION BY prj ORDER BY d) - 1 AS id FROM (SELECT prj, d, coalesce(lag(d) OVER (PARTITION BY prj ORDER BY d), 0) AS b FROM (SELECT DISTINCT prj, d FROM dists)) WHERE abs(d - b) >= 1.3")
+def _(v):
+    kept = ordered.gap_filter(ordered.order_values(lines.distinct_sorted(v.dists, "prj"), "prj"), "prj")
+    return ordered.numbered(kept, "prj").select("prj", "d", F.col("id").cast("long").alias("id"))
+
+
 @query("first_index_of", "SELECT prj, d, min(idx) AS idx FROM dists GROUP BY ALL")
 def _(v):
     return lines.first_index_of(lines.distinct_sorted(v.dists, "prj"), v.dists, "prj")
