@@ -135,7 +135,7 @@ def build_rows(tile_lines: DataFrame, masks: DataFrame, p: Params = DEFAULTS) ->
     away = geometry.distance((F.col("qx"), F.col("qy")), geometry.midpoint(*ends))
     measured = long.join(base.select("prj", qx.alias("qx"), qy.alias("qy")), "prj").withColumn("d", F.round(away, 6)).drop("qx", "qy")
     inside = checkpointed(lines.clip_to_polygon(measured.join(masks, "prj")).where(F.size("parts") > 0).drop("ring"))
-    geometric = rows.geometric_rows(inside.select("prj", "idx", "x1", "y1", "x2", "y2"), "prj", width=2 * p.row_buffer_m)
+    geometric = rows.geometric_rows(inside.select("prj", "idx", "x1", "y1", "x2", "y2"), "prj", width=2 * p.row_buffer_m, dissolved=True)
     with_parts = inside.select("prj", "idx", "parts", F.col("inside_length").alias("crlen"), "x1", "y1", "x2", "y2", F.col("d").alias("geo_dist"))
     statistical = rows.statistical_rows(inside.select("prj", "idx", "d"), "prj", p=p)
     return rows.select_lines(geometric, with_parts, "prj").join(geometric.select("prj", "idx", "grp", "idg"), ["prj", "idx"]), statistical.join(with_parts, ["prj", "idx"]), rows.result_counts(inside, "prj", p=p)

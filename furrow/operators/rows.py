@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry
-from furrow.operators import ordered
+from furrow.operators import buffers, ordered
 from furrow.operators.lines import distinct_sorted, first_index_of, gap_filter, number_lines, span_groups
 from furrow.params import DEFAULTS
+from furrow.sources.shared import checkpointed
 
 
 def _ends(suffix: str = "") -> tuple[geometry.Point, geometry.Point]:
@@ -44,19 +45,21 @@ def overlap_pairs(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row_
     at = lambda x: F.when(long > 0, F.col("v1") + (F.col("v2") - F.col("v1")) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("u1")) / F.when(long > 0, long))))
     low, high = F.coalesce(at(F.col("cu") * F.col("su") - width), "v1"), F.coalesce(at((F.col("cu") + 1) * F.col("su") + width), "v2")
     ranged = cut.withColumn("s0", F.floor((F.least(low, high) - width) / strip)).withColumn("s1", F.floor((F.greatest(low, high) + width) / strip))
-    dealt = ranged.select(*keys, "idx", "x1", "y1", "x2", "y2", "cu", "s0", "s1", F.explode(F.sequence("s0", "s1")).alias("cs"))
-    other = dealt.select(*keys, "cu", "cs", F.col("s0").alias("s0_b"), *[F.col(c).alias(f"{c}_b") for c in ("idx", "x1", "y1", "x2", "y2")])
-    # In one interval a pair is looked at in the first strip that both touch.
-    met = dealt.join(other, [*keys, "cu", "cs"]).where((F.col("idx") < F.col("idx_b")) & (F.col("cs") == F.greatest("s0", "s0_b")))
+    box = {"vl": F.least("v1", "v2"), "vh": F.greatest("v1", "v2")}
+    dealt = ranged.withColumns(box).select(*keys, "idx", "x1", "y1", "x2", "y2", "u1", "u2", "vl", "vh", "cu", "s0", F.explode(F.sequence("s0", "s1")).alias("cs"))
+    other = dealt.select(*keys, "cu", "cs", *[F.col(c).alias(f"{c}_b") for c in ("idx", "x1", "y1", "x2", "y2", "u1", "u2", "vl", "vh", "s0")])
+    # In one interval a pair is looked at in the first strip that both touch; boxes in the common direction are held apart before the distance is worked out.
+    apart = lambda low, high: (F.col(low) < F.col(f"{high}_b") + width) & (F.col(f"{low}_b") < F.col(high) + width)
+    met = dealt.join(other, [*keys, "cu", "cs"]).where((F.col("idx") < F.col("idx_b")) & (F.col("cs") == F.greatest("s0", "s0_b")) & apart("vl", "vh") & apart("u1", "u2"))
+    # Written, so that the join's code stays small and only pairs with boxes that meet are measured.
+    close = checkpointed(met.select(*keys, "idx", "idx_b", *[f"{c}{i}" for i in ("", "_b") for c in ("x1", "y1", "x2", "y2")]).distinct())
     near = geometry.segment_distance(*_ends(), *_ends("_b")) < width
-    return met.where(near).select(*keys, F.col("idx").alias("a"), F.col("idx_b").alias("b")).distinct()
+    return close.where(near).select(*keys, F.col("idx").alias("a"), F.col("idx_b").alias("b"))
 
 
 def dissolve_groups(lines: DataFrame, pairs: DataFrame, *keys: str, most_rounds: int = 100) -> DataFrame:
     """keys, idx, grp: the least idx that a line is joined to by pairs. Least labels spread with pointer jumping; each round ends in a
     reliable checkpoint (spark.checkpoint.dir)."""
-    from furrow.sources.shared import checkpointed
-
     both = checkpointed(pairs.select(*keys, "a", "b").union(pairs.select(*keys, "b", "a")).toDF(*keys, "idx", "to"))
     labels = checkpointed(lines.select(*keys, "idx", F.col("idx").alias("grp")))
     for _ in range(most_rounds):
@@ -95,8 +98,6 @@ def nearest_line(points: DataFrame, lines: DataFrame, *keys: str, point: str = "
     farther than the reach look again with a reach four times as wide, among the lines of the keys still waiting that lie within reach of
     the box of their waiting points. Points of a key without lines have no row.
     """
-    from furrow.sources.shared import checkpointed
-
     x0, x1, y0, y1 = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
     span = lambda lo, hi, side: F.sequence(F.floor(lo / side), F.floor(hi / side))
     waiting = checkpointed(points.select(*keys, point, "x", "y").join(lines.select(*keys).distinct(), list(keys), "left_semi"))
@@ -129,10 +130,15 @@ def select_lines(chosen: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
     return chosen.select(*keys, "idx").join(lines, [*keys, "idx"])
 
 
-def geometric_rows(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row_buffer_m) -> DataFrame:
-    """Lines chosen for groups of overlapping buffers: keys, grp, idx (the line nearest to the group's centroid), numbered idg from 0."""
-    pairs = overlap_pairs(lines, *keys, width=width)
-    centres = group_centroids(lines, dissolve_groups(lines, pairs, *keys), *keys)
+def geometric_rows(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row_buffer_m, dissolved: bool = False) -> DataFrame:
+    """Lines chosen for groups of overlapping buffers: keys, grp, idx (the line nearest to the group's centroid), numbered idg from 0. The centroid is the
+    mean of the lines' mid-points by length, or with dissolved that of the dissolved buffers' area."""
+    pairs = checkpointed(overlap_pairs(lines, *keys, width=width))
+    groups = dissolve_groups(lines, pairs, *keys)
+    if dissolved:
+        centres = buffers.dissolved_areas(buffers.union_borders(lines, groups, pairs, *keys, radius=width / 2), *keys, radius=width / 2).drop("area")
+    else:
+        centres = group_centroids(lines, groups, *keys)
     near = nearest_line(centres, lines, *keys, point="grp")
     return number_lines(near, *keys, order=("grp",), name="idg")
 
@@ -140,8 +146,6 @@ def geometric_rows(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row
 def _spaced(lines: DataFrame, *keys: str, p) -> DataFrame:
     """keys, d, id: spans of different distances, then two gaps, numbered from 0. Fields of up to p.fold_values distances are folded one a group; if
     any has more, all go by sorted ranges, which gives the same."""
-    from furrow.sources.shared import checkpointed
-
     values = checkpointed(distinct_sorted(lines, *keys))
     most = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if most <= p.fold_values:

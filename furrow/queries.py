@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry, names, spectral
-from furrow.operators import angles, contours, grid, lines, ordered, raster, rows
+from furrow.operators import angles, buffers, contours, grid, lines, ordered, raster, rows
 from furrow.sources import manifests, vectors
 from furrow.views import TILE_PX, Views, pt, with_views
 
@@ -860,6 +860,27 @@ def _(v):
     return rows.group_centroids(v.lines, groups, "prj").select("prj", "grp", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
 
 
+def _borders(v):
+    """What is left of the buffers' borders of lines in groups of overlapping ones."""
+    from furrow.sources.shared import checkpointed
+
+    pairs = checkpointed(rows.overlap_pairs(v.lines, "prj"))
+    return buffers.union_borders(v.lines, rows.dissolve_groups(v.lines, pairs, "prj"), pairs, "prj")
+
+
+@query("dissolved_areas")
+def _(v):
+    return buffers.dissolved_areas(_borders(v), "prj").select("prj", "grp", *[r6(F.col(c), c) for c in ("area", "x", "y")])
+
+
+@query("dissolved_rings")
+def _(v):
+    from furrow.sources.shared import checkpointed
+
+    points = buffers.dissolved_rings(checkpointed(_borders(v)), "prj")
+    return points.select("prj", "grp", F.col("ring.idx").alias("ring_idx"), F.col("ring.piece").alias("ring_piece"), "place", "step", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+
+
 _NEAR = f"round({_point_segment('p.x', 'p.y', 'l.x1', 'l.y1', 'l.x2', 'l.y2')}, 9)"
 
 
