@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry, names, spectral
-from furrow.operators import angles, buffers, contours, grid, lines, ordered, raster, rows
+from furrow.operators import angles, buffers, contours, grid, lines, ordered, raster, regions, rows
 from furrow.sources import manifests, vectors
 from furrow.views import TILE_PX, Views, pt, with_views
 
@@ -586,9 +586,58 @@ def _(v):
     return contours.smooth_contours(v.contours)
 
 
-@query("components")
+_AREAS = """WITH RECURSIVE s AS (SELECT prj, col, row, px, py, px - row_number() OVER (PARTITION BY prj, col, row, py ORDER BY px) AS g FROM bpix WHERE mask > 0),
+    runs AS (SELECT prj, col, row, py, g, min(px) AS x0, max(px) AS x1, py * 2147483648 + min(px) AS id FROM s GROUP BY prj, col, row, py, g),
+    e AS (SELECT a.prj, a.col, a.row, a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.prj = b.prj AND a.col = b.col AND a.row = b.row AND abs(a.py - b.py) <= 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1),
+    lab(k, prj, col, row, id, l) AS (
+        SELECT 0, prj, col, row, id, id FROM runs
+        UNION ALL SELECT any_value(k) + 1, r.prj, r.col, r.row, e.b, min(r.l) FROM lab r JOIN e ON e.prj = r.prj AND e.col = r.col AND e.row = r.row AND e.a = r.id WHERE k < 400 GROUP BY r.prj, r.col, r.row, e.b),
+    named AS (SELECT r.prj, r.col, r.row, r.py, r.g, l AS label, sum(x1 - x0 + 1) OVER (PARTITION BY r.prj, r.col, r.row, l) AS area FROM runs r JOIN lab ON lab.prj = r.prj AND lab.col = r.col AND lab.row = r.row AND lab.id = r.id AND k = 400)
+    SELECT prj, col, row, px, py, label, CAST(area AS BIGINT) AS area FROM s JOIN named USING (prj, col, row, py, g) WHERE area >= 4"""
+
+
+@query("components", _AREAS)
+def _(v):
+    found = regions.components(v.bpix.where("mask > 0"), *TILE, least_area=4)
+    return found.select(*_AT, "label", "area")
+
+
+_AWAY = """SELECT p.prj, p.col, p.row, p.px, p.py, coalesce(min((p.px - u.px) ** 2 + (p.py - u.py) ** 2), 0) AS d2
+    FROM bpix p LEFT JOIN bpix u ON u.mask = 0 AND u.prj = p.prj AND u.col = p.col AND u.row = p.row GROUP BY ALL"""
+
+
+@query("distance_transform", f"SELECT prj, col, row, px, py, round(sqrt(d2), 6) AS distance FROM ({_AWAY})")
 def _(v):
-    return contours.components(v.bpix.where("mask > 0"), *TILE, least_area=4)
+    return regions.distances(v.bpix, *TILE).select(*_AT, r6(F.col("distance"), "distance"))
+
+
+@query(
+    "distance_mask",
+    f"""WITH a AS (SELECT *, sqrt(d2) AS d FROM ({_AWAY})), m AS (SELECT prj, col, row, min(d) AS lo, max(d) AS hi FROM a GROUP BY ALL)
+    SELECT prj, col, row, px, py, CASE WHEN hi > lo AND (d - lo) / (hi - lo) >= 0.4 THEN 255 ELSE 0 END AS core FROM a JOIN m USING (prj, col, row)""",
+)
+def _(v):
+    return regions.distance_mask(v.bpix, *TILE).select(*_AT, "core")
+
+
+def _edge_sql() -> str:
+    """Each side of each set pixel between set and unset, with the side that follows, from the eight pixels around it."""
+    around = ", ".join(f"coalesce(max(CASE WHEN n.px - p.px = {dx} AND n.py - p.py = {dy} THEN 1 END), 0) AS n{dx + 1}{dy + 1}" for dx in (-1, 0, 1) for dy in (-1, 0, 1))
+    bit = lambda d: f"n{d[0] + 1}{d[1] + 1} = 1"
+    # side, what lies outside it, ahead on the right, ahead on the left, the side after a right turn, the side after a left turn
+    sides = [(0, (0, -1), (-1, -1), (-1, 0), 3, 1), (1, (-1, 0), (-1, 1), (0, 1), 0, 2), (2, (0, 1), (1, 1), (1, 0), 1, 3), (3, (1, 0), (1, -1), (0, -1), 2, 0)]
+    pick = lambda r, l, a, b, c: f"CASE WHEN {bit(r)} THEN {a} WHEN {bit(l)} THEN {b} ELSE {c} END"
+    each = [
+        f"SELECT prj, col, row, px, py, {s} AS side, px + {pick(r, l, r[0], l[0], 0)} AS next_x, py + {pick(r, l, r[1], l[1], 0)} AS next_y, {pick(r, l, a, s, b)} AS next_side FROM n WHERE NOT {bit(o)}"
+        for s, o, r, l, a, b in sides
+    ]
+    return f"""WITH n AS (SELECT p.prj, p.col, p.row, p.px, p.py, {around} FROM bpix p JOIN bpix n ON n.prj = p.prj AND n.col = p.col AND n.row = p.row AND n.mask > 0
+        AND n.px BETWEEN p.px - 1 AND p.px + 1 AND n.py BETWEEN p.py - 1 AND p.py + 1 WHERE p.mask > 0 GROUP BY ALL) {" UNION ALL ".join(each)}"""
+
+
+@query("border_edges", _edge_sql())
+def _(v):
+    return regions.border_edges(v.bpix.where("mask > 0"), *TILE)
 
 
 @query("tile_pipeline")
@@ -1003,9 +1052,4 @@ def _(v):
 
 @query("trace_contours")
 def _(v):
-    from furrow.operators.kernels import tile_images
-
-    marked = v.bpix.select(*_AT, *[(F.col("mask") if c == "r" else F.lit(0)).alias(c) for c in "rgb"])
-    masks = tile_images(marked)
-    first = F.expr("transform(sequence(1, length(data), 3), i -> substring(data, i, 1))")
-    return contours.trace_contours(masks.withColumn("data", F.unhex(F.array_join(F.transform(first, lambda b: F.hex(b)), ""))))
+    return regions.trace_contours(v.bpix.where("mask > 0"), *TILE)
