@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -151,68 +152,176 @@ def is_armoured_key(body: str) -> bool:
     return is_der_key(data) or is_openssh_key(data)
 
 
-def _der_length(head: bytes) -> int | None:
-    """The whole length of the SEQUENCE that starts with head (12 bytes or more), if a version, and after it an INTEGER, OCTET STRING or
-    SEQUENCE, or else the SEQUENCE of an OBJECT IDENTIFIER is first in it."""
-    n = head[1] & 0x7F if head[1] > 0x80 else 0
-    if head[0] != 0x30 or head[1] == 0x80 or n > 4:
-        return None
-    inside = head[2 + n :]
-    if inside[0] == 0x30:
-        if inside[2 + (inside[1] & 0x7F if inside[1] > 0x80 else 0) :][:1] not in (b"\6", b""):
+class Runs:
+    """The runs of base64 or hex characters of a text, a run that goes on over line ends being one chain, with bytes to be decoded anywhere in it.
+
+    A character's coordinate is its place less the gaps before it in its chain, so that any number of characters further on is found by
+    bisection, however many lines lie between."""
+
+    def __init__(self, text: str, of_hex: bool):
+        self.text, self.of_hex = text, of_hex
+        runs = [m.span() for m in (_HEX_RUN if of_hex else _BASE64_RUN).finditer(text)]
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+        self.heads: dict[int, tuple[int, int, int] | None] = {}
+        self.moved, self.first, self.last = [0] * len(runs), list(self.starts), list(range(len(runs)))
+        for j in range(1, len(runs)):
+            gap = _BREAK.match(text, self.ends[j - 1]) if runs[j][0] - runs[j - 1][1] < 1000 else None
+            if gap and self.starts[j] <= gap.end() < self.ends[j]:
+                self.first[j] = self.ends[j - 1] + self.moved[j - 1]
+                self.moved[j] = self.first[j] - gap.end()
+        for j in range(len(runs) - 2, -1, -1):
+            if self.first[j + 1] == self.ends[j] + self.moved[j] and self.starts[j + 1] != self.first[j + 1]:
+                self.last[j] = self.last[j + 1]
+
+    def _run(self, at: int) -> int:
+        return bisect.bisect_right(self.starts, at) - 1
+
+    def left(self, at: int) -> int:
+        """How many characters of the chain there are from a place on."""
+        j = self._run(at)
+        k = self.last[j]
+        return self.ends[k] + self.moved[k] - at - self.moved[j]
+
+    def place(self, at: int, count: int) -> int:
+        """Where the text stands after so many characters from a place on."""
+        j = self._run(at)
+        c = at + self.moved[j] + count
+        k = j if c <= self.ends[j] + self.moved[j] else bisect.bisect_left(self.first, c, j + 1, self.last[j] + 1) - 1
+        return c - self.moved[k]
+
+    def chars(self, at: int, skip: int, count: int) -> str:
+        j = self._run(at)
+        c, out = at + self.moved[j] + skip, []
+        if c >= self.ends[j] + self.moved[j]:
+            j = bisect.bisect_right(self.first, c, j + 1, self.last[j] + 1) - 1
+        while count > 0:
+            piece = self.text[c - self.moved[j] : min(self.ends[j], c - self.moved[j] + count)]
+            out.append(piece)
+            c, count = c + len(piece), count - len(piece)
+            if j == self.last[j]:
+                break
+            j += 1
+        return "".join(out)
+
+    def bytes(self, at: int, skip: int, count: int) -> bytes:
+        """`count` bytes, `skip` bytes into what begins at a place; fewer at the chain's end."""
+        if self.of_hex:
+            some = self.chars(at, 2 * skip, 2 * count)
+            return bytes.fromhex(some[: len(some) // 2 * 2])
+        first = skip // 3
+        some = self.chars(at, 4 * first, 4 * (-(-(skip + count) // 3) - first))
+        return (decode_base64(some[: len(some) - (len(some) % 4 == 1)]) or b"")[skip - 3 * first :][:count]
+
+    def head(self, at: int, skip: int) -> tuple[int, int, int] | None:
+        """(tag, bytes of the head, length) of the DER part `skip` bytes into what begins at a place; None if it has none. Candidates that overlap
+        share what was read, by the bit it begins at."""
+        key = 6 * (at + self.moved[self._run(at)]) + 8 * skip if not self.of_hex else 4 * (at + self.moved[self._run(at)]) + 8 * skip
+        if key in self.heads:
+            return self.heads[key]
+        head, found = self.bytes(at, skip, 6), None
+        if len(head) >= 2 and head[1] != 0x80:
+            n = head[1] & 0x7F if head[1] > 0x80 else 0
+            length = int.from_bytes(head[2 : 2 + n], "big") if n else head[1]
+            if not n or (n <= 4 and len(head) >= 2 + n and head[2] != 0 and length >= 0x80):
+                found = (head[0], 2 + n, length)
+        if len(self.heads) > 200_000:  # a bound of memory
+            self.heads.clear()
+        self.heads[key] = found
+        return found
+
+    def size(self, length: int) -> int:
+        """Characters of so many bytes."""
+        return 2 * length if self.of_hex else -(-length * 4 // 3)
+
+
+#: A private key has no more parts than this, those within parts included: version, algorithm, numbers, attributes.
+MOST_PARTS = 32
+
+
+def _parts(runs: Runs, at: int, begin: int, end: int, depth: int, left: list[int]) -> list | None:
+    """(tag, begin, length, parts inside or None) of the DER parts that fill bytes begin to end of what begins at a place; None if they don't, nest too
+    deeply or are too many. Only tags and lengths are decoded, from the front inward, so a candidate costs no more than MOST_PARTS steps."""
+    out = []
+    while begin < end:
+        left[0] -= 1
+        head = runs.head(at, begin) if left[0] >= 0 and depth <= 12 else None
+        if head is None:
             return None
-    elif inside[:3] not in (b"\2\1\0", b"\2\1\1") or inside[3] not in (0x02, 0x04, 0x30):
-        return None
-    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        tag, n, length = head
+        first = begin + n
+        if first + length > end:
+            return None
+        inside = _parts(runs, at, first, first + length, depth + 1, left) if tag & 0x20 else None
+        if tag & 0x20 and inside is None:
+            return None
+        out.append((tag, first, length, inside))
+        begin = first + length
+    return out
 
 
-def _wrapped(text: str, at: int, run: re.Pattern, most: int) -> tuple[str, int]:
-    """At most so many characters of a run from at on, which may go on over line ends, and where they stop."""
-    out, left, end = [], most, at
-    while left:
-        m = run.match(text, at, at + left)
-        if not m:
-            break
-        out.append(m[0])
-        left, end = left - len(m[0]), m.end()
-        gap = _BREAK.match(text, end) if left else None
-        if not gap:
-            break
-        at = gap.end()
-    return "".join(out), end
+def der_end(runs: Runs, at: int) -> int | None:
+    """Where the private key that begins at a place ends, None without one: is_der_key by tags and lengths alone."""
+    head = runs.head(at, 0)
+    if head is None or head[0] != 0x30:
+        return None
+    length = head[1] + head[2]
+    if length < 32 or runs.size(length) > runs.left(at):
+        return None
+    whole = _parts(runs, at, 0, length, 0, [MOST_PARTS])
+    if not whole or len(whole) != 1 or whole[0][3] is None:
+        return None
+    inside = whole[0][3]
+    tags = [part[0] for part in inside]
+    if tags == [0x30, 0x04] and inside[1][2] >= 16:
+        algorithm = inside[0][3]
+        encrypted = [part[0] for part in algorithm] == [0x06, 0x30] and bool(algorithm[1][3])
+        return runs.place(at, runs.size(length)) if encrypted else None
+    if len(inside) < 2 or tags[0] != 0x02 or inside[0][2] != 1 or runs.bytes(at, inside[0][1], 1) not in (b"\0", b"\1"):
+        return None
+    long = [tag for tag, _, size, _ in inside if size >= 16]
+    return runs.place(at, runs.size(length)) if long.count(0x02) >= 4 or 0x04 in long else None
 
 
-def _decoded(run: str, of_hex: bool) -> bytes | None:
-    return bytes.fromhex(run[: len(run) // 2 * 2]) if of_hex else decode_base64(run[: len(run) - (len(run) % 4 == 1)])
+def _openssh_length(runs: Runs, at: int) -> int | None:
+    """The length of the openssh-key-v1 container that begins at a place; only the strings' lengths are decoded, a hundred or so at most."""
+    end, strings, keys = len(_OPENSSH), 3, None
+    most = runs.left(at) // 2 if runs.of_hex else runs.left(at) * 3 // 4
+    while end + 4 <= most:
+        length = int.from_bytes(runs.bytes(at, end, 4), "big")
+        end += 4
+        if strings:
+            end, strings = end + length, strings - 1
+            if strings == 0 and keys is not None:
+                return end if end <= most else None
+        elif 0 < length < 100:
+            keys = length
+            strings = keys + 1
+        else:
+            return None
+    return None
 
 
 def key_spans(text: str) -> list[tuple[int, int, str]]:
-    """Keys in base64 or hex, found by their heads. A key's inner parts, which may look like keys, are not reported."""
-    found = []
-    for head, run, of_hex in (_BASE64_HEAD, _BASE64_RUN, False), (_HEX_HEAD, _HEX_RUN, True):
+    """Keys in base64 or hex, found by their heads and read inward by their lengths. A key's inner parts, which may look like keys, are not reported."""
+    found, made = [], {}
+
+    def runs_of(of_hex: bool) -> Runs:
+        if of_hex not in made:
+            made[of_hex] = Runs(text, of_hex)
+        return made[of_hex]
+
+    for head, of_hex in ((_BASE64_HEAD, False), (_HEX_HEAD, True)):
         last = 0
         for m in head.finditer(text):
-            at = m.start()
-            length = _der_length(_decoded(text[at : at + (32 if of_hex else 16)], of_hex)) if at >= last else None
-            most = 0 if length is None else 2 * length if of_hex else -(-length * 4 // 3)
-            if not 0 < most <= len(text) - at:
-                continue
-            key, end = _wrapped(text, at, run, most)
-            if len(key) == most and is_der_key(_decoded(key, of_hex)):
-                found.append((at, end, "der", of_hex))
+            end = der_end(runs_of(of_hex), m.start()) if m.start() >= last else None
+            if end is not None:
+                found.append((m.start(), end, "der", of_hex))
                 last = end
     for m in _OPENSSH_HEADS.finditer(text):
         of_hex = m[0][0] == "6"
-        run = _HEX_RUN if of_hex else _BASE64_RUN
-        length, chars = -64, lambda n: 2 * n if of_hex else -(-n * 4 // 3)
-        while length is not None and length < 0 and chars(-length) <= len(text) - m.start():
-            most = chars(max(4096, -2 * length))
-            key = _wrapped(text, m.start(), run, most)[0]
-            length = openssh_end(_decoded(key, of_hex))
-            if len(key) < most:
-                break
-        if length is not None and length > 0:
-            found.append((m.start(), _wrapped(text, m.start(), run, chars(length))[1], "openssh", of_hex))
+        length = _openssh_length(runs_of(of_hex), m.start())
+        if length is not None:
+            found.append((m.start(), runs_of(of_hex).place(m.start(), runs_of(of_hex).size(length)), "openssh", of_hex))
     padded = lambda end: end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
     return [(at, end if of_hex else padded(end), kind) for at, end, kind, of_hex in found]
 

@@ -146,6 +146,20 @@ def test_secret_scan_of_long_hostile_texts():
     assert secrets.token_spans(f"eyJeyJ_{token} x.{token}") == [(7, 7 + len(token), "token"), (10 + len(token), 10 + 2 * len(token), "token")]
 
 
+@pytest.mark.parametrize("declared", [100, 5_000, 120_000, 700_000])
+def test_repeated_key_heads_are_read_in_linear_time(declared):
+    """A head of a SEQUENCE or an OpenSSH container of any declared length, repeated through 1 MB."""
+    long = declared.to_bytes(4, "big")
+    heads = [b"\x30\x84" + long + b"\2\1\0\2\1\0", b"\x30\x83" + long[1:] + b"\2\1\0\4\x20", b"\x30\x84" + long + b"\2\1\0\2\x10", b"\x30\x84" + long + b"\x30\3\6\1\x2a\4", b"\x30\x84" + long + b"\2\1\0\x04\x84" + (declared - 9).to_bytes(4, "big")]
+    heads += [b"openssh-key-v1\0" + b"\0\0\0\4none" + long, b"openssh-key-v1\0" + b"\0\0\0\0" * 3 + b"\0\0\0\x40" + long]
+    for head in heads:
+        head = head.ljust(-(-len(head) // 3) * 3, b"\0")
+        for line in (base64.b64encode(head).decode(), head.hex()):
+            text = line * (10**6 // len(line))
+            for wrapped in (text, "\n".join(text[i : i + 64] for i in range(0, len(text), 64))):
+                quick(lambda: secrets.key_spans(wrapped), 10)
+
+
 # HTML
 
 
