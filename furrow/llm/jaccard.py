@@ -97,7 +97,7 @@ def _describe(percent: int, width: int, common: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat([0, 1], [d, h]).astype(np.int32)),
-                    pa.concat_arrays([ids.cast(pa.int64()), nulls.cast(pa.int64())]),
+                    pa.concat_arrays([ids, nulls.cast(ids.type)]),
                     pa.concat_arrays([pa.array(n, pa.int64()), pa.array(count, pa.int64())]),
                     pa.concat_arrays([binary16(np.array(names, np.uint64).reshape(d, 2)), nulls.cast(pa.binary())]),
                     pa.concat_arrays([pa.array(bits, pa.binary()), nulls.cast(pa.binary())]),
@@ -367,14 +367,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """(sid, label, of): a set's component, and a hash of its label as a long."""
-    return components(links).select(F.col("node").alias("sid"), "label", F.xxhash64("label").alias("of"))
+    """(sid, label): a set's component, named by its least set's 128 bits."""
+    return components(links).select(F.col("node").alias("sid"), "label")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose sets lie in different components; a set without links is one of its own."""
     for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("sid").alias(side), "of"), side, "left").withColumn(f"of_{side}", F.coalesce("of", F.xxhash64(side))).drop("of")
+        pairs = pairs.join(labels.withColumnRenamed("sid", side), side, "left").withColumn(f"of_{side}", F.coalesce("label", side)).drop("label")
     return pairs.where("of_a <> of_b").drop("of_a", "of_b")
 
 
@@ -419,7 +419,7 @@ def _near(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [*(batch.column(c).to_numpy() for c in ("list", "n", "label")), *(np.array(batch.column(c).to_pylist(), object) for c in ("sid", "bits"))]
+            now = [*(batch.column(c).to_numpy() for c in ("list", "n")), *(np.array(batch.column(c).to_pylist(), object) for c in ("label", "sid", "bits"))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = int(np.searchsorted(now[0], now[0][-1]))
@@ -482,7 +482,7 @@ def _pairs_between(members: DataFrame, facts: DataFrame, percent: int, most: int
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(list, sid, label, m) of the lists (list, sid) of m sets that hold several components."""
-    named = members.join(labels.select("sid", "of"), "sid", "left").select("list", "sid", F.coalesce("of", F.xxhash64("sid")).alias("label"))
+    named = members.join(labels, "sid", "left").select("list", "sid", F.coalesce("label", "sid").alias("label"))
     several = named.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("list", "m")
     return checkpointed(named.join(several, "list"))
 
@@ -500,7 +500,7 @@ def jaccard_classes(
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
-    docs needs doc_id and text; other columns are ignored. A-Z count as a-z; words are runs of bytes other than
+    docs needs doc_id (a number, or bytes) and text; other columns are ignored. A-Z count as a-z; words are runs of bytes other than
     space and 0x09-0x0D. A set holds the distinct shingles of `width` words; a text with fewer words
     has its whole sequence as one; a null text or one without words has an empty set, links with nothing and
     is its own component. Two rows link when 100 * intersection >= percent * union. component_id is the
@@ -518,9 +518,11 @@ def jaccard_classes(
 
 def _classes(docs, percent, width, common, least_common, most_common, block, few, most_bits) -> DataFrame:
     spark = docs.sparkSession
-    texts = pick(docs, doc_id="long", text="string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = kind if kind == "binary" else "bigint"
+    texts = pick(docs, doc_id=kind, text="string")
     described = written(
-        texts.mapInArrow(_describe(percent, width, common), "kind int, doc_id long, n long, sid binary, bits binary, shingle long"), "described"
+        texts.mapInArrow(_describe(percent, width, common), f"kind int, doc_id {kind}, n long, sid binary, bits binary, shingle long"), "described"
     )
     rows = described.where("kind = 0").select("doc_id", "n", "sid")
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from furrow.llm.common import written
@@ -79,3 +80,26 @@ def test_stages_with_repeated_rows_and_null_ids(spark):
     assert abs(sum(len(r["text"].split()) for r in mixed) - 1.5 * size) <= 1
     times = Counter((r["doc_id"], r["text"].split()[0]) for r in mixed)
     assert times[(1, "aw0")] <= 6 and times[(None, "bw0")] <= 4 and all(n >= 1 for n in times.values()) and len(times) == len({(i, t.split()[0]) for i, t in rows_ if t})
+
+
+def test_stages_with_empty_tables_long_texts_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {"p_key": F.lit("x"), "p_row": F.lit(1), "key": F.lit("k"), "kept": F.lit(True), "e": F.lit(0), "position": F.lit(0.5), "label": F.lit(1), "of": F.lit(2)}
+    long = " ".join(f"w{i % 977} and then {i}" for i in range(60_000))
+    plain = " ".join(f"the word {i} of the text and {i}" for i in range(12))
+    frame = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, plain, None, None, None), (None, None, None, None, None), (3, "", "de", "t", 0)], schema).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), "").collect() == [], name
+        kept = stage(spark, frame, "").collect()
+        assert {1, 2} <= {r["doc_id"] for r in kept}, name
+        if name == "packing":
+            assert sum(r["length"] for r in kept if r["doc_id"] == 1) == next(r["doc_tokens"] for r in kept if r["doc_id"] == 1) > 100_000
+            assert len([r for r in kept if r["doc_id"] is None]) == 1
+
+
+def test_repeats_of_one_page_meet_before_they_move(spark):
+    page = "word " * 500
+    frame = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(page).alias("text"), F.lit("en").alias("lang"), (F.col("id") % 3).cast("string").alias("source"), F.lit(2500).cast("long").alias("n_chars"))
+    assert [r["source"] for r in corpus_pipeline.dedup(spark, frame, "").collect()] == ["0"]
+    plan = corpus_pipeline._single(frame, F.md5("text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min") > plan.index("Exchange")  # printed from the top: the partial minimum lies below the shuffle
