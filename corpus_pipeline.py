@@ -6,7 +6,7 @@ the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.common import scratch
@@ -22,15 +22,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null text has no words and goes; other nulls, repeated rows and extra columns make no difference; no rows give none."""
     return quality_rules(docs).where("kept").select(*COLUMNS)
 
 
+def _single(docs: DataFrame, key: Column) -> DataFrame:
+    """p_key and the columns of docs, one row a key; rows with one key are repeats of each other in doc_id and text. Repeats meet in their own tasks first, so that
+    of a page with very many of them one row a task moves."""
+    least = F.min(F.struct("source", "lang", "n_chars", "doc_id", "text")).alias("p_row")
+    return docs.withColumn("p_key", key).groupBy("p_key").agg(least).select("p_key", *[F.col(f"p_row.{c}").alias(c) for c in COLUMNS])
+
+
 def _once(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
-    """One row of docs for each key in stay (key), a table of different keys; rows with one key are repeats of each other."""
-    met = docs.withColumn("p_key", key).join(stay.select(F.col("key").alias("p_stay")), F.col("p_key") == F.col("p_stay"))
-    repeat = F.row_number().over(Window.partitionBy("p_key").orderBy("source", "lang", "n_chars", "text"))
-    return met.withColumn("p_repeat", repeat).where("p_repeat = 1").select(*COLUMNS)
+    """One row of docs for each key in stay (key), a table of different keys."""
+    return _single(docs, key).join(stay.select(F.col("key").alias("p_key")), "p_key", "left_semi").select(*COLUMNS)
 
 
 def _with_id(sha: Column) -> Column:
@@ -47,8 +52,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of links: one with the smallest doc_id; null ranks above all others. The join names rows by a
-    64-bit hash of doc_id and text, as a doc_id may be null or repeat with another text."""
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    128-bit digest of doc_id and text, as a doc_id may be null or repeat with another text."""
+    key = F.unhex(F.md5(_with_id(F.md5(F.coalesce("text", F.lit("")).cast("binary")))))
     classes = jaccard_classes(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("of"))
     ids = docs.select(key.alias("row_key"), "doc_id").distinct()
     met = classes.join(ids, F.col("key") == F.col("row_key"))
@@ -63,9 +68,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words is not taken. No rows give no rows."""
     named = F.md5(F.to_json(F.struct("doc_id", "source", "text_md5"), {"ignoreNullFields": "false"}))
     plan = curriculum_mix(docs).select(named.alias("key"), "size", F.explode("epochs").alias("e"))
-    keyed = docs.withColumn("text_md5", text_md5(F.col("text"))).withColumn("p_key", named)
-    repeat = F.row_number().over(Window.partitionBy("p_key").orderBy("lang"))
-    taken = keyed.withColumn("p_repeat", repeat).where("p_repeat = 1").join(plan, F.col("p_key") == F.col("key"))
+    keyed = docs.withColumn("text_md5", text_md5(F.col("text")))
+    taken = _single(keyed, named).join(plan, F.col("p_key") == F.col("key"))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     part = F.array_join(F.slice(pieces, F.lit(1), F.col("e.words").cast("int")), "")
     whole = F.col("e.words") >= F.col("size")
@@ -82,7 +86,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens. A null or empty text is its end token alone; a very long one is many pieces; repeated
+    rows and rows without an id are packed each; no rows give none."""
     return harmonic_pack(docs, **tokenizer_files())
 
 
