@@ -5,14 +5,16 @@ Pixels move once, when they are grouped into tiles; from there on a row is a til
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry, names
-from furrow.operators import angles, contours, grid, kernels, lines, rows
+from furrow.operators import angles, contours, grid, kernels, lines, regions, rows, shapes
 from furrow.params import DEFAULTS, Params
 from furrow.sources import manifests, vectors
+from furrow.sources.shared import checkpointed
 
 TILE = ("prj", "col", "row")
 
@@ -33,35 +35,32 @@ def segment_tiles(pixels: DataFrame, facts: DataFrame, p: Params = DEFAULTS, ind
     return kernels.tile_pipeline(images, p, index).where("plants > 0")
 
 
-_FOUND = "prj string, col int, row int, contour_id int, pts array<struct<x:int,y:int>>, area double, cx double, cy double, w double, h double, rect_angle double, angle double, major_px double"
-
-
-def tile_contours(tiles: DataFrame, p: Params = DEFAULTS, least_px: float | None = None) -> DataFrame:
-    """Contours of tiles' masks: smoothed, large enough, with rectangle and ellipse angles; contour_id is the rank by area in the tile, from 0."""
-    least = p.contour_min_px if least_px is None else least_px
+def set_pixels(tiles: DataFrame) -> DataFrame:
+    """prj, col, row, px, py of the pixels set in tiles' masks (w, h, mask: bytes row by row)."""
 
     def run(batches):
         for batch in batches:
-            out = []
             for t in batch.itertuples():
-                found = []
-                for pts, hole in kernels.trace_borders(kernels.as_image(t.mask, t.h, t.w) > 0):
-                    if hole or len(pts) < 3:
-                        continue
-                    _, _, w, h, _, _ = kernels.min_area_rect(pts)
-                    if w <= least or h <= least:
-                        continue
-                    smooth = kernels.resample_closed(pts)
-                    cx, cy, w, h, angle, _ = kernels.min_area_rect(smooth)
-                    x, y = smooth.T.astype(float)
-                    area = abs((x * y[[*range(1, len(y)), 0]] - y * x[[*range(1, len(x)), 0]]).sum()) / 2
-                    found.append((area, smooth, cx, cy, w, h, angle, kernels.ellipse_angle(smooth)))
-                found.sort(key=lambda c: -c[0])
-                for i, (area, pts, cx, cy, w, h, rect, ellipse) in enumerate(found):
-                    out.append((t.prj, t.col, t.row, i, [{"x": int(x), "y": int(y)} for x, y in pts], area, cx, cy, w, h, rect, ellipse, max(w, h)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
-
-    return tiles.select(*TILE, "w", "h", "mask").mapInPandas(run, _FOUND)
+                at = np.flatnonzero(np.frombuffer(t.mask, np.uint8))
+                for first in range(0, len(at), 200_000):
+                    py, px = np.divmod(at[first : first + 200_000].astype(np.int32), np.int32(t.w))
+                    yield pd.DataFrame({"prj": t.prj, "col": t.col, "row": t.row, "px": px, "py": py})
+
+    return tiles.select(*TILE, "w", "mask").mapInPandas(run, "prj string, col int, row int, px int, py int")
+
+
+def tile_contours(tiles: DataFrame, p: Params = DEFAULTS, least_px: float | None = None) -> DataFrame:
+    """Contours of tiles' masks: outer borders, large enough, smoothed, with their rectangle and ellipse angles (NaN where no ellipse fits); contour_id is the rank by area in
+    the tile, from 0."""
+    key = (*TILE, "contour_id")
+    traced = checkpointed(regions.trace_contours(set_pixels(tiles), *TILE).where("not hole and size(pts) >= 3").drop("hole"))
+    large = contours.filter_contours(shapes.min_rectangles(traced, *key), p.contour_min_px if least_px is None else least_px)
+    smooth = checkpointed(contours.smooth_contours(traced.join(large.select(*key), list(key))))
+    points = smooth.select(*key, F.explode("pts").alias("v")).select(*key, F.col("v.x").cast("double").alias("x"), F.col("v.y").cast("double").alias("y"))
+    found = contours.contour_measures(smooth).select(*key, "pts", "area").join(shapes.min_rectangles(smooth, *key).drop("corners"), list(key)).join(shapes.ellipse_angles(points, *key), list(key))
+    rank = F.row_number().over(Window.partitionBy(*TILE).orderBy(F.desc("area"), "contour_id")) - 1
+    angle = F.coalesce("angle", F.lit(float("nan")))
+    return found.select(*TILE, rank.alias("contour_id"), "pts", "area", "cx", "cy", "w", "h", "rect_angle", angle.alias("angle"), F.greatest("w", "h").alias("major_px"))
 
 
 def generate_angles(found: DataFrame, projects: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -121,8 +120,6 @@ def build_rows(tile_lines: DataFrame, masks: DataFrame, p: Params = DEFAULTS) ->
     box = mask_boxes(masks)
     long = lines.clip_lines_to_oriented(lines.extend_lines(tile_lines.drop("d", "id").join(box, "prj"), p.extend_ratio), p.clip_margin_m).drop("angle", "u0", "u1", "v0", "v1")
     long = lines.number_lines(long, "prj", order=("col", "row", "idx"), name="line").drop("idx").withColumnRenamed("line", "idx")
-    from furrow.sources.shared import checkpointed
-
     long = checkpointed(long)
     first = lines.first_line(long, "prj", order="idx")
     ends = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
@@ -145,8 +142,6 @@ def run(pixels: DataFrame, projects: DataFrame, masks: DataFrame, p: Params = DE
     """The whole chain for a set of fields; each stage is checkpointed before the next reads it more than once. done: the contours of
     tiles that an earlier run got through, whose pixels are not worked on again. A field without a row angle is put aside in `errors`
     and holds up no other."""
-    from furrow.sources.shared import checkpointed
-
     facts = grid.grid_facts(projects, p.tile_m)
     tiles = generate_tiles(projects, p=p)
     found = tile_contours(segment_tiles(pixels, facts, p, index, done), p, least_px)

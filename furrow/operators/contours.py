@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,24 +99,6 @@ def ombb(hulls: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, "b.angle", "b.area", "b.u0", "b.u1", "b.v0", "b.v1")
 
 
-_SHAPES = (
-    "cx double, cy double, w double, h double, rect_angle double, corners array<struct<x:double,y:double>>, circle_x double, circle_y double, circle_r double, ellipse_angle double"
-)
-
-
-def contour_shapes(contours: DataFrame) -> DataFrame:
-    """contours with their least rectangle (centre, w, h, angle, corners), least enclosing circle and ellipse angle. Contours have few
-    points after smoothing; a batch of contours is one call."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in contours.schema) + ", " + _SHAPES
-
-    def run(batches):
-        for batch in batches:
-            shapes = [kernels.shapes([(p["x"], p["y"]) for p in pts]) for pts in batch["pts"]]
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(shapes, columns=kernels.SHAPE_COLUMNS)], axis=1)
-
-    return contours.mapInPandas(run, schema)
-
-
 def smooth_contours(contours: DataFrame, n: int = 25) -> DataFrame:
     """contours with pts resampled to n whole points at equal steps of a closed curve through them."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in contours.schema)
@@ -128,36 +109,3 @@ def smooth_contours(contours: DataFrame, n: int = 25) -> DataFrame:
             yield batch
 
     return contours.mapInPandas(run, schema)
-
-
-def trace_contours(masks: DataFrame) -> DataFrame:
-    """prj, col, row, contour_id, pts, hole of each border in a tile's mask (prj, col, row, w, h, data: bytes row by row)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for t in batch.itertuples():
-                mask = kernels.as_image(t.data, t.h, t.w)
-                rows += [(t.prj, t.col, t.row, i, [{"x": int(x), "y": int(y)} for x, y in pts], hole) for i, (pts, hole) in enumerate(kernels.trace_borders(mask > 0))]
-            yield pd.DataFrame(rows, columns=["prj", "col", "row", "contour_id", "pts", "hole"])
-
-    return masks.mapInPandas(run, "prj string, col int, row int, contour_id int, pts array<struct<x:int,y:int>>, hole boolean")
-
-
-def components(pixels: DataFrame, *tile: str, least_area: int = DEFAULTS.segment_min_area) -> DataFrame:
-    """Set pixels (tile, px, py) with label, the least place (row by row) of their 8-connected component, and area, where area is at
-    least least_area. One group is one tile."""
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.schema if f.name in tile)
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        label = kernels.label_points(group["px"].to_numpy(), group["py"].to_numpy())
-        out = pd.DataFrame({"px": group["px"].to_numpy(), "py": group["py"].to_numpy(), "label": label})
-        for name, value in reversed(list(zip(tile, key))):
-            out.insert(0, name, value)
-        return out
-
-    labelled = pixels.select(*tile, "px", "py").groupBy(*tile).applyInPandas(run, f"{keys}, px int, py int, label long")
-    area = labelled.groupBy(*tile, "label").agg(F.count(F.lit(1)).alias("area")).where(F.col("area") >= least_area)
-    return labelled.join(area, [*tile, "label"])
-
-

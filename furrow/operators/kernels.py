@@ -106,23 +106,6 @@ def otsu_mask(image: np.ndarray) -> np.ndarray:
     return np.where(image > t, 255, 0).astype(np.uint8)
 
 
-def label_points(px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    """For each point the least place (y * width + x) in its 8-connected component."""
-    px, py = np.asarray(px, np.int64), np.asarray(py, np.int64)
-    if not len(px):
-        return px
-    x0, y0 = px.min(), py.min()
-    image = np.zeros((py.max() - y0 + 1, px.max() - x0 + 1), bool)
-    image[py - y0, px - x0] = True
-    label = label_image(image)[py - y0, px - x0]
-    width = int(px.max()) + 1
-    order = np.argsort(py * width + px, kind="stable")
-    names: dict[int, int] = {}
-    for i in order:
-        names.setdefault(int(label[i]), int(py[i] * width + px[i]))
-    return np.array([names[int(v)] for v in label], np.int64)
-
-
 def label_image(image: np.ndarray) -> np.ndarray:
     """Labels 1, 2, ... of 8-connected components, 0 elsewhere: runs of each row joined to touching runs of the row above."""
     h, w = image.shape
@@ -477,14 +460,6 @@ def ellipse_angle(xy) -> float:
     return math.degrees(math.atan2(-dx, dy)) % 180
 
 
-SHAPE_COLUMNS = ["cx", "cy", "w", "h", "rect_angle", "corners", "circle_x", "circle_y", "circle_r", "ellipse_angle"]
-
-
-def shapes(points) -> tuple:
-    cx, cy, w, h, angle, corners = min_area_rect(points)
-    return (cx, cy, w, h, angle, [{"x": x, "y": y} for x, y in corners], *min_circle(points), ellipse_angle(points))
-
-
 def resample_closed(points, n: int = 25) -> np.ndarray:
     """n whole points at equal steps of arc length on a closed cubic curve through the points (slopes from neighbours)."""
     pts = np.asarray(points, float)

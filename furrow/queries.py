@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry, names, spectral
-from furrow.operators import angles, buffers, contours, grid, lines, ordered, raster, regions, rows
+from furrow.operators import angles, buffers, contours, grid, lines, ordered, raster, regions, rows, shapes
 from furrow.sources import manifests, vectors
 from furrow.views import TILE_PX, Views, pt, with_views
 
@@ -576,9 +576,67 @@ def _(v):
 # Shapes without an SQL form; tests hold them against invariants.
 
 
+_CONTOUR_PTS = "p AS (SELECT DISTINCT contour_id, x::DOUBLE AS x, y::DOUBLE AS y FROM contours)"
+
+
+@query(
+    "contour_rectangles",
+    f"""WITH {_CONTOUR_PTS},
+    e AS (SELECT DISTINCT contour_id, round(((degrees(atan2(v - y, u - x)) % 90) + 90) % 90, 9) AS angle FROM (
+        SELECT a.contour_id, a.x, a.y, b.x AS u, b.y AS v FROM p a JOIN p b ON a.contour_id = b.contour_id AND (a.x <> b.x OR a.y <> b.y) JOIN p r ON r.contour_id = a.contour_id GROUP BY a.contour_id, a.x, a.y, b.x, b.y
+        HAVING bool_and((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) >= 0))),
+    t AS (SELECT e.contour_id, angle, max(x * cos(radians(angle)) + y * sin(radians(angle))) - min(x * cos(radians(angle)) + y * sin(radians(angle))) AS h,
+        max(y * cos(radians(angle)) - x * sin(radians(angle))) - min(y * cos(radians(angle)) - x * sin(radians(angle))) AS w FROM e JOIN p ON p.contour_id = e.contour_id GROUP BY e.contour_id, angle)
+    SELECT contour_id, round(w, 5) AS w, round(h, 5) AS h, round(angle - 90, 5) AS rect_angle FROM t QUALIFY row_number() OVER (PARTITION BY contour_id ORDER BY round(w * h, 6), angle) = 1""",
+)
+def _(v):
+    out = shapes.min_rectangles(v.contours, "contour_id")
+    return out.select("contour_id", *[F.round(c, 5).alias(c) for c in ("w", "h", "rect_angle")])
+
+
+@query(
+    "contour_circles",
+    f"""WITH {_CONTOUR_PTS},
+    c AS (
+        SELECT a.contour_id, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 2 AS r FROM p a JOIN p b ON a.contour_id = b.contour_id AND (a.x, a.y) <= (b.x, b.y)
+        UNION ALL SELECT contour_id, ax + (cy * b2 - byy * c2) / d, ay + (bxx * c2 - cx * b2) / d, sqrt((cy * b2 - byy * c2) ** 2 + (bxx * c2 - cx * b2) ** 2) / abs(d) FROM (
+            SELECT a.contour_id, a.x AS ax, a.y AS ay, b.x - a.x AS bxx, b.y - a.y AS byy, k.x - a.x AS cx, k.y - a.y AS cy, 2 * ((b.x - a.x) * (k.y - a.y) - (b.y - a.y) * (k.x - a.x)) AS d,
+                (b.x - a.x) ** 2 + (b.y - a.y) ** 2 AS b2, (k.x - a.x) ** 2 + (k.y - a.y) ** 2 AS c2
+            FROM p a JOIN p b ON a.contour_id = b.contour_id AND (a.x, a.y) < (b.x, b.y) JOIN p k ON k.contour_id = a.contour_id AND (b.x, b.y) < (k.x, k.y)) WHERE d <> 0),
+    ok AS (SELECT c.contour_id, c.x, c.y, c.r FROM c JOIN p ON p.contour_id = c.contour_id GROUP BY c.contour_id, c.x, c.y, c.r HAVING bool_and(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2) <= c.r + 1e-9))
+    SELECT contour_id, round(arg_min(x, r), 5) AS x, round(arg_min(y, r), 5) AS y, round(min(r), 5) AS r FROM ok GROUP BY contour_id""",
+)
+def _(v):
+    c = v.contours.select("contour_id", shapes.min_circle(F.col("pts")).alias("c"))
+    return c.select("contour_id", *[F.round(f"c.{k}", 5).alias(k) for k in "xyr"])
+
+
+def _ellipse_sql() -> str:
+    """The five equations of the conic from sums of powers, solved row by row, then the long axis."""
+    terms = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1), (0, 0)]
+    power = lambda i, j: "1.0::DOUBLE" + " * u" * i + " * w" * j
+    first = ", ".join(f"sum({power(p[0] + q[0], p[1] + q[1])}) AS m{i}{j}" for i, p in enumerate(terms[:5]) for j, q in enumerate(terms))
+    steps = []
+    for k in range(5):
+        lead = lambda j, k=k: f"m{k}{j} / m{k}{k}"
+        cells = ", ".join(f"{lead(j)} AS m{i}{j}" if i == k else f"m{i}{j} - m{i}{k} * ({lead(j)}) AS m{i}{j}" for i in range(5) for j in range(6))
+        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT contour_id, n, {cells} FROM e{k} WHERE abs(m{k}{k}) > 1e-9)")
+    return f"""WITH p AS (SELECT contour_id, x::DOUBLE AS x, y::DOUBLE AS y FROM contours),
+        f AS (SELECT contour_id, avg(x) AS mx, avg(y) AS my, greatest(max(x) - avg(x), avg(x) - min(x), max(y) - avg(y), avg(y) - min(y)) AS far FROM p GROUP BY contour_id),
+        uw AS (SELECT contour_id, (x - mx) / CASE WHEN far > 0 THEN far ELSE 1 END AS u, (y - my) / CASE WHEN far > 0 THEN far ELSE 1 END AS w FROM p JOIN f USING (contour_id)),
+        e0 AS MATERIALIZED (SELECT contour_id, count(*) AS n, {first} FROM uw GROUP BY contour_id), {", ".join(steps)}
+        SELECT f.contour_id, round(CASE WHEN n >= 5 AND m15 * m15 - 4 * m05 * m25 < 0 THEN ((degrees(atan2(m15 * sign(m05), (m05 - m25) * sign(m05)) / 2) % 180) + 180) % 180 END, 3) AS angle FROM f LEFT JOIN e5 USING (contour_id)"""
+
+
+@query("contour_ellipses", _ellipse_sql())
+def _(v):
+    points = v.contours.select("contour_id", F.explode("pts").alias("p")).select("contour_id", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    return shapes.ellipse_angles(points, "contour_id").select("contour_id", F.round("angle", 3).alias("angle"))
+
+
 @query("contour_shapes")
 def _(v):
-    return contours.contour_shapes(v.contours)
+    return shapes.contour_shapes(v.contours, "contour_id")
 
 
 @query("smooth_contours")
