@@ -36,8 +36,8 @@ LEAST_BITS = 256
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A hashed bitmap signature with two to four bits a shingle, a power of two."""
-    width = max(LEAST_BITS, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
+    """A hashed bitmap signature with four to eight bits a shingle, a power of two."""
+    width = max(LEAST_BITS, 1 << int(4 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
     bits = np.zeros(width, np.uint8)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -554,10 +554,11 @@ def _classes(docs, percent, width, common, least_common, most_common, block, few
         labels = _labels(links)
 
     # Whatever pairs are left between components; each round looks at more of those of a component that found no link among its likeliest.
-    members, most, more = lists, 16, True
+    members, first, more = lists, 4, True
+    most = first
     while more:
         members = _unsettled(members.select("list", "sid"), labels)
-        found = _pairs_between(members, facts, percent, most, few, block, most == 16)
+        found = _pairs_between(members, facts, percent, most, few, block, most == first)
         more = bool(found.agg(F.max("more")).first()[0])
         pairs = checkpointed(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
