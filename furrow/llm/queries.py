@@ -200,17 +200,18 @@ def _url_sql(rounds: int = 80) -> str:
         links AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
         hosts AS (SELECT src AS host FROM links UNION SELECT dst FROM links UNION SELECT host FROM seeds),
         nodes AS (
-            SELECT h.host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked, coalesce(o.n, 0) AS out, coalesce(i.n, 0) AS into_n FROM hosts h LEFT JOIN seeds USING (host)
-            LEFT JOIN (SELECT src AS host, sum(n) AS n FROM links GROUP BY src) o USING (host) LEFT JOIN (SELECT dst AS host, sum(n) AS n FROM links GROUP BY dst) i USING (host)),
+            SELECT h.host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked, coalesce(o.n, 0) AS out FROM hosts h LEFT JOIN seeds USING (host)
+            LEFT JOIN (SELECT src AS host, sum(n) AS n FROM links GROUP BY src) o USING (host)),
         moves AS (
-            SELECT src AS a, dst AS b, n / into_n::DOUBLE AS g, 0::DOUBLE AS d FROM links JOIN nodes ON host = dst
+            SELECT src AS a, dst AS b, n / out::DOUBLE AS g, 0::DOUBLE AS d FROM links JOIN nodes ON host = src
             UNION ALL SELECT dst, src, 0, n / out::DOUBLE FROM links JOIN nodes ON host = src
             UNION ALL SELECT host, host, 0, 0 FROM nodes),
         rank(k, host, g, d) AS (
             SELECT 0, host, trusted::DOUBLE, blocked::DOUBLE FROM nodes
-            UNION ALL SELECT any_value(k) + 1, b, CASE WHEN any_value(trusted) = 1 THEN 1 ELSE 0.85 * sum(r.g * m.g) END, CASE WHEN any_value(blocked) = 1 THEN 1 ELSE 0.85 * sum(r.d * m.d) END
+            UNION ALL SELECT any_value(k) + 1, b, any_value(trusted) + 0.85 * sum(r.g * m.g), CASE WHEN any_value(blocked) = 1 THEN 1 ELSE 0.85 * sum(r.d * m.d) END
             FROM rank r JOIN moves m ON r.host = m.a JOIN nodes n ON n.host = m.b WHERE k < {rounds} GROUP BY b),
-        bad AS (SELECT host FROM rank WHERE k = {rounds} AND d > g AND d >= 0.02)
+        last AS (SELECT host, g, d, trusted, (SELECT sum(g * trusted) / nullif(sum(out * trusted), 0) FROM rank JOIN nodes USING (host) WHERE k = {rounds}) AS a_link FROM rank JOIN nodes USING (host) WHERE k = {rounds}),
+        bad AS (SELECT host FROM last WHERE d > CASE WHEN trusted = 1 THEN 1 ELSE coalesce(least(0.85, g / a_link), 0) END AND d >= 0.02)
         SELECT page_id, host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM judged
     """
 

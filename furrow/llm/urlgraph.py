@@ -1,8 +1,8 @@
-"""URL filters: rules first, then each host's own walks over the graph of links between hosts.
+"""URL filters: rules first, then personalised PageRank over the graph of links between hosts.
 
-A host's bad share is the personalised PageRank of walks that start at it and follow its links, as far as they end at blocked
-hosts; its good share is that of walks against the links that end at trusted hosts. Both lie in [0, 1] and say something of one host's links
-alone, however many other hosts link to the same seed. A host whose bad share exceeds both its good share and a threshold is blocked.
+Trust flows from trusted seeds along the links, distrust from blocked seeds against them. Each host is judged by two shares in [0, 1]:
+the trust it got, in links of trusted hosts, which no link from elsewhere lowers; and the distrust that its own links brought back, which
+does not thin out in farms of any size. A host whose bad share exceeds both its good share and a threshold is blocked.
 """
 
 from __future__ import annotations
@@ -47,72 +47,79 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, follow: float = 0.85) -> DataFrame:
-    """(host, trust, distrust) for all hosts of links (src, dst, n) and seeds (host, trusted, blocked: 0 or 1).
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, follow: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(host, trust, distrust, good, bad) for all hosts of links (src, dst, n) and seeds (host, trusted, blocked: 0 or 1).
 
-    These are masses dealt out over all hosts, for ranking; verdicts rest on walk_shares(), which a host's company does not dilute.
-    Both are scaled so that a seed's own start is 1 - follow, or 1 for a graph without links. Weight at hosts
-    without onward links returns to the seeds. Each round ends in a checkpoint in the shared folder.
+    trust is the personalised PageRank of walks from trusted seeds along the links, distrust that of walks from blocked seeds against
+    them; a seed's own start is 1 - follow, or 1 for a graph without links, and weight at hosts without onward links returns to the seeds.
+    These masses rank hosts. good and bad, in [0, 1], are what verdicts compare:
+
+    good: 1 at trusted hosts, else the trust that came in over that of an average link of a trusted host, at most follow. Links from hosts
+    without trust add nothing to it and take nothing away.
+    bad: 1 at blocked hosts, else the distrust that came back along the host's own links, each host's links sharing 1: follow times the
+    mean of bad over them. It says something of one host's links alone, however many others link to the same seed.
+
+    `rounds` rounds; with a tolerance, on until neither good nor bad changes by more. Each round ends in a written table in the shared folder.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("out")).withColumnRenamed("src", "host")
     into = links.groupBy("dst").agg(F.sum("n").alias("into")).withColumnRenamed("dst", "host")
     hosts = links.select(F.col("src").alias("host")).union(links.select("dst")).union(seeds.select("host")).distinct()
     nodes = hosts.join(seeds, "host", "left").join(out, "host", "left").join(into, "host", "left").na.fill(0)
-    nodes = checkpointed(nodes.withColumn("trust", F.col("trusted").cast("double")).withColumn("distrust", F.col("blocked").cast("double")))
+    trusted, blocked = F.col("trusted").cast("double"), F.col("blocked").cast("double")
+    nodes = checkpointed(nodes.select("host", "trusted", "blocked", "out", "into", trusted.alias("trust"), blocked.alias("distrust"), trusted.alias("flow"), trusted.alias("good"), blocked.alias("bad")))
     total = nodes.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b"), F.max("out").alias("links")).first()
     if not total["links"]:
-        return nodes.select("host", "trust", "distrust")
-    shares = checkpointed(links.join(out.withColumnRenamed("host", "src"), "src").join(into.withColumnRenamed("host", "dst"), "dst"))
-    for _ in range(rounds):
-        lost = nodes.agg(
-            F.sum(F.when(F.col("out") == 0, F.col("trust")).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("into") == 0, F.col("distrust")).otherwise(0.0)).alias("b")
-        ).first()
-        rank = nodes.select("host", "trust", "distrust")
-        forward = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("h"), (F.col("trust") * F.col("n") / F.col("out")).alias("t"), F.lit(0.0).alias("b"))
-        backward = shares.join(rank, shares["dst"] == rank["host"]).select(F.col("src").alias("h"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("n") / F.col("into")).alias("b"))
-        moved = forward.union(backward).groupBy("h").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-        back_t, back_b = lost["t"] / max(1, total["t"]), lost["b"] / max(1, total["b"])
-        nodes = nodes.join(moved, nodes["host"] == moved["h"], "left").select(
-            "host",
-            "trusted",
-            "blocked",
-            "out",
-            "into",
-            ((1 - follow + follow * back_t) * F.col("trusted") + follow * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            ((1 - follow + follow * back_b) * F.col("blocked") + follow * F.coalesce("b", F.lit(0.0))).alias("distrust"),
+        return nodes.select("host", "trust", "distrust", "good", "bad")
+    shares = checkpointed(
+        links.join(out.withColumnRenamed("host", "src"), "src")
+        .join(into.withColumnRenamed("host", "dst"), "dst")
+        .select("src", "dst", (F.col("n") / F.col("out")).alias("of_out"), (F.col("n") / F.col("into")).alias("of_into"))
+    )
+    trust, none = F.col("trust"), F.lit(0.0)
+    sums = (
+        F.sum(F.when(F.col("out") == 0, trust).otherwise(0.0)).alias("t"),
+        F.sum(F.when(F.col("into") == 0, F.col("distrust")).otherwise(0.0)).alias("b"),
+        (F.sum(F.col("flow") * F.col("trusted")) / F.nullif(F.sum(F.col("out") * F.col("trusted")), F.lit(0))).alias("a_link"),
+    )
+    seen, done = nodes.agg(*sums).first(), 0
+    while True:
+        rank = nodes.select("host", "trust", "distrust", "flow", "bad")
+        forward = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("h"), (trust * F.col("of_out")).alias("t"), (F.col("flow") * F.col("of_out")).alias("f"), none.alias("b"), none.alias("own"))
+        backward = shares.join(rank, shares["dst"] == rank["host"]).select(
+            F.col("src").alias("h"), none.alias("t"), none.alias("f"), (F.col("distrust") * F.col("of_into")).alias("b"), (F.col("bad") * F.col("of_out")).alias("own")
+        )
+        moved = forward.union(backward).groupBy("h").agg(*(F.sum(c).alias(c) for c in ("t", "f", "b", "own")))
+        back_t, back_b = seen["t"] / max(1, total["t"]), seen["b"] / max(1, total["b"])
+        new_trust = (1 - follow + follow * back_t) * F.col("trusted") + follow * F.coalesce("t", none)
+        new_bad = F.when(F.col("blocked") == 1, 1.0).otherwise(follow * F.coalesce("own", none))
+        # flow is trust without returned weight: the same up to a factor in the end, and settled after as many rounds as trust has steps to go.
+        came = follow * F.coalesce("f", none)
+        new_good = F.when(F.col("trusted") == 1, 1.0).otherwise(F.least(F.lit(follow), came / F.lit(seen["a_link"])) if seen["a_link"] else 0.0)
+        change = F.greatest(F.abs(new_bad - F.col("bad")), F.abs(new_good - F.col("good")))
+        nodes = checkpointed(
+            nodes.join(moved, nodes["host"] == moved["h"], "left").select(
+                "host",
+                "trusted",
+                "blocked",
+                "out",
+                "into",
+                new_trust.alias("trust"),
+                ((1 - follow + follow * back_b) * F.col("blocked") + follow * F.coalesce("b", none)).alias("distrust"),
+                (F.col("trusted") + came).alias("flow"),
+                new_good.alias("good"),
+                new_bad.alias("bad"),
+                change.alias("change"),
+            )
         )
-        nodes = checkpointed(nodes)
-    return nodes.select("host", "trust", "distrust")
+        done += 1
+        seen = nodes.agg(*sums, F.max("change").alias("change")).first()
+        if done >= rounds and (tolerance is None or seen["change"] <= tolerance):
+            return nodes.select("host", "trust", "distrust", "good", "bad")
 
 
 def walk_shares(links: DataFrame, seeds: DataFrame, rounds: int = 12, follow: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
-    """(host, good, bad) for all hosts of links (src, dst, n) and seeds (host, trusted, blocked: 0 or 1).
-
-    bad is 1 at blocked hosts, else follow times the mean of bad over the host's links; good is 1 at trusted hosts, else
-    follow times the mean of good over the links to it. At least `rounds` rounds, then on until no share changes by more than tolerance. Each
-    round ends in a written table in the shared folder.
-    """
-    out = links.groupBy("src").agg(F.sum("n").alias("out"))
-    into = links.groupBy("dst").agg(F.sum("n").alias("into"))
-    hosts = links.select(F.col("src").alias("host")).union(links.select("dst")).union(seeds.select("host")).distinct()
-    nodes = hosts.join(seeds, "host", "left").na.fill(0, ["trusted", "blocked"])
-    nodes = checkpointed(nodes.withColumn("good", F.col("trusted").cast("double")).withColumn("bad", F.col("blocked").cast("double")))
-    shares = checkpointed(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("ahead"), (F.col("n") / F.col("into")).alias("behind")))
-    if not shares.take(1):
-        return nodes.select("host", "good", "bad")
-    done = 0
-    while True:
-        rank = nodes.select("host", "good", "bad")
-        ahead = shares.join(rank, shares["dst"] == rank["host"]).select(F.col("src").alias("h"), F.lit(0.0).alias("g"), (F.col("bad") * F.col("ahead")).alias("b"))
-        behind = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("h"), (F.col("good") * F.col("behind")).alias("g"), F.lit(0.0).alias("b"))
-        moved = ahead.union(behind).groupBy("h").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
-        good = F.when(F.col("trusted") == 1, 1.0).otherwise(follow * F.coalesce("g", F.lit(0.0)))
-        bad = F.when(F.col("blocked") == 1, 1.0).otherwise(follow * F.coalesce("b", F.lit(0.0)))
-        change = F.greatest(F.abs(good - F.col("good")), F.abs(bad - F.col("bad"))).alias("change")
-        nodes = checkpointed(nodes.join(moved, nodes["host"] == moved["h"], "left").select("host", "trusted", "blocked", good.alias("good"), bad.alias("bad"), change))
-        done += 1
-        if done >= rounds and nodes.agg(F.max("change")).first()[0] <= tolerance:
-            return nodes.select("host", "good", "bad")
+    """(host, good, bad) of propagate(), after at least `rounds` rounds and until no share changes by more than tolerance."""
+    return propagate(links, seeds, rounds, follow, tolerance).select("host", "good", "bad")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 12, follow: float = 0.85, threshold: float = 0.02) -> DataFrame:
@@ -120,7 +127,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 12,
 
     pages needs page_id, url and html; other columns are ignored. A null url or one without :// has empty host and path, and is
     allowed, as is a host that nothing is known of. A null html has no links. The longest fitting rule decides;
-    without one the host's good and bad shares do (walk_shares(), of which rounds and follow are parameters). Seeds are the hosts with pages that a rule allows but none that one blocks, and the other
+    without one the host's good and bad shares do (propagate(), of which rounds and follow are parameters). Seeds are the hosts with pages that a rule allows but none that one blocks, and the other
     way round. Repeated rows are judged alike. No rows give no rows.
     """
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
