@@ -11,14 +11,16 @@ backslash before them, so no control string can appear there, and reading back u
 """
 
 import hashlib
+import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import checkpointed, scratch
-from furrow.llm.tokens import encoder
+from furrow.llm.tokens import decoder, encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -114,7 +116,7 @@ def prefix_tree(conversations: DataFrame, tokenizer: dict | None = None, loss_ro
     tree, a row per segment: tree_id, segment_id, path (ids of its ancestors' segments and its own), text, ids (its tokens), length,
     tree_offset, position (of its first token), position_ids (of all), attends (array of (start, end) in the tree's tokens, its
     ancestors in order), loss and loss_chars (arrays of (start, end) of the segment's tokens and code points under the loss mask: the
-    texts of loss_role's turns).
+    texts of loss_role's turns). The metadata of ids name the tokenizer.
     members, a row per conversation: conv_id, segment_id (that of its last turn), n_turns.
 
     conversations needs conv_id, turn, role and text; other columns are ignored. Turns are in the order of turn, then role, then
@@ -166,12 +168,33 @@ def _tree(conversations: DataFrame, tokenizer: dict | None, loss_role: str) -> t
     attends = up.join(spans, "up_id").groupBy("segment_id").agg(F.sort_array(F.collect_list("span")).alias("attends"))
     columns = ["tree_id", "segment_id", "path", "text", "ids", "length", "tree_offset", "position", "position_ids", "attends", "loss", "loss_chars"]
     tree = placed.join(attends, "segment_id", "left").withColumn("attends", F.coalesce("attends", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    return tree.withColumn("position_ids", F.sequence("position", F.col("position") + F.col("length") - 1)).select(columns), members
+    noted = F.col("ids").alias("ids", metadata={"tokenizer": json.dumps(tokenizer or {})})
+    tree = tree.withColumn("position_ids", F.sequence("position", F.col("position") + F.col("length") - 1))
+    return tree.select([noted if c == "ids" else c for c in columns]), members
 
 
+_SPOKEN = "up_id string, text string, masked array<string>, length long, position long, tree_offset long, attends array<struct<start:bigint,end:bigint>>"
 _READ = "segment_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def _spoken(tokenizer: dict):
+    """Segments to what their tokens say: the text of all, the texts under the token mask, and where they stand."""
+
+    def run(batches):
+        decode = decoder(**tokenizer) if tokenizer else lambda ids: "".join(map(chr, ids))
+        for batch in batches:
+            rows = []
+            for up_id, ids, position_ids, loss, tree_offset, attends in zip(*(batch[c] for c in ("segment_id", "ids", "position_ids", "loss", "tree_offset", "attends"))):
+                ids, positions = [int(i) for i in ids], np.asarray(position_ids)
+                if not ids or len(positions) != len(ids) or (np.diff(positions) != 1).any():
+                    raise ValueError(f"positions of {up_id} don't follow one another, one a token")
+                masked = [unescape(decode(ids[x["start"] : x["end"]])) for x in loss]
+                rows.append((up_id, decode(ids), masked, len(ids), int(positions[0]), tree_offset, attends))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SPOKEN.split(", ")])
+
+    return run
+
+
 def _read(batches):
     for batch in batches:
         rows = []
@@ -179,11 +202,11 @@ def _read(batches):
             loss, seen, at = [], [], 0
             for p in parts:
                 # A token's position is the number of tokens it may attend to; the intervals must be those of the segments before.
-                if p["first"] != at or p["last"] != at + p["length"] - 1 or p["n_ids"] != p["length"] or [(a["start"], a["end"]) for a in p["attends"]] != seen:
+                if p["position"] != at or [(a["start"], a["end"]) for a in p["attends"]] != seen:
                     raise ValueError(f"positions or attention of {segment_id} don't follow its path")
                 at += p["length"]
                 seen.append((p["tree_offset"], p["tree_offset"] + p["length"]))
-                loss += [unescape(p["text"][x["start"] : x["end"]]) for x in p["loss_chars"]]
+                loss.extend(p["masked"])
             formatted = "".join(p["text"] for p in parts)
             turns, masked = read_turns(formatted), "".join(loss)
             whole = "".join(f"{role}\n{text}\n" for role, text in turns)
@@ -195,16 +218,19 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def read_back(tree: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per conversation, read from the emitted segments alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars. The loss text is what lies under the segments' masks. An error if the positions or attention intervals of a
-    conversation's segments don't follow its path."""
+def read_back(tree: DataFrame, members: DataFrame, tokenizer: dict | None = None) -> DataFrame:
+    """One row per conversation, read from the emitted tokens alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars. Texts are decoded from ids, the loss text from the ids under the segments' token masks; the tree's text and
+    loss_chars are not looked at. The tokenizer is the one noted at the ids column by prefix_tree(), unless given. An error if a token's
+    position doesn't follow the one before, if the positions or attention intervals of a conversation's segments don't follow its path, or
+    if the decoded text isn't made of whole turns. Each segment is decoded once; its ids and positions stay there, and only texts move to the
+    conversations through it."""
+    noted = tree.schema["ids"].metadata.get("tokenizer")
+    tokenizer = tokenizer or (json.loads(noted) if noted else {})
+    spoken = tree.select("segment_id", "ids", "position_ids", "loss", "tree_offset", "attends").mapInPandas(_spoken(tokenizer), _SPOKEN)
     leaves = members.select("segment_id").distinct()
     paths = tree.select("segment_id", F.posexplode("path").alias("k", "up_id")).join(leaves, "segment_id", "left_semi")
-    part = F.struct(
-        "k", "text", "length", "tree_offset", "attends", "loss_chars", F.size("ids").alias("n_ids"), F.get("position_ids", F.lit(0)).alias("first"), F.element_at("position_ids", -1).alias("last")
-    )
-    emitted = tree.select(F.col("segment_id").alias("up_id"), "text", "length", "tree_offset", "attends", "loss_chars", "ids", "position_ids")
-    whole = paths.join(emitted, "up_id").groupBy("segment_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    part = F.struct("k", "text", "masked", "length", "position", "tree_offset", "attends").alias("part")
+    whole = paths.join(spoken, "up_id").select("segment_id", part).groupBy("segment_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     read = checkpointed(whole.mapInPandas(_read, _READ))
     return members.select("conv_id", "segment_id").join(read, "segment_id").drop("segment_id")

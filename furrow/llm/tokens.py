@@ -42,6 +42,16 @@ def encoder(tokenizer_path: str, ranks_path: str | None = None, pattern: str | N
     return _loaded[key]
 
 
+def decoder(tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
+    """A function from a list of ids to their text, by the tokenizer file; loaded once a Python worker."""
+    if tokenizer_path not in _loaded:
+        from tokenizers import Tokenizer
+
+        _loaded[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
+    exact = _loaded[tokenizer_path]
+    return lambda ids: exact.decode(ids, skip_special_tokens=False)
+
+
 def _latin1(text: str) -> bool:
     try:
         text.encode("latin-1")

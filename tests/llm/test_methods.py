@@ -1,6 +1,7 @@
 """Methods against independent brute force, hostile and very long texts, and held-out blocks."""
 
 import base64
+import hashlib
 import random
 import re
 import time
@@ -235,6 +236,18 @@ def test_tree_holds_tokens_positions_and_mask(spark, tokenizer):
     wrong = tree.withColumn("attends", F.slice("attends", F.lit(2), F.size("attends")))
     with pytest.raises(Exception, match="attention"):
         chat.read_back(wrong, members).collect()
+    # What is read comes from the tokens, their mask and their positions.
+    note = {"metadata": tree.schema["ids"].metadata}
+    sevens = tree.withColumn("ids", F.transform("ids", lambda i: F.lit(7)).alias("ids", **note))
+    with pytest.raises(Exception, match="text (between|after)"):
+        chat.read_back(sevens, members, tokenizer).collect()
+    with pytest.raises(Exception, match="follow one another"):
+        chat.read_back(tree.withColumn("position_ids", F.transform("position_ids", lambda p, i: F.when((i == 0) | (i == F.size("position_ids") - 1), p).otherwise(F.lit(0).cast("long")))), members).collect()
+    nothing = hashlib.sha256(b"").hexdigest()
+    bare = chat.read_back(tree.withColumn("loss", F.array().cast(tree.schema["loss"].dataType)), members).collect()
+    assert all((r["loss_chars"], r["loss_sha256"]) == (0, nothing) for r in bare) and len(bare) == members.count()
+    plain = {r["conv_id"]: r for r in chat.read_back(tree, members).collect()}
+    assert plain == {r["conv_id"]: r for r in chat.read_back(tree.withColumn("text", F.lit("")).withColumn("loss_chars", F.lit(None)), members).collect()}
 
 
 # Languages
@@ -295,17 +308,30 @@ def test_walk_shares_equal_dense_iteration_on_thousands_of_hosts(spark):
     weight = np.zeros((n, n))
     for (a, b), (_, _, w) in zip(sorted(pairs), edges):
         weight[a, b] = w
-    ahead, behind = weight / np.maximum(weight.sum(1, keepdims=True), 1), (weight / np.maximum(weight.sum(0, keepdims=True), 1)).T
-    good = np.array([float(i in trusted - blocked) for i in range(n)])
+    ahead = weight / np.maximum(weight.sum(1, keepdims=True), 1)
+    start = np.array([float(i in trusted - blocked) for i in range(n)])
     bad = np.array([float(i in blocked) for i in range(n)])
-    fixed_good, fixed_bad = good > 0, bad > 0
+    fixed_bad = bad > 0
     for _ in range(200):
-        good, bad = np.where(fixed_good, 1.0, 0.85 * behind @ good), np.where(fixed_bad, 1.0, 0.85 * ahead @ bad)
+        bad = np.where(fixed_bad, 1.0, 0.85 * ahead @ bad)
+    trust = np.linalg.solve(np.eye(n) - 0.85 * ahead.T, start)
+    good = np.where(start > 0, 1.0, np.minimum(0.85, (trust - start) / (trust @ start / (weight.sum(1) @ start))))
     got = urlgraph.walk_shares(spark.createDataFrame(edges, "src string, dst string, n int"), spark.createDataFrame(seeds, "host string, trusted int, blocked int"), tolerance=1e-7).collect()
     assert len(got) == n
     assert max(abs(r["good"] - good[int(r["host"][1:])]) + abs(r["bad"] - bad[int(r["host"][1:])]) for r in got) < 1e-5
 
 
+def test_junk_links_never_lower_trust(spark):
+    seeds = spark.createDataFrame([("good.org", 1, 0), ("bad.com", 0, 1)], "host string, trusted int, blocked int")
+    own = [("good.org", "fine.net", 1), ("fine.net", "bad.com", 1)] + [("fine.net", f"x{i}.net", 1) for i in range(19)]
+    for junk in (0, 2000):
+        edges = own + [(f"junk{i}.net", "fine.net", 3) for i in range(junk)]
+        got = {r["host"]: r for r in urlgraph.walk_shares(spark.createDataFrame(edges, "src string, dst string, n int"), seeds).where("host = 'fine.net'").collect()}
+        assert got["fine.net"]["good"] == pytest.approx(0.85) and got["fine.net"]["bad"] == pytest.approx(0.0425)
+    alone = {r["host"]: tuple(r)[1:] for r in urlgraph.walk_shares(spark.createDataFrame([], "src string, dst string, n int"), seeds).collect()}
+    assert alone == {"good.org": (1.0, 0.0), "bad.com": (0.0, 1.0)}
+
+
 # Quality
 
 
