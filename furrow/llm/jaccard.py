@@ -9,11 +9,12 @@
    thousands. The order is a matter of speed only: any list of shared shingles gives the same links. Tiles are cut into lists by
    size bands: the sets of a band and those of the next one, as sets further apart in size can't link. Lists with the same
    sets are one from here on; large ones are cut into blocks.
-3. In each block every set is held against the block's first one, and these against the list's first. The bitmaps' bit counts
-   bound the overlap from above; the likeliest pairs of each set that pass are confirmed by exact intersection of sorted arrays. This
-   joins large groups of near copies in few comparisons.
+3. In each block every set is held against the block's first one, and these against the list's first; lists of up to three sets have
+   as many pairs as that and go to step 4 at once. The bitmaps' bit counts bound the overlap from above; the likeliest pairs of each set
+   that pass are confirmed by exact intersection of sorted arrays. This joins large groups of near copies in few comparisons.
 4. In lists whose sets still lie in different components, all pairs of sets of different components are held against sizes and
-   bitmaps inside tasks, in large lists by blocks. No pair that these rule out leaves its task. Of a large list a task hands on
+   bitmaps inside tasks, in large lists by blocks. No pair that these rule out leaves its task. A set of small lists travels to each of them with a
+   bitmap folded to a quarter; different pairs that it lets pass are held against the whole bitmaps next. Of a large list a task hands on
    each component's likeliest pairs, to be confirmed exactly, and more of them in the next round, until
    none is left. Pairs inside one component are not looked at: their link would change nothing.
 """
@@ -49,6 +50,17 @@ def fold(bits: list[bytes], size: int) -> np.ndarray:
     return np.bitwise_or.reduce(x, axis=1)
 
 
+def _folded(by: int):
+    """Rows (sid, n, bits) with the bitmaps folded to 1 / by of their width, LEAST_BITS at least."""
+
+    def run(batches):
+        for batch in batches:
+            bits = [fold([x], max(LEAST_BITS // 8, len(x) // by)).tobytes() for x in batch.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(bits, pa.binary())], names=["sid", "n", "bits"])
+
+    return run
+
+
 def only_bits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many bits each of two bitmaps has alone."""
     return np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64)
@@ -356,9 +368,28 @@ def _sets(pairs: DataFrame, texts: DataFrame, known: DataFrame | None, width: in
     return checkpointed(found if known is None else known.union(found))
 
 
+def _may_pass(percent: int):
+    """Rows (a, b, n_a, n_b, bits_a, bits_b) to the (a, b) that the bitmaps don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            both = _Bitmaps([*batch.column("bits_a").to_pylist(), *batch.column("bits_b").to_pylist()])
+            only_a, only_b = both.alone(np.arange(m), np.arange(m, 2 * m))
+            ok = pa.array(may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), only_a, only_b, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
+def _wanted(table: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """The rows of a table, keyed by a side of pairs, that pairs have: only these move for the join that follows."""
+    return table.join(pairs.select(side), side, "left_semi")
+
+
 def _linking(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set names that link."""
-    met = pairs.select("a", "b").join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+    met = pairs.select("a", "b").join(_wanted(sets.toDF("b", "set_b"), pairs, "b"), "b").join(_wanted(sets.toDF("a", "set_a"), pairs, "a"), "a")
     return checkpointed(met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a binary, b binary"))
 
 
@@ -462,12 +493,13 @@ def _across(percent: int, most: int):
     return run
 
 
-def _pairs_between(members: DataFrame, facts: DataFrame, percent: int, most: int, few: int, block: int, small: bool) -> DataFrame:
+def _pairs_between(members: DataFrame, facts: DataFrame, thin: DataFrame, percent: int, most: int, few: int, block: int, small: bool) -> DataFrame:
     """(a, b, more), a before b: pairs of different components from lists (list, sid, label, m) of m sets that hold several; those of
-    large lists, and with `small` those of lists of a few."""
+    large lists, and with `small` those of lists of a few. thin: the facts with folded bitmaps."""
     columns = "a binary, b binary, more boolean"
     blocks = F.ceil(F.col("m") / block).cast("int")
-    cut = members.where(F.col("m") > few).join(facts, "sid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int"))
+    large = members.where(F.col("m") > few)
+    cut = large.join(_wanted(facts, checkpointed(large.select("sid").distinct()), "sid"), "sid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int"))
     dealt = (
         cut.select("list", "sid", "label", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .withColumn("lo", F.least("block", "other"))
@@ -475,8 +507,13 @@ def _pairs_between(members: DataFrame, facts: DataFrame, percent: int, most: int
     )
     out = dealt.groupBy("list", "lo", "hi").applyInPandas(_across(percent, most), columns)
     if small:
-        near = members.where(F.col("m") <= few).join(facts, "sid").select("list", "sid", "n", "label", "bits")
-        out = out.union(near.repartition("list").sortWithinPartitions("list").mapInArrow(_near(percent), columns))
+        near = members.where(F.col("m") <= few).join(thin, "sid").select("list", "sid", "n", "label", "bits")
+        near = near.repartition("list").sortWithinPartitions("list").mapInArrow(_near(percent), columns)
+        near = checkpointed(_ordered(near).distinct())
+        for side in ("b", "a"):
+            near = near.join(_wanted(facts.toDF(side, f"n_{side}", f"bits_{side}"), near, side), side)
+        near = near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_pass(percent), "a binary, b binary")
+        out = out.union(near.withColumn("more", F.lit(False)))
     return checkpointed(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more"))
 
 
@@ -530,9 +567,10 @@ def _classes(docs, percent, width, common, least_common, most_common, block, few
     dealt = texts.select("text").mapInArrow(_deal(percent, width, hot), "tile long, sid binary")
     met = dealt.repartition(F.shiftright("tile", 7)).sortWithinPartitions("tile", "sid").mapInArrow(_meet(), "list long, sid binary")
     lists = written(met.repartition("list").distinct(), "lists")
-    sizes = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 3").select("list", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     part = F.xxhash64("list", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")))
     facts = written(described.where("kind = 0 and n > 0").select("sid", "n", "bits").join(lists.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "facts")
+    thin = written(facts.mapInArrow(_folded(4), "sid binary, n long, bits binary"), "thin")
     cut = lists.join(sizes, "list").withColumn("part", part).join(facts, "sid").select("list", "part", "blocks", "sid", "n", "bits")
     own = checkpointed(cut.repartition("part").sortWithinPartitions("part", "sid").mapInArrow(_stars(percent), _OWN).drop("bits"))
     tops = own.where("blocks > 1 and lead = sid").join(facts.drop("n"), "sid").select("list", F.col("list").alias("part"), "blocks", "sid", "n", "bits")
@@ -558,7 +596,7 @@ def _classes(docs, percent, width, common, least_common, most_common, block, few
     most = first
     while more:
         members = _unsettled(members.select("list", "sid"), labels)
-        found = _pairs_between(members, facts, percent, most, few, block, most == first)
+        found = _pairs_between(members, facts, thin, percent, most, few, block, most == first)
         more = bool(found.agg(F.max("more")).first()[0])
         pairs = checkpointed(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
