@@ -509,9 +509,9 @@ def _pairs_between(members: DataFrame, facts: DataFrame, thin: DataFrame, percen
     if small:
         near = members.where(F.col("m") <= few).join(thin, "sid").select("list", "sid", "n", "label", "bits")
         near = near.repartition("list").sortWithinPartitions("list").mapInArrow(_near(percent), columns)
-        near = checkpointed(_ordered(near).distinct())
+        met = near = checkpointed(_ordered(near).distinct())
         for side in ("b", "a"):
-            near = near.join(_wanted(facts.toDF(side, f"n_{side}", f"bits_{side}"), near, side), side)
+            near = near.join(_wanted(facts.toDF(side, f"n_{side}", f"bits_{side}"), met, side), side)
         near = near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_pass(percent), "a binary, b binary")
         out = out.union(near.withColumn("more", F.lit(False)))
     return checkpointed(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more"))
@@ -573,7 +573,8 @@ def _classes(docs, percent, width, common, least_common, most_common, block, few
     thin = written(facts.mapInArrow(_folded(4), "sid binary, n long, bits binary"), "thin")
     cut = lists.join(sizes, "list").withColumn("part", part).join(facts, "sid").select("list", "part", "blocks", "sid", "n", "bits")
     own = checkpointed(cut.repartition("part").sortWithinPartitions("part", "sid").mapInArrow(_stars(percent), _OWN).drop("bits"))
-    tops = own.where("blocks > 1 and lead = sid").join(facts.drop("n"), "sid").select("list", F.col("list").alias("part"), "blocks", "sid", "n", "bits")
+    tops = checkpointed(own.where("blocks > 1 and lead = sid").select("list", "blocks", "sid"))
+    tops = tops.join(_wanted(facts, tops, "sid"), "sid").select("list", F.col("list").alias("part"), "blocks", "sid", "n", "bits")
     tops = tops.repartition("part").sortWithinPartitions("part", "sid").mapInArrow(_stars(percent), _OWN).drop("bits")
     likely = own.union(tops).where("gap is not null").select(F.col("lead").alias("a"), F.col("sid").alias("b"), "gap")
     likely = checkpointed(likely.groupBy("a", "b").agg(F.min("gap").alias("gap")))
