@@ -321,3 +321,35 @@ def test_statistical_rows_keep_the_outermost_line_and_number_from_its_side(spark
     assert [f[0] for f in found] == list(range(10)) and [f[1] for f in found] == pytest.approx([1 + 2 * k for k in range(10)], abs=0.01)
     assert [f[2] for f in found] == [1000 + 2 * k for k in range(10)]  # the lines run north, so the left is the west
     assert counts.first()["resultinglines"] == 10 and geometric.count() == 10
+
+
+def _mixed_lines(spark):
+    """Parallel, square, crossing, long and repeated lines, dense enough for large groups."""
+    rng = np.random.default_rng(7)
+    made = []
+    for i in range(260):
+        x, y = rng.uniform(0, 14, 2)
+        size, turn = (0.0, 0.0) if i % 50 == 3 else (rng.uniform(0.2, 4), rng.normal(1.2, 0.05)) if i % 20 else (rng.uniform(3, 40), rng.uniform(0, 3))
+        made.append((f"p{i % 2}", i, float(x), float(y), float(x + size * np.cos(turn)), float(y + size * np.sin(turn))))
+    made += [(p, i + 1000, *ends) for p, i, *ends in made[:20]]
+    return made, spark.createDataFrame(made, "prj string, idx long, x1 double, y1 double, x2 double, y2 double")
+
+
+def test_overlap_pairs_come_once_and_are_not_written(spark, monkeypatch):
+    made, frame = _mixed_lines(spark)
+    cross = spark.createDataFrame([(*a, *b[1:]) for a in made for b in made if a[0] == b[0] and a[1] < b[1]], "prj string, i long, ax double, ay double, bx double, by double, j long, cx double, cy double, dx double, dy double")
+    far = geometry.segment_distance(*[(F.col(f"{c}x"), F.col(f"{c}y")) for c in "abcd"])
+    want = sorted(tuple(r) for r in cross.where(far < 0.6).select("prj", "i", "j").collect())
+
+    def written(df):
+        raise AssertionError("pairs written")
+
+    monkeypatch.setattr(rows, "checkpointed", written)
+    assert sorted(tuple(r) for r in rows.overlap_pairs(frame, "prj").collect()) == want and len(want) > 500
+
+
+def test_overlap_groups_without_all_pairs(spark):
+    _, frame = _mixed_lines(spark)
+    for part in (frame, frame.where("idx % 5 = 0"), frame.where("idx % 50 = 3"), frame.where("idx < 0")):
+        want = rows.dissolve_groups(part, rows.overlap_pairs(part, "prj"), "prj")
+        assert sorted(tuple(r) for r in rows.overlap_groups(part, "prj").collect()) == sorted(tuple(r) for r in want.collect())
