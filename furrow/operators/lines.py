@@ -222,6 +222,8 @@ def clean_tile_lines(lines: DataFrame, tiles: DataFrame, *, ratio: float = DEFAU
     met = met.withColumn("first_azimuth", F.first(geometry.azimuth(*_ends())).over(first))
     px, py = seed_point(F.col("seed"), F.col("first_azimuth"))
     met = valid_lines(met, least).withColumn("d", geometry.distance((px, py), geometry.midpoint(*_ends())))
+    if gap > 0:  # distances that differ in their last bits alone are one
+        met = met.withColumn("d", F.round("d", 9))
     chosen = first_index_of(gap_filter(distinct_sorted(met, *tile), *tile, gap=gap), met, *tile)
     kept = met.join(chosen.select(*tile, "idx"), [*tile, "idx"])
     return number_lines(kept, *tile, order=("d", "idx")).select(*tile, "id", colrow(F.col("col"), F.col("row")).alias("colrow"), "idx", "d", "x1", "y1", "x2", "y2")

@@ -353,3 +353,10 @@ def test_overlap_groups_without_all_pairs(spark):
     for part in (frame, frame.where("idx % 5 = 0"), frame.where("idx % 50 = 3"), frame.where("idx < 0")):
         want = rows.dissolve_groups(part, rows.overlap_pairs(part, "prj"), "prj")
         assert sorted(tuple(r) for r in rows.overlap_groups(part, "prj").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_tile_lines_at_one_distance_but_for_the_last_bits(spark):
+    made = [("p", c, 1, 2 * c + i, (c - 1) * 40 + 20 + s * (0.1 + c / 7), 10.0) for c in range(1, 60) for i, s in ((0, 1), (1, -1))]
+    frame = spark.createDataFrame([(*m, m[4], 13.0) for m in made], "prj string, col int, row int, idx long, x1 double, y1 double, x2 double, y2 double")
+    tiles = spark.createDataFrame([("p", c, 1, 1, (c - 1) * 40.0, 0.0, c * 40.0, 40.0) for c in range(1, 60)], "prj string, col int, row int, seed int, xmin double, ymin double, xmax double, ymax double")
+    assert {r["col"]: r["idx"] for r in lines.clean_tile_lines(frame, tiles).collect()} == {c: 2 * c for c in range(1, 60)}
