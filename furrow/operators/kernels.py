@@ -392,6 +392,35 @@ def convex_hull(xy: np.ndarray) -> np.ndarray:
     return np.array(chain(pts) + chain(pts[::-1]))
 
 
+def _turning_left(owner: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points in order by owner without those on or left of the way between the two beside them, until none is."""
+    while len(owner) > 2:
+        same = (owner[1:-1] == owner[:-2]) & (owner[1:-1] == owner[2:])
+        stay = ~(same & ((x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (y[1:-1] - y[:-2]) * (x[2:] - x[:-2]) <= 0))
+        if stay.all():
+            break
+        stay = np.concatenate([[True], stay, [True]])
+        owner, x, y = owner[stay], x[stay], y[stay]
+    return owner, x, y
+
+
+def convex_hulls(owner: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """convex_hull of many sets of points at once: owner names each point's set, from 0; sets come in order, each counter-clockwise from its leftmost."""
+    order = np.lexsort((y, x, owner))
+    owner, x, y = owner[order], x[order], y[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(owner)]
+    owner, x, y = owner[new], x[new], y[new]
+    parts = []
+    for back, (o, u, v) in ((False, _turning_left(owner, x, y)), (True, _turning_left(owner[::-1], x[::-1], y[::-1]))):
+        last = np.append(o[1:] != o[:-1], True)[: len(o)]
+        alone = last & np.append(True, o[1:] != o[:-1])[: len(o)]
+        stay = ~last | (alone & (not back))
+        parts.append((o[stay], u[stay], v[stay]))
+    owner, x, y = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], x[order], y[order]
+
+
 def min_area_rect(xy) -> tuple[float, float, float, float, float, list]:
     """(cx, cy, w, h, angle in [-90, 0), corners) of the least rectangle about points; its width lies along the angle."""
     hull = convex_hull(np.asarray(xy, float))

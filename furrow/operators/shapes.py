@@ -12,8 +12,7 @@ from furrow.operators import contours as _contours
 def min_rectangles(contours: DataFrame, *keys: str) -> DataFrame:
     """keys, cx, cy, w, h, rect_angle (in [-90, 0)), corners: the least rectangle about each contour's points along an edge of their hull; w
     is its side along rect_angle, h the other. Contours without points have no row."""
-    points = contours.select(*keys, F.explode("pts").alias("p")).select(*keys, "p.x", "p.y")
-    box = _contours.ombb(_contours.convex_hulls(points, *keys), *keys)
+    box = _contours.ombb(_contours.contour_hulls(contours, *keys), *keys)
     c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
     back = lambda u, v: (u * c - v * s, u * s + v * c)
     mid = back((F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2)

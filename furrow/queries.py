@@ -1070,8 +1070,7 @@ def _(v):
 
 @query("convex_hull_bounds", "SELECT contour_id, min(x)::DOUBLE AS x0, max(x)::DOUBLE AS x1, min(y)::DOUBLE AS y0, max(y)::DOUBLE AS y1 FROM contours GROUP BY contour_id")
 def _(v):
-    points = v.contours.select("contour_id", F.explode("pts").alias("p")).select("contour_id", "p.x", "p.y")
-    hull = contours.convex_hulls(points, "contour_id").select("contour_id", F.explode("hull").alias("p"))
+    hull = contours.contour_hulls(v.contours, "contour_id").select("contour_id", F.explode("hull").alias("p"))
     return hull.groupBy("contour_id").agg(F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1"))
 
 
@@ -1083,8 +1082,7 @@ _VERTICES = """WITH p AS (SELECT DISTINCT contour_id, x::DOUBLE AS x, y::DOUBLE
 
 @query("convex_hull_vertices", _VERTICES)
 def _(v):
-    points = v.contours.select("contour_id", F.explode("pts").alias("p")).select("contour_id", "p.x", "p.y")
-    return contours.convex_hulls(points, "contour_id").select("contour_id", F.explode("hull").alias("p")).select("contour_id", "p.x", "p.y")
+    return contours.contour_hulls(v.contours, "contour_id").select("contour_id", F.explode("hull").alias("p")).select("contour_id", "p.x", "p.y")
 
 
 @query("mosaic_tiles", "SELECT prj, col, row, px, py, r, g, b FROM tpix")

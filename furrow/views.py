@@ -68,7 +68,7 @@ class Views:
     @cached_property
     def contours(self) -> DataFrame:
         """prj, col, row, contour_id, pts: an order's lines are vertices around a centre."""
-        l = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+        l = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
         a = 2 * math.pi * F.col("l_linenumber") / 7
         k = F.col("l_orderkey")
         x, y = F.floor(100 + k % 40 + F.col("q") * F.cos(a)).cast("int"), F.floor(100 + k % 30 + F.col("q") * F.sin(a)).cast("int")

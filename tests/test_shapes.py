@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.operators import kernels, shapes
+from furrow.operators import contours, kernels, shapes
 
 SCHEMA = "k int, pts array<struct<x:double,y:double>>"
 
@@ -65,3 +65,13 @@ def test_ellipses_and_rectangles(spark):
     assert got[11]["ellipse_angle"] is None or got[11]["ellipse_angle"] >= 0  # a parabola
     points = spark.range(20_000).select((F.col("id") % 4).alias("k"), (100 + 9 * F.cos(F.col("id") * 0.01)).alias("x"), (70 + 4 * F.sin(F.col("id") * 0.01)).alias("y"))
     assert all(r["angle"] == pytest.approx(90, abs=0.1) for r in shapes.ellipse_angles(points, "k").collect())
+
+
+def test_hulls_and_rectangles_of_contours_move_no_points(spark):
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, k, (n, 2)).tolist() for k in (1, 3, 12, 200) for n in (1, 2, 3, 7, 60)] + [[[i, i * i] for i in range(40)], [[i, -abs(i - 20)] for i in range(40)], [[2, i] for i in range(9)]]
+    frame = spark.createDataFrame([(i, [tuple(p) for p in s]) for i, s in enumerate(sets)] + [(99, [])], "k long, pts array<struct<x:int,y:int>>")
+    got = {r["k"]: [tuple(p) for p in r["hull"]] for r in contours.contour_hulls(frame, "k").collect()}
+    assert got == {i: [tuple(p) for p in kernels.convex_hull(np.array(s, float)).tolist()] for i, s in enumerate(sets)}
+    plan = shapes.min_rectangles(frame, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
