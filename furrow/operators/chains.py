@@ -38,17 +38,18 @@ def ring_places(steps: DataFrame, *keys: str, most_rounds: int = 64) -> DataFram
 
 def least_labels(nodes: DataFrame, links: DataFrame, *keys: str, most_rounds: int = 100) -> DataFrame:
     """keys, node, label: the least node that a node of nodes (keys, node) reaches by links (keys, a, b), either way. Each round takes the least label among
-    neighbours, hands it to the node that gave its own label, and follows labels' own labels."""
+    neighbours, hands it to the node that gave its own label, and follows labels' own labels. Labels are merged, not broadcast: as files they are small for
+    the rows they hold, and the driver would gather them in each round."""
     both = checkpointed(links.select(*keys, "a", "b").union(links.select(*keys, F.col("b"), F.col("a"))).distinct().toDF(*keys, "node", "to"))
     labels = checkpointed(nodes.select(*keys, "node", F.col("node").alias("label")))
     for _ in range(most_rounds):
-        near = both.join(labels.select(*keys, F.col("node").alias("to"), F.col("label").alias("near")), [*keys, "to"]).groupBy(*keys, "node").agg(F.min("near").alias("near"))
-        lower = labels.join(near, [*keys, "node"], "left").withColumn("low", F.least("label", "near"))
+        near = both.join(labels.select(*keys, F.col("node").alias("to"), F.col("label").alias("near")).hint("merge"), [*keys, "to"]).groupBy(*keys, "node").agg(F.min("near").alias("near"))
+        lower = labels.join(near.hint("merge"), [*keys, "node"], "left").withColumn("low", F.least("label", "near"))
         # A node's new label holds for the node that was its label before, too.
         hooked = lower.groupBy(*keys, F.col("label").alias("node")).agg(F.min("low").alias("hook"))
-        low = checkpointed(lower.join(hooked, [*keys, "node"], "left").select(*keys, "node", "label", F.least("low", "hook").alias("low")))
+        low = checkpointed(lower.join(hooked.hint("merge"), [*keys, "node"], "left").select(*keys, "node", "label", F.least("low", "hook").alias("low")))
         jump = low.select(*keys, F.col("node").alias("low"), F.col("low").alias("next"))
-        moved = checkpointed(low.join(jump, [*keys, "low"]).select(*keys, "node", "label", F.least("low", "next").alias("new")))
+        moved = checkpointed(low.join(jump.hint("merge"), [*keys, "low"]).select(*keys, "node", "label", F.least("low", "next").alias("new")))
         changed = moved.where("label <> new").limit(1).count()
         labels = moved.select(*keys, "node", F.col("new").alias("label"))
         if not changed:

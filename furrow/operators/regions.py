@@ -8,7 +8,7 @@ one group: a window holds a row or a column of pixels, a join a stretch of a row
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +41,9 @@ def components(pixels: DataFrame, *keys: str, x: str = "px", y: str = "py", leas
     below = runs.select(*keys, (F.col(y) - 1).alias("_y"), (F.col("x0") - 1).alias("z0"), (F.col("x1") + 1).alias("z1"), F.col("node").alias("b")).withColumn("cell", F.explode(cells("z0", "z1")))
     links = above.join(below, [*keys, "_y", "cell"]).where("x0 <= z1 and z0 <= x1").select(*keys, F.col("node").alias("a"), "b")
     labels = least_labels(runs.select(*keys, "node"), links, *keys)
-    sized = runs.join(labels, [*keys, "node"]).select(*keys, y, "x0", (F.col("x1") - F.col("x0") + 1).alias("_n"), "label")
+    sized = runs.join(labels.hint("merge"), [*keys, "node"]).select(*keys, y, "x0", (F.col("x1") - F.col("x0") + 1).alias("_n"), "label")
     area = sized.groupBy(*keys, "label").agg(F.sum("_n").alias("area")).where(F.col("area") >= least_area)
-    return marked.join(sized.drop("_n"), [*keys, y, "x0"]).join(area, [*keys, "label"]).drop("x0")
+    return marked.join(sized.drop("_n").hint("merge"), [*keys, y, "x0"]).join(area.hint("merge"), [*keys, "label"]).drop("x0")
 
 
 def neighbours(pixels: DataFrame, *keys: str, x: str = "px", y: str = "py") -> DataFrame:
@@ -126,22 +126,25 @@ def distances(pixels: DataFrame, *keys: str, value: str = "mask", x: str = "px",
     after = F.min(unset).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     gap = F.least(F.col(y) - before, after - F.col(y))  # the one that is there, if one is null
     rows = pixels.withColumn("_g", gap.cast("double")).groupBy(*keys, y).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.coalesce("_g", F.lit(-1.0)).alias("g")))).alias("line"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.schema if f.name in (*keys, y))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "line")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for line in batch["line"]:
-                at = np.array([p["x"] for p in line])
-                g = np.full((1, at.max() - at.min() + 1), np.inf)
-                g[0, at - at.min()] = [p["g"] ** 2 if p["g"] >= 0 else np.inf for p in line]
-                d = np.sqrt(_envelopes(g))[0, at - at.min()]
-                out.append([{"x": int(p), "d": float(v) if np.isfinite(v) else 0.0} for p, v in zip(at, d)])
-            yield batch.drop(columns="line").assign(line=pd.Series(out, index=batch.index))
-
-    order = [f.name for f in rows.schema if f.name != "line"]
-    typed = ", ".join(next(c for c in schema.split(", ") if c.split()[0] == n) for n in order)
-    done = rows.mapInPandas(run, f"{typed}, line array<struct<x:int,d:double>>")
+            line = batch.column("line")
+            ends = np.asarray(line.offsets) - line.offsets[0].as_py()
+            at, g = (c.to_numpy(zero_copy_only=False) for c in line.flatten().flatten())
+            d = np.zeros(len(at))
+            for i, j in zip(ends[:-1], ends[1:]):
+                place = at[i:j] - at[i]  # sorted
+                square = np.full((1, place[-1] + 1), np.inf)
+                square[0, place] = np.where(g[i:j] >= 0, g[i:j] * g[i:j], np.inf)
+                d[i:j] = np.sqrt(_envelopes(square))[0, place]
+            d[~np.isfinite(d)] = 0.0
+            away = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(d)], names=["x", "d"]))
+            kept = [n for n in batch.schema.names if n != "line"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], away], names=[*kept, "line"])
+
+    done = rows.mapInArrow(run, f"{schema}, line array<struct<x:int,d:double>>")
     return done.select(*keys, y, F.explode("line").alias("_p")).select(*keys, F.col("_p.x").alias(x), y, F.col("_p.d").alias("distance"))
 
 

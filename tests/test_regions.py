@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.operators import chains
+from furrow.sources.shared import checkpointed
 from furrow.operators import kernels, regions
 
 RNG = np.random.default_rng(11)
@@ -98,3 +100,15 @@ def test_distances(spark):
             for x in range(m.shape[1]):
                 want = math.sqrt(((ground - (y, x)) ** 2).sum(axis=1).min()) if len(ground) else 0.0
                 assert got[(name, x, y)] == pytest.approx(want, abs=1e-9) and cores[(name, x, y)] == core[y, x]
+
+
+def test_distances_hold_no_python_objects_and_labels_are_not_broadcast(spark, monkeypatch):
+    image = spark.range(3000).select(F.lit("i").alias("k"), (F.col("id") % 60).cast("int").alias("px"), F.floor(F.col("id") / 60).cast("int").alias("py"), F.when(F.col("id") % 7 == 0, 0).otherwise(255).alias("mask"))
+    away = regions.distances(image, "k")
+    assert "MapInPandas" not in away._jdf.queryExecution().executedPlan().toString() and away.count() == 3000
+    plans = []
+    monkeypatch.setattr(chains, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or checkpointed(df))
+    nodes = spark.range(50).select(F.lit("i").alias("k"), F.col("id").alias("node"))
+    links = spark.range(49).select(F.lit("i").alias("k"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["label"] for r in chains.least_labels(nodes, links, "k").collect()} == {0}
+    assert plans and not any("Broadcast" in p for p in plans)
