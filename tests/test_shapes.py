@@ -75,3 +75,22 @@ def test_hulls_and_rectangles_of_contours_move_no_points(spark):
     assert got == {i: [tuple(p) for p in kernels.convex_hull(np.array(s, float)).tolist()] for i, s in enumerate(sets)}
     plan = shapes.min_rectangles(frame, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("d, whole", [(1.0, True), (1.0, False), (0.7, False)])
+def test_close_contours_come_once_and_are_not_moved(spark, d, whole):
+    """Many points of a contour near many of another, some on the borders of cells and blocks, one contour in two rows: no pair twice, none lost."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(160):
+        pts = rng.normal(rng.uniform(-9, 9, 2), 4, (int(rng.integers(0, 9)), 2))
+        pts = (np.round(pts) if whole else np.round(pts, 1)).tolist()
+        rows.append(("f", i % 2, i // 2 if i < 150 else 3, [{"x": x, "y": y} for x, y in pts]))
+    out = contours.close_contours(spark.createDataFrame(rows, "prj string, col int, contour_id long, pts array<struct<x:double,y:double>>").repartition(3), "prj", "col", d=d)
+    met = sorted((r["prj"], r["col"], r["a"], r["b"]) for r in out.collect())
+    wanted = {
+        (p, c, i, j) for p, c, i, u in rows for _, e, j, v in rows
+        if c == e and i < j and any((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 < d * d for a in u for b in v)
+    }
+    assert met == sorted(wanted) and len(wanted) > 50
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # nothing moves pairs
