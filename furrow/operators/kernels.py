@@ -532,6 +532,48 @@ def resample_closed(points, n: int = 25) -> np.ndarray:
     return np.stack([np.interp(at, length, curve[:, i]) for i in range(2)], axis=1).astype(int)
 
 
+def resample_many(ends: np.ndarray, x: np.ndarray, y: np.ndarray, n: int = 25, short: int = 32) -> np.ndarray:
+    """resample_closed of many rings at once, to the last bit: ring i is x, y from ends[i] to ends[i + 1], none empty. Rings of as many points are one array."""
+    pts, owner = np.stack([x, y], axis=1).astype(float), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    first = np.zeros(len(pts), bool)
+    first[ends[:-1]] = True
+    new = first.copy()
+    new[1:] |= (pts[1:] != pts[:-1]).any(axis=1)
+    pts, owner = pts[new], owner[new]
+    size = np.bincount(owner, minlength=len(ends) - 1)
+    begin = size.cumsum() - size
+    size -= (size > 1) & (pts[begin] == pts[begin + size - 1]).all(axis=1)
+    out = np.empty((len(size), n, 2), int)
+    for k in np.unique(size):
+        rings = np.flatnonzero(size == k)
+        if k < 3 or k > short:
+            for i in rings:
+                out[i] = resample_closed(pts[begin[i] : begin[i] + k], n)
+        else:
+            out[rings] = _resampled(pts[begin[rings][:, None] + np.arange(k)], n)
+    return out
+
+
+def _resampled(pts: np.ndarray, n: int) -> np.ndarray:
+    """resample_closed of rings (rings, points, 2) of as many points, three at least, none equal to the one before it."""
+    ahead, behind = np.roll(pts, -1, axis=1), np.roll(pts, 1, axis=1)
+    slope = (ahead - behind) / 2
+    t = np.linspace(0, 1, 16, endpoint=False)[:, None]
+    pts, ahead, slope, then = (c[:, :, None, :] for c in (pts, ahead, slope, np.roll(slope, -1, axis=1)))
+    curve = (2 * t**3 - 3 * t**2 + 1) * pts + (t**3 - 2 * t**2 + t) * slope + (3 * t**2 - 2 * t**3) * ahead + (t**3 - t**2) * then
+    curve = curve.reshape(len(pts), -1, 2)
+    curve = np.concatenate([curve, curve[:, :1]], axis=1)
+    length = np.linalg.norm(np.diff(curve, axis=1), axis=2).cumsum(axis=1)
+    length = np.concatenate([np.zeros((len(pts), 1)), length], axis=1)
+    at = np.linspace(0, length[:, -1], n, endpoint=False, axis=1)
+    j = np.stack([(length <= at[:, i : i + 1]).sum(axis=1) - 1 for i in range(n)], axis=1)
+    j = np.minimum(j, length.shape[1] - 2)  # a ring of no length is its first point
+    l0, l1 = (np.take_along_axis(length, j + i, axis=1) for i in (0, 1))
+    c0, c1 = (np.take_along_axis(curve, (j + i)[:, :, None], axis=1) for i in (0, 1))
+    rise = (c1 - c0) / np.where(l1 > l0, l1 - l0, 1.0)[:, :, None]
+    return np.where((at == l0)[:, :, None], c0, rise * (at - l0)[:, :, None] + c0).astype(int)
+
+
 def distinct_points(owner: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each owner's different points, by owner, x and y; points with a null or NaN are left out, and there is one zero."""
     known = ~(np.isnan(x) | np.isnan(y))

@@ -94,3 +94,23 @@ def test_close_contours_come_once_and_are_not_moved(spark, d, whole):
     }
     assert met == sorted(wanted) and len(wanted) > 50
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # nothing moves pairs
+
+
+def test_contours_smoothed_many_at_once(spark, monkeypatch):
+    """The same points as one at a time: lengths from one point to more than the short ones, points in a row alike, closed twice, on one line; none and null."""
+    rng = np.random.default_rng(8)
+    rings = [np.round(rng.normal(50, 20, (int(k), 2))).astype(int).tolist() for k in rng.integers(1, 45, 400)]
+    rings += [[[5, 5]] * 4, [[1, 1], [1, 1], [4, 4], [4, 4], [9, 1], [1, 1]], [[0, 0], [5, 0], [10, 0], [5, 0]], [[0, 0], [3, 0], [0, 0]], [[0, 0], [3, 0], [0, 0], [3, 0]], [[-3, -7], [8, -7], [8, 2]]]
+    wanted = {i: kernels.resample_closed(r).tolist() for i, r in enumerate(rings)} | {9000: [], 9001: None}
+    rows = [(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)] + [(9000, []), (9001, None)]
+    calls = []
+    one = kernels.resample_closed
+    monkeypatch.setattr(kernels, "resample_closed", lambda *a: calls.append(1) or one(*a))
+    flat = [p for r in rings for p in r]
+    many = kernels.resample_many(np.append(0, np.cumsum([len(r) for r in rings])), *np.array(flat).T)
+    assert many.tolist() == [wanted[i] for i in range(len(rings))] and len(calls) < len(rings) / 2
+    monkeypatch.undo()
+    frame_ = spark.createDataFrame(rows, "id int, pts array<struct<x:int,y:int>>").repartition(2)
+    out = contours.smooth_contours(frame_)
+    assert out.schema["pts"].dataType == frame_.schema["pts"].dataType
+    assert {r["id"]: r["pts"] and [[p["x"], p["y"]] for p in r["pts"]] for r in out.collect()} == wanted
