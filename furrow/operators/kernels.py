@@ -602,7 +602,7 @@ def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i, np.arange(len(i)) - np.repeat(size.cumsum() - size, size) + low[i]
 
 
-def _in_parts(size: np.ndarray, most: int):
+def in_parts(size: np.ndarray, most: int):
     """Slices of rows whose sizes add up to most, or of one row."""
     total, begin = size.cumsum(), 0
     while begin < len(size):
@@ -646,7 +646,7 @@ def near_owners(group, owner, place, ends, x, y, cx, cy, d: float, side: int, mo
     def least(a, b):
         """Of pairs of near points those that are their owners' least."""
         out, n = np.ones(len(a), bool), ends[b + 1] - ends[b]
-        for part in _in_parts((place[a] + 1) * n, most):
+        for part in in_parts((place[a] + 1) * n, most):
             i, j = expanded(np.zeros_like(n[part]), (place[a[part]] + 1) * n[part])
             p, q = ends[a[part]][i] + j // n[part][i], ends[b[part]][i] + j % n[part][i]
             near = (x[p] - x[q]) * (x[p] - x[q]) + (y[p] - y[q]) * (y[p] - y[q]) < d * d
@@ -657,16 +657,16 @@ def near_owners(group, owner, place, ends, x, y, cx, cy, d: float, side: int, mo
     ours = np.flatnonzero(((rx >= 1) & (rx <= side) & (ry >= 1) & (ry <= side))[order][first])
     for step in (-1, 0, 1):
         low, high = (np.searchsorted(cell, cell[ours] + step * wide + s, way) for s, way in ((-1, "left"), (1, "right")))
-        for part in _in_parts(high - low, most):
+        for part in in_parts(high - low, most):
             p, q = expanded(low[part], high[part])
             p, (u, v) = ours[part][p], (first[ours[part][p]], first[q])
             near = (sx[u] - sx[v]) * (sx[u] - sx[v]) + (sy[u] - sy[v]) * (sy[u] - sy[v]) < d * d
             p, q = p[near], q[near]
-            for few in _in_parts(after[p] - first[p], most):
+            for few in in_parts(after[p] - first[p], most):
                 i, k = expanded(first[p[few]], after[p[few]])
                 to = q[few][i]
                 begin = np.searchsorted(member, to * owners + so[k], "right")
-                for some in _in_parts(after[to] - begin, most):
+                for some in in_parts(after[to] - begin, most):
                     i, other = expanded(begin[some], after[to[some]])
                     a, b = order[k[some][i]], order[other]
                     doubt = twice[b]
@@ -676,3 +676,71 @@ def near_owners(group, owner, place, ends, x, y, cx, cy, d: float, side: int, mo
                     keep = np.ones(len(a), bool)
                     keep[doubt] = least(a[doubt], b[doubt])
                     yield a[keep], b[keep]
+
+
+#: For each side of a pixel (top, left, bottom, right), run with the pixel on the left: the step out of it, the steps to the pixels ahead on the right and on the left, and the side
+#: that follows if the first is set, if the second is, if none is.
+_SIDES = (((0, -1), (-1, -1), (-1, 0), 3, 0, 1), ((-1, 0), (-1, 1), (0, 1), 0, 1, 2), ((0, 1), (1, 1), (1, 0), 1, 2, 3), ((1, 0), (1, -1), (0, -1), 2, 3, 0))
+
+
+def traced(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(image, number, hole, x, y) of the turning points of the borders of many images' set pixels (image, from 0, x, y), in order. Borders are numbered within their image: outer ones,
+    then holes, each by place of its first side; a border begins there. As regions.borders, which it equals."""
+    if not len(x):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, bool, np.int64, np.int64))
+    wide, high = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3
+    code = np.unique((image.astype(np.int64) * high + (y - y.min() + 1)) * wide + (x - x.min() + 1))
+    count = len(code)
+
+    # Where each pixel's neighbours stand, -1 if they are not set: a row's three stand side by side.
+    at = {}
+    for dy in (-1, 0, 1):
+        place = np.searchsorted(code, code + dy * wide - 1)
+        for dx in (-1, 0, 1):
+            here = np.minimum(place, count - 1)
+            found = (place < count) & (code[here] == code + dy * wide + dx)
+            at[dx, dy] = np.where(found, here, -1)
+            place = place + found
+    bare = np.stack([at[out] < 0 for out, *_ in _SIDES], axis=1)
+    name = np.cumsum(bare.ravel()).reshape(count, 4) - 1  # of a side, by place and side
+    follows, dx, dy = (np.empty(int(bare.sum()), np.int64) for _ in range(3))
+    for side, (_, right, left, if_right, if_left, if_none) in enumerate(_SIDES):
+        own = np.flatnonzero(bare[:, side])
+        r, l = at[right][own], at[left][own]
+        to = np.where(r >= 0, name[r, if_right], np.where(l >= 0, name[l, if_left], name[own, if_none]))
+        me = name[own, side]
+        follows[me] = to
+        for i, d in enumerate((dx, dy)):
+            d[me] = np.where(r >= 0, right[i], np.where(l >= 0, left[i], 0))
+    pixel, side = np.nonzero(bare)
+
+    # The least side of each ring, then the steps from each side to the last before it, by doubling.
+    ring, jump = np.arange(len(follows)), follows
+    while True:
+        lower = np.minimum(ring, ring[jump])
+        if (lower == ring).all():
+            break
+        ring, jump = lower, jump[jump]
+    last = follows == ring
+    jump, left = np.where(last, np.arange(len(follows)), follows), (~last).astype(np.int64)
+    while (step := left[jump]).any():
+        left, jump = left + step, jump[jump]
+
+    out = (dx != 0) | (dy != 0)
+    leaves = np.bincount(ring, out, len(ring)) > 0
+    kept = np.flatnonzero(out | (~leaves[ring] & (ring == np.arange(len(ring)))))
+    hole = side[ring] == 2
+    owner = code // (wide * high)
+    kept = kept[np.lexsort((-left[kept], ring[kept], hole[kept], owner[pixel[kept]]))]
+    ring, dx, dy = ring[kept], dx[kept], dy[kept]
+    new = np.append(True, ring[1:] != ring[:-1])
+    first = np.flatnonzero(new)
+    before = np.arange(-1, len(kept) - 1)
+    before[first] = np.append(first[1:], len(kept)) - 1
+    turned = (dx != dx[before]) | (dy != dy[before]) | ~leaves[ring]
+    pixel, hole = pixel[kept], hole[kept]
+    image = owner[pixel]
+    number = new.cumsum() - 1
+    number -= number[np.searchsorted(image, image)]
+    place = code[pixel] % (wide * high)
+    return tuple(c[turned] for c in (image, number, hole, place % wide + x.min() - 1, place // wide + y.min() - 1))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators import kernels
 from furrow.operators.chains import least_labels, ring_places
 from furrow.sources.shared import checkpointed
 
@@ -95,14 +97,26 @@ def borders(pixels: DataFrame, *keys: str, x: str = "px", y: str = "py") -> Data
     return turned.select(*keys, "ring", (F.col("ring") % 4 == 2).alias("hole"), "place", x, y)
 
 
-def trace_contours(pixels: DataFrame, *keys: str, x: str = "px", y: str = "py") -> DataFrame:
+def trace_contours(pixels: DataFrame, *keys: str, x: str = "px", y: str = "py", most: int = 1 << 18) -> DataFrame:
     """keys, contour_id (from 0: outer borders, then holes, each by place of its first pixel), pts, hole: borders as arrays of their turning points. For images
-    whose borders fit a row, tiles for example."""
-    found = borders(pixels, *keys, x=x, y=y)
-    packed = found.groupBy(*keys, "ring", "hole").agg(F.array_sort(F.collect_list(F.struct("place", F.col(x).alias("x"), F.col(y).alias("y")))).alias("p"))
-    pts = packed.withColumn("pts", F.transform("p", lambda p: F.struct(p["x"].cast("int").alias("x"), p["y"].cast("int").alias("y"))))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("hole", "ring")) - 1
-    return pts.select(*keys, number.alias("contour_id"), "pts", "hole")
+    whose pixels fit a row, tiles for example: they move once and are traced where they meet, many small images at once (about `most` pixels). `borders` has those of images of any size."""
+    packed = pixels.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.collect_list(F.col(y).cast("long") * (1 << 32) + F.col(x)).alias("p"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name != "p")
+
+    def run(batches):
+        for batch in batches:
+            size = pc.list_value_length(batch.column("p")).to_numpy()
+            for part in kernels.in_parts(size, most):
+                few = batch.slice(part.start, part.stop - part.start)
+                p = few.column("p").flatten().to_numpy()
+                image, number, hole, px, py = kernels.traced(np.repeat(np.arange(few.num_rows), size[part]), ((p + (1 << 31)) & 0xFFFFFFFF) - (1 << 31), (p + (1 << 31)) >> 32)
+                first = np.flatnonzero(np.append(True, (image[1:] != image[:-1]) | (number[1:] != number[:-1]))[: len(image)])
+                points = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (px, py)], names=["x", "y"])
+                pts = pa.ListArray.from_arrays(pa.array(np.append(first, len(image)).astype(np.int32)), points)
+                rows = pa.array(image[first])
+                yield pa.RecordBatch.from_arrays([*[few.column(k).take(rows) for k in keys], pa.array(number[first].astype(np.int32)), pts, pa.array(hole[first])], names=[*keys, "contour_id", "pts", "hole"])
+
+    return packed.mapInArrow(run, f"{kept}, contour_id int, pts array<struct<x:int,y:int>>, hole boolean")
 
 
 def _envelopes(squares: np.ndarray) -> np.ndarray:

@@ -112,3 +112,22 @@ def test_distances_hold_no_python_objects_and_labels_are_not_broadcast(spark, mo
     links = spark.range(49).select(F.lit("i").alias("k"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["label"] for r in chains.least_labels(nodes, links, "k").collect()} == {0}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_tiles_are_traced_where_their_pixels_meet(spark, monkeypatch):
+    """The rings, holes, order and first points of `borders`, in parts of a few images; nothing is written."""
+    moved = pixels(spark).withColumns({"px": F.col("px") + 30, "py": F.col("py") + 7})
+    rings = regions.borders(moved, "k").groupBy("k", "ring", "hole").agg(F.array_sort(F.collect_list(F.struct("place", "px", "py"))).alias("p")).collect()
+    wanted = {}
+    for r in sorted(rings, key=lambda r: (r["k"], r["hole"], r["ring"])):
+        wanted.setdefault(r["k"], []).append((r["hole"], [(p["px"], p["py"]) for p in r["p"]]))
+    written = []
+    monkeypatch.setattr(regions, "checkpointed", lambda df: written.append(df) or checkpointed(df))
+    monkeypatch.setattr(chains, "checkpointed", lambda df: written.append(df) or checkpointed(df))
+    for most in (1, 500, 1 << 18):
+        got = {}
+        for r in sorted(regions.trace_contours(moved.repartition(5), "k", most=most).collect(), key=lambda r: (r["k"], r["contour_id"])):
+            got.setdefault(r["k"], []).append((r["hole"], [(p["x"], p["y"]) for p in r["pts"]]))
+            assert r["contour_id"] == len(got[r["k"]]) - 1
+        assert got == wanted
+    assert not written
