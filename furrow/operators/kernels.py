@@ -744,3 +744,26 @@ def traced(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     number -= number[np.searchsorted(image, image)]
     place = code[pixel] % (wide * high)
     return tuple(c[turned] for c in (image, number, hole, place % wide + x.min() - 1, place // wide + y.min() - 1))
+
+
+def power_sums(owner: np.ndarray, count: int, x: np.ndarray, y: np.ndarray, powers) -> list[np.ndarray]:
+    """For each (i, j) of powers the sum of u^i v^j over each of count owners' points, one after the other: u and v are x and y from the owner's mean, by the farthest
+    of its points along x or y. Points with a null or NaN add nothing."""
+    known = ~(np.isnan(x) | np.isnan(y))
+    owner, x, y = owner[known], x[known], y[known]
+    total = lambda c: np.bincount(owner, c, count)  # adds in order
+    n, far, about = np.maximum(np.bincount(owner, minlength=count), 1), np.zeros(count), []
+    for c in (x, y):
+        mean = total(c) / n
+        np.maximum.at(far, owner, np.abs(c - mean[owner]))
+        about.append(c - mean[owner])
+    u, v = (c / np.where(far > 0, far, 1.0)[owner] for c in about)
+    out = []
+    for i, j in powers:
+        product = np.ones(len(owner))
+        for _ in range(i):
+            product = product * u
+        for _ in range(j):
+            product = product * v
+        out.append(total(product))
+    return out

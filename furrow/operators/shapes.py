@@ -3,10 +3,13 @@ folded is a contour's own points."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators import contours as _contours
+from furrow.operators import kernels
 
 
 def min_rectangles(contours: DataFrame, *keys: str) -> DataFrame:
@@ -64,6 +67,7 @@ def min_circle(pts: Column) -> Column:
 
 
 _TERMS = ((2, 0), (1, 1), (0, 2), (1, 0), (0, 1))  # of the conic a x^2 + b xy + c y^2 + d x + e y = 1
+_POWERS = sorted({(p[0] + q[0], p[1] + q[1]) for p in _TERMS for q in (*_TERMS, (0, 0))})
 
 
 def conics(points: DataFrame, *keys: str) -> DataFrame:
@@ -74,7 +78,6 @@ def conics(points: DataFrame, *keys: str) -> DataFrame:
     scale = F.greatest(F.col("x1") - F.col("mx"), F.col("mx") - F.col("x0"), F.col("y1") - F.col("my"), F.col("my") - F.col("y0"))
     facts = facts.select(*keys, "mx", "my", F.when(scale > 0, scale).otherwise(F.lit(1.0)).alias("far"))
     near = points.join(facts, list(keys)).withColumn("_u", (F.col("x") - F.col("mx")) / F.col("far")).withColumn("_v", (F.col("y") - F.col("my")) / F.col("far"))
-    powers = sorted({(p[0] + q[0], p[1] + q[1]) for p in _TERMS for q in (*_TERMS, (0, 0))})
 
     def product(i: int, j: int) -> Column:
         out = F.lit(1.0)
@@ -84,7 +87,30 @@ def conics(points: DataFrame, *keys: str) -> DataFrame:
             out = out * F.col("_v")
         return out
 
-    sums = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(product(i, j)).alias(f"s{i}{j}") for i, j in powers])
+    sums = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(product(i, j)).alias(f"s{i}{j}") for i, j in _POWERS])
+    return _solved(sums, *keys)
+
+
+def contour_conics(contours: DataFrame, *keys: str) -> DataFrame:
+    """As conics, of each row's own points (pts); rows without points are left out. Nothing moves, and sums are taken in the order of the points, so that they end in the
+    same bits wherever a contour lies: of points on two lines the last ones decide whether an ellipse fits."""
+    packed = contours.where(F.size("pts") > 0).select(*keys, F.transform("pts", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("pts"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name != "pts")
+    names = [f"s{i}{j}" for i, j in _POWERS]
+
+    def run(batches):
+        for batch in batches:
+            pts = batch.column("pts")
+            x, y = (c.to_numpy(zero_copy_only=False) for c in pts.flatten().flatten())
+            n = np.diff(np.asarray(pts.offsets))
+            sums = kernels.power_sums(np.repeat(np.arange(len(n)), n), len(n), x, y, _POWERS)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(n.astype(np.int64)), *[pa.array(c) for c in sums]], names=[*keys, "n", *names])
+
+    return _solved(packed.mapInArrow(run, ", ".join([kept, "n bigint", *[f"{c} double" for c in names]])), *keys)
+
+
+def _solved(sums: DataFrame, *keys: str) -> DataFrame:
+    """The conics from n and the sums of products of powers."""
     rows = F.array(*[F.array(*[F.col(f"s{p[0] + q[0]}{p[1] + q[1]}") for q in (*_TERMS, (0, 0))]) for p in _TERMS])
 
     def eliminated(m: Column, k: Column) -> Column:
@@ -101,7 +127,15 @@ def conics(points: DataFrame, *keys: str) -> DataFrame:
 def ellipse_angles(points: DataFrame, *keys: str) -> DataFrame:
     """keys, angle: the direction of the major axis of the ellipse nearest to each key's points, 0 to 180 degrees from the vertical, so that (-sin, cos) of it
     points along the axis with y downwards; null where no ellipse fits."""
-    found = conics(points, *keys)
+    return _angles(conics(points, *keys), *keys)
+
+
+def contour_ellipse_angles(contours: DataFrame, *keys: str) -> DataFrame:
+    """As ellipse_angles, of contours (keys, pts), each in its row."""
+    return _angles(contour_conics(contours, *keys), *keys)
+
+
+def _angles(found: DataFrame, *keys: str) -> DataFrame:
     sign = F.when(F.col("a") < 0, -1).otherwise(1)
     angle = F.pmod(F.degrees(F.atan2(F.col("b") * sign, (F.col("a") - F.col("c")) * sign) / 2), F.lit(180.0))
     return found.select(*keys, F.when(F.col("b") * F.col("b") - 4 * F.col("a") * F.col("c") < 0, angle).alias("angle"))
@@ -110,6 +144,5 @@ def ellipse_angles(points: DataFrame, *keys: str) -> DataFrame:
 def contour_shapes(contours: DataFrame, *keys: str) -> DataFrame:
     """keys, the least rectangle (cx, cy, w, h, rect_angle, corners), the least circle (circle_x, circle_y, circle_r) and the ellipse's angle of contours (keys, pts)."""
     rings = contours.select(*keys, min_circle(F.col("pts")).alias("c")).select(*keys, *[F.col(f"c.{k}").alias(f"circle_{k}") for k in "xyr"])
-    points = contours.select(*keys, F.explode("pts").alias("p")).select(*keys, F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    angle = ellipse_angles(points, *keys).withColumnRenamed("angle", "ellipse_angle")
+    angle = contour_ellipse_angles(contours, *keys).withColumnRenamed("angle", "ellipse_angle")
     return min_rectangles(contours, *keys).join(rings, list(keys)).join(angle, list(keys))

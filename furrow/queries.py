@@ -630,8 +630,7 @@ def _ellipse_sql() -> str:
 
 @query("contour_ellipses", _ellipse_sql())
 def _(v):
-    points = v.contours.select("contour_id", F.explode("pts").alias("p")).select("contour_id", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    return shapes.ellipse_angles(points, "contour_id").select("contour_id", F.round("angle", 3).alias("angle"))
+    return shapes.contour_ellipse_angles(v.contours, "contour_id").select("contour_id", F.round("angle", 3).alias("angle"))
 
 
 @query("contour_shapes")

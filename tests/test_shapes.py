@@ -114,3 +114,30 @@ def test_contours_smoothed_many_at_once(spark, monkeypatch):
     out = contours.smooth_contours(frame_)
     assert out.schema["pts"].dataType == frame_.schema["pts"].dataType
     assert {r["id"]: r["pts"] and [[p["x"], p["y"]] for p in r["pts"]] for r in out.collect()} == wanted
+
+
+def test_ellipses_of_contours_in_their_rows_in_point_order(spark):
+    """Points on two lines have no ellipse but for the last bits, which follow from the order of the points alone; nothing moves."""
+    rng = np.random.default_rng(3)
+    lists = [[(int(a), int(rng.integers(0, 2)) * 7 + int(a) * int(t)) for a in rng.integers(0, 40, 7)] for t in rng.integers(-3, 4, 300)] + [ellipse(t) for t in (0.0, 45, 135)]
+    df = frame(spark, lists)
+    out = shapes.contour_ellipse_angles(df, "k")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["angle"] for r in out.collect()}
+    again = {r["k"]: r["angle"] for r in shapes.contour_ellipse_angles(df.repartition(7), "k").collect()}
+    assert got == again and len(got) == len(lists)
+    for i, t in enumerate((0.0, 45, 135)):
+        assert abs((got[300 + i] - kernels.ellipse_angle(lists[300 + i]) + 90) % 180 - 90) < 1e-6
+    for k, pts in enumerate(lists[:300]):
+        (x, y), n = np.array(pts, float).T, len(pts)
+        far = max(abs(c - c.sum() / n).max() for c in (x, y)) or 1.0
+        u, v = ((c - c.sum() / n) / far for c in (x, y))
+        one = kernels.power_sums(np.zeros(n, int), 1, x, y, shapes._POWERS)
+        for (i, j), s in zip(shapes._POWERS, one):
+            want = 0.0
+            for a, b in zip(u, v):
+                p = 1.0
+                for c in (a,) * i + (b,) * j:
+                    p *= c
+                want += p
+            assert s[0] == want
