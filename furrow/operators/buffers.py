@@ -11,29 +11,34 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry
-from furrow.operators.chains import ring_places
+from furrow.operators.chains import least_labels, ring_places
+from furrow.operators.cover import TOUCH, Block
 from furrow.params import DEFAULTS
 from furrow.sources.shared import checkpointed
 
-TOUCH = 1e-9  # metres within which two borders count as one
+
+def _shape() -> list[Column]:
+    """turn, ux, uy, vx, vy of a piece of the buffer about x1, y1 to x2, y2."""
+    heading = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    turn = heading + F.when(F.col("piece").isin(0, 1), -math.pi / 2).otherwise(math.pi / 2)
+    end = F.col("piece").isin(1, 2)  # pieces 1 and 2 begin at the line's end
+    return [
+        turn.alias("turn"), F.when(end, F.col("x2")).otherwise(F.col("x1")).alias("ux"), F.when(end, F.col("y2")).otherwise(F.col("y1")).alias("uy"),
+        F.when(F.col("piece") == 0, F.col("x2")).when(F.col("piece") == 2, F.col("x1")).alias("vx"), F.when(F.col("piece") == 0, F.col("y2")).when(F.col("piece") == 2, F.col("y1")).alias("vy"),
+    ]
 
 
 def _pieces(lines: DataFrame, *keys: str) -> DataFrame:
     """keys, idx, piece (0 right side, 1 arc at the end, 2 left side, 3 arc at the start), ux, uy (the centre or corner offset from), turn (an arc's first angle, or the
     side's normal), x1 .. y2. A line of no length has no sides."""
-    heading = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     dealt = lines.select(*keys, "idx", "x1", "y1", "x2", "y2", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("piece"))
-    dealt = dealt.where("piece in (1, 3) or x1 <> x2 or y1 <> y2").withColumn("heading", heading)
-    turn = F.col("heading") + F.when(F.col("piece").isin(0, 1), -math.pi / 2).otherwise(math.pi / 2)
-    end = F.col("piece").isin(1, 2)  # pieces 1 and 2 begin at the line's end
-    return dealt.select(
-        *keys, "idx", "piece", turn.alias("turn"), F.when(end, F.col("x2")).otherwise(F.col("x1")).alias("ux"), F.when(end, F.col("y2")).otherwise(F.col("y1")).alias("uy"),
-        F.when(F.col("piece") == 0, F.col("x2")).when(F.col("piece") == 2, F.col("x1")).alias("vx"), F.when(F.col("piece") == 0, F.col("y2")).when(F.col("piece") == 2, F.col("y1")).alias("vy"),
-    )
+    return dealt.where("piece in (1, 3) or x1 <> x2 or y1 <> y2").select(*keys, "idx", "piece", *_shape())
 
 
 def _at(t: Column, radius: float) -> geometry.Point:
@@ -107,6 +112,41 @@ def union_borders(lines: DataFrame, groups: DataFrame, pairs: DataFrame, *keys:
     return left.join(pieces, [*keys, "idx", "piece"]).join(groups.select(*keys, "idx", "grp"), [*keys, "idx"])
 
 
+def block_borders(dealt: DataFrame, *keys: str, radius: float = DEFAULTS.row_buffer_m) -> DataFrame:
+    """As union_borders, with the groups, without pairs. dealt: keys, idx, x1, y1, x2, y2 of lines that differ, once for each block cu, cs of ground that the line widened by twice
+    the radius touches, and the blocks' sides su, sv in the direction fc, fs (see rows._dealt). A block's lines meet in one task; a side belongs to the blocks that its line runs
+    through, an arc to that of its centre. A block names the least line of those that hang together there, and lines in several blocks join these names."""
+    ends, names = ("x1", "y1", "x2", "y2"), [*keys, "idx", "comp", "x1", "y1", "x2", "y2", "piece", "s", "e"]
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    schema = ", ".join(f"`{n}` {types.get(n) or {'comp': types['idx'], 'piece': 'int'}.get(n, 'double')}" for n in names)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx").combine_chunks()
+        first = [table.column(n)[0].as_py() for n in ("fc", "fs", "su", "sv", "cu", "cs")]
+        block = Block(*[table.column(n).to_numpy() for n in ends], *first, radius)
+        group = block.groups()
+        i, piece, s, e = block.borders()
+        members = np.arange(len(group))  # a row of piece -1 for each line names its group here
+        rows, zeros = np.append(members, i), np.zeros(len(members))
+        out = table.take(pa.array(rows))
+        made = {"comp": table.column("idx").take(pa.array(group[rows])), "piece": pa.array(np.append(zeros - 1, piece).astype(np.int32)), "s": pa.array(np.append(zeros, s)), "e": pa.array(np.append(zeros, e))}
+        return pa.table({n: made[n] if n in made else out.column(n) for n in names})
+
+    found = checkpointed(dealt.groupBy(*keys, "cu", "cs").applyInArrow(run, schema))
+    met = found.where("piece = -1").groupBy(*keys, "idx").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("b"))
+    links = checkpointed(met.where("size(b) > 1").select(*keys, "a", F.explode("b").alias("b")).where("a <> b").distinct())
+    nodes = links.select(*keys, F.col("a").alias("node")).union(links.select(*keys, "b")).distinct()
+    labels = least_labels(nodes, links, *keys).withColumnRenamed("node", "comp")
+    # Sides cut between blocks become whole again.
+    order = Window.partitionBy(*keys, "idx", "piece").orderBy("s")
+    new = F.when(F.col("s") == F.lag("e").over(order), 0).otherwise(1)
+    whole = found.where("piece >= 0").withColumn("_n", new).withColumn("_n", F.sum("_n").over(order))
+    same = [F.first(c).alias(c) for c in ends]
+    whole = whole.groupBy(*keys, "idx", "piece", "_n").agg(F.min("comp").alias("comp"), *same, F.min("s").alias("s"), F.max("e").alias("e"))
+    grp = whole.join(labels, [*keys, "comp"], "left").withColumn("grp", F.coalesce("label", "comp"))
+    return grp.select(*keys, "idx", "piece", "s", "e", *_shape(), "grp")
+
+
 def _integrals(radius: float) -> tuple[Column, Column, Column]:
     """(area, x moment, y moment) that a border piece adds, in coordinates from (rx, ry)."""
     x0, y0 = _at(F.col("s"), radius)

@@ -143,12 +143,12 @@ def overlap_groups(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row
     return begun.select(*keys, "idx", "grp").join(last, [*keys, "grp"], "left").select(*keys, "idx", F.coalesce("label", "grp").alias("grp"))
 
 
-def dissolved_borders(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row_buffer_m) -> DataFrame:
-    """buffers.union_borders of lines in groups of overlapping buffers. Of lines with the same ends the least idx stands for all: it covers what they cover and has their border."""
+def dissolved_borders(lines: DataFrame, *keys: str, width: float = 2 * DEFAULTS.row_buffer_m, block: float = 12.0) -> DataFrame:
+    """buffers.union_borders of lines in groups of overlapping buffers. Of lines with the same ends the least idx stands for all: it covers what they cover and has their border.
+    Neither pairs nor their number matter: lines meet in blocks of ground of side block times width (see buffers.block_borders)."""
     ends = ("x1", "y1", "x2", "y2")
     own = checkpointed(lines.groupBy(*keys, *ends).agg(F.min("idx").alias("idx")))
-    pairs = checkpointed(overlap_pairs(own, *keys, width=width))
-    return buffers.union_borders(own, checkpointed(overlap_groups(own, *keys, width=width)), pairs, *keys, radius=width / 2)
+    return buffers.block_borders(_dealt(own, *keys, width=2 * width, cell=block * width), *keys, radius=width / 2)
 
 
 def group_centroids(lines: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:

@@ -106,3 +106,25 @@ def test_no_lines(spark):
     lines, none = spark.createDataFrame([], LINES), spark.createDataFrame([], "prj string, a long, b long")
     borders = buffers.union_borders(lines, spark.createDataFrame([], "prj string, idx long, grp long"), none, "prj")
     assert buffers.dissolved_areas(borders, "prj").count() == 0 and buffers.dissolved_rings(borders, "prj").count() == 0
+
+
+def test_borders_without_pairs(spark, monkeypatch):
+    """Lines of all directions over many blocks, crowded and sparse, points, reversed and repeated ones: as held against all pairs, without them."""
+    rng = np.random.default_rng(6)
+    near = lambda n, x, y, side: [(x + a, y + b, x + a + 1 + c / 9, y + b + 3) for a, b, c in rng.uniform(0, side, (n, 3))]
+    lines = near(250, 0, 0, 3) + near(60, 8, -4, 25) + [(*rng.uniform(-9, 30, 2), *rng.uniform(-9, 30, 2)) for _ in range(6)] + [(-20, -20, 50, 60), (50, 60, -20, -20), (4, 4, 4, 4), (40, 0, 40, 0)]
+    lines += lines[:5]
+    table = spark.createDataFrame([(k, i, *map(float, line)) for k in "pq" for i, line in enumerate(lines) if k == "p" or i % 3], LINES)
+    own = table.groupBy("prj", "x1", "y1", "x2", "y2").agg(F.min("idx").alias("idx"))
+    pairs = rows.overlap_pairs(own, "prj", width=0.6).cache()
+    want = buffers.union_borders(own, rows.dissolve_groups(own, pairs, "prj"), pairs, "prj", radius=0.3)
+
+    def fault(*a, **k):
+        raise AssertionError("all pairs of lines")
+
+    monkeypatch.setattr(rows, "overlap_pairs", fault)
+    seen = lambda df: sorted((r["prj"], r["grp"], r["idx"], r["piece"], round(r["s"], 7), round(r["e"], 7)) for r in df.collect())
+    got = rows.dissolved_borders(table, "prj", width=0.6)
+    assert seen(got) == seen(want) and got.count() > 500
+    assert seen(rows.dissolved_borders(table, "prj", width=0.6, block=3.0)) == seen(want)
+    assert rows.dissolved_borders(table.limit(0), "prj").count() == 0
