@@ -128,3 +128,25 @@ def test_borders_without_pairs(spark, monkeypatch):
     assert seen(got) == seen(want) and got.count() > 500
     assert seen(rows.dissolved_borders(table, "prj", width=0.6, block=3.0)) == seen(want)
     assert rows.dissolved_borders(table.limit(0), "prj").count() == 0
+
+
+def test_ring_places_in_tasks_and_in_rounds(spark, monkeypatch):
+    """Small keys are ranked without a round over tables, larger ones in rounds, with the same places; nodes may be structs."""
+    rng, data = np.random.default_rng(8), []
+    for k in range(40):
+        order = rng.permutation(300).tolist()
+        for size in (1, 2, 50 + k, 247 - k):
+            ring, order = order[:size], order[size:]
+            data += [(str(k % 7), k, (a // 9, a % 9, a / 8), (b // 9, b % 9, b / 8)) for a, b in zip(ring, ring[1:] + ring[:1])]
+    data += [("z", 0, (a, 0, 0.5), ((a + 1) % 900, 0, 0.5)) for a in range(900)]
+    node = "struct<idx:long,piece:int,s:double>"
+    steps = spark.createDataFrame(data, f"k string, g long, node {node}, next {node}")
+    seen = lambda df: sorted((r["k"], r["g"], tuple(r["node"]), tuple(r["ring"]), r["place"]) for r in df.collect())
+    want = seen(chains.ring_places(steps, "k", "g", at_once=0))
+    assert len(want) == len(data) and seen(chains.ring_places(steps, "k", "g", at_once=500)) == want
+
+    def fault(*a, **k):
+        raise AssertionError("rounds over tables")
+
+    monkeypatch.setattr(chains, "_ring_places", fault)
+    assert seen(chains.ring_places(steps, "k", "g")) == want
