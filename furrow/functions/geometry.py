@@ -10,9 +10,34 @@ from pyspark.sql import functions as F
 Point = tuple[Column, Column]
 
 
-def azimuth(a: Point, b: Point) -> Column:
+def _c_library(f):
+    """f of doubles as a Column function; null without all of them, NaN where f has no value."""
+
+    def run(*x):
+        if None in x:
+            return None
+        return f(*x) if all(map(math.isfinite, x)) else math.nan
+
+    return lambda *columns: F.udf(run, "double", useArrow=True)(*columns)
+
+
+class Functions:
+    """The functions of angles and squares that Spark has; Spark's are Java's."""
+
+    atan2, sin, cos = staticmethod(F.atan2), staticmethod(F.sin), staticmethod(F.cos)
+    square = staticmethod(lambda x: x * x)
+
+
+class CLibrary(Functions):
+    """Those of the C library, which SQL engines use: they differ from Java's in the last bit, a square too (it is a power there). For results that last bits decide."""
+
+    atan2, sin, cos = (staticmethod(_c_library(f)) for f in (math.atan2, math.sin, math.cos))
+    square = staticmethod(_c_library(lambda x: math.pow(x, 2.0) if abs(x) < 1e150 else x * x))
+
+
+def azimuth(a: Point, b: Point, by: type[Functions] = Functions) -> Column:
     """Degrees from north, clockwise, in (0, 360]."""
-    angle = F.degrees(F.atan2(b[0] - a[0], b[1] - a[1]))
+    angle = F.degrees(by.atan2(b[0] - a[0], b[1] - a[1]))
     return F.when(angle <= 0, angle + 360).otherwise(angle)
 
 
@@ -25,14 +50,14 @@ def midpoint(a: Point, b: Point) -> Point:
     return (a[0] + b[0]) / 2, (a[1] + b[1]) / 2
 
 
-def distance(a: Point, b: Point) -> Column:
+def distance(a: Point, b: Point, by: type[Functions] = Functions) -> Column:
     dx, dy = a[0] - b[0], a[1] - b[1]
-    return F.sqrt(dx * dx + dy * dy)
+    return F.sqrt(by.square(dx) + by.square(dy))
 
 
-def project_point(a: Point, degrees: Column, length) -> Point:
+def project_point(a: Point, degrees: Column, length, by: type[Functions] = Functions) -> Point:
     """The point at an azimuth and a distance from a."""
-    return a[0] + F.sin(F.radians(degrees)) * length, a[1] + F.cos(F.radians(degrees)) * length
+    return a[0] + by.sin(F.radians(degrees)) * length, a[1] + by.cos(F.radians(degrees)) * length
 
 
 def extend_line(start: Point, end: Point, ratio: float = 500.0) -> tuple[Point, Point]:

@@ -156,12 +156,12 @@ def first_line(lines: DataFrame, *keys: str, order: str = "id") -> DataFrame:
     return lines.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_i = 1").drop("_i")
 
 
-def seed_point(seed: Column, first_azimuth: Column, probe: float = DEFAULTS.corner_probe_m) -> geometry.Point:
+def seed_point(seed: Column, first_azimuth: Column, probe: float = DEFAULTS.corner_probe_m, by: type[geometry.Functions] = geometry.Functions) -> geometry.Point:
     """The point of a tile (xmin, ymin, xmax, ymax) from which its lines are measured: seed 1 the middle of the top, 2 of the left side,
     3 and 4 the top-left and top-right corner pushed out square to the first line; (0, 0) without one. Other seeds are an error."""
     x0, x1, y0, y1 = F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax")
     fault = F.raise_error(F.lit("seed has no reference point")).cast("double")
-    left, right = (geometry.project_point((x, y1), first_azimuth + 270, probe) for x in (x0, x1))
+    left, right = (geometry.project_point((x, y1), first_azimuth + 270, probe, by) for x in (x0, x1))
     known = first_azimuth.isNotNull()
 
     def chosen(i: int) -> Column:
@@ -219,9 +219,11 @@ def clean_tile_lines(lines: DataFrame, tiles: DataFrame, *, ratio: float = DEFAU
     if "u0" in tiles.columns:
         met = clip_lines_to_oriented(met)
     first = Window.partitionBy(*tile).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = met.withColumn("first_azimuth", F.first(geometry.azimuth(*_ends())).over(first))
-    px, py = seed_point(F.col("seed"), F.col("first_azimuth"))
-    met = valid_lines(met, least).withColumn("d", geometry.distance((px, py), geometry.midpoint(*_ends())))
+    # Without a gap all different distances stay, and the last bit tells whether two differ.
+    by = geometry.Functions if gap > 0 else geometry.CLibrary
+    met = met.withColumn("first_azimuth", geometry.azimuth(*_ends(), by)).withColumn("first_azimuth", F.first("first_azimuth").over(first))
+    px, py = seed_point(F.col("seed"), F.col("first_azimuth"), by=by)
+    met = valid_lines(met, least).withColumn("d", geometry.distance((px, py), geometry.midpoint(*_ends()), by))
     if gap > 0:  # distances that differ in their last bits alone are one
         met = met.withColumn("d", F.round("d", 9))
     chosen = first_index_of(gap_filter(distinct_sorted(met, *tile), *tile, gap=gap), met, *tile)

@@ -360,3 +360,28 @@ def test_tile_lines_at_one_distance_but_for_the_last_bits(spark):
     frame = spark.createDataFrame([(*m, m[4], 13.0) for m in made], "prj string, col int, row int, idx long, x1 double, y1 double, x2 double, y2 double")
     tiles = spark.createDataFrame([("p", c, 1, 1, (c - 1) * 40.0, 0.0, c * 40.0, 40.0) for c in range(1, 60)], "prj string, col int, row int, seed int, xmin double, ymin double, xmax double, ymax double")
     assert {r["col"]: r["idx"] for r in lines.clean_tile_lines(frame, tiles).collect()} == {c: 2 * c for c in range(1, 60)}
+
+
+def test_tile_distances_to_the_last_bit(spark):
+    """Without a gap, lines are one only if their distances are the same double, with the functions of the C library as in SQL."""
+    rng, data, tiles, want = np.random.default_rng(12), [], [], {}
+    for t in range(300):
+        seed, x0, y0 = t % 4 + 1, 40.0 * t, 40.0 * (t % 7)
+        tiles.append(("p", t, 0, seed, x0, y0, x0 + 40, y0 + 40))
+        for i in range(6):
+            x, y, dx, dy = (float(c) for c in (*rng.uniform(15, 25, 2), *rng.uniform(-9, 9, 2)))
+            line = (x0 + x, y0 + y, x0 + x + dx, y0 + y + dy)
+            data.append(("p", t, 0, t * 6 + i, *line))
+            (ax, bx), (ay, by) = ((p - (q - p), p + (q - p)) for p, q in ((line[0], line[2]), (line[1], line[3])))  # as extended, and cut to all of itself
+            line = (ax, ay, ax + (bx - ax), ay + (by - ay))
+            if i == 0:
+                azimuth = math.degrees(math.atan2(line[2] - line[0], line[3] - line[1]))
+                angle = math.radians((azimuth + 360 if azimuth <= 0 else azimuth) + 270)
+            corner = x0 if seed == 3 else x0 + 40
+            sx = {1: (x0 + x0 + 40) / 2, 2: x0}.get(seed, corner + math.sin(angle) * 100)
+            sy = {1: y0 + 40, 2: (y0 + y0 + 40) / 2}.get(seed, y0 + 40 + math.cos(angle) * 100)
+            want[t * 6 + i] = math.sqrt(math.pow(sx - (line[0] + line[2]) / 2, 2) + math.pow(sy - (line[1] + line[3]) / 2, 2))
+    table = spark.createDataFrame(data, "prj string, col int, row int, idx long, x1 double, y1 double, x2 double, y2 double")
+    facts = spark.createDataFrame(tiles, "prj string, col int, row int, seed int, xmin double, ymin double, xmax double, ymax double")
+    got = {r["idx"]: r["d"] for r in lines.clean_tile_lines(table, facts, ratio=1.0, gap=0.0).collect()}
+    assert len(got) > 1700 and all(want[i] == d for i, d in got.items())
