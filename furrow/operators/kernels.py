@@ -595,6 +595,15 @@ def group_starts(table, keys) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def group_codes(table, keys) -> np.ndarray:
+    """A number for each row of an Arrow table, the same for rows with the same keys."""
+    code = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        value = table.column(k).combine_chunks().dictionary_encode()
+        code = np.unique(code * (len(value.dictionary) + 1) + value.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return code
+
+
 def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, k) for each k of each range low[i] to high[i]."""
     size = np.maximum(high - low, 0)
@@ -767,3 +776,72 @@ def power_sums(owner: np.ndarray, count: int, x: np.ndarray, y: np.ndarray, powe
             product = product * v
         out.append(total(product))
     return out
+
+
+def nearest_segments(group, px, py, reach, best, rank, at, x1, y1, x2, y2, order, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, line) for each point: the nearest of the lines x1 .. y2 (at: their group) of its group, no farther than its reach, the one of least order on a tie; distances are rounded to
+    9 places. best and rank are the distance and order of what it has already; where that stays, line is -1. Points at one place look once. Lines are looked up in the cells of
+    the points, of a size that lines cover few of."""
+    by = np.lexsort((py, px, group))
+    new = np.ones(len(by), bool)
+    new[1:] = (group[by][1:] != group[by][:-1]) | (px[by][1:] != px[by][:-1]) | (py[by][1:] != py[by][:-1])
+    place = np.empty(len(by), np.int64)
+    place[by] = new.cumsum() - 1
+    one = by[new]
+    g, qx, qy, best, rank = group[one], px[one], py[one], np.where(best > reach, np.inf, best)[one], rank[one].copy()
+    pick, reach = np.full(len(one), -1), reach[one]
+    count = int(max(group.max(initial=-1), at.max(initial=-1))) + 1
+    kept = np.flatnonzero(np.bincount(g, minlength=count)[at] > 0)
+    if not len(kept):
+        return best[place], pick[place]
+
+    far, left, low = np.zeros(count), np.full(count, np.inf), np.full(count, np.inf)
+    np.maximum.at(far, g, reach)
+    np.minimum.at(left, g, qx)
+    np.minimum.at(low, g, qy)
+    lines = np.bincount(at, minlength=count)
+    size = np.maximum(2 * far, np.bincount(at, np.maximum(np.abs(x2 - x1), np.abs(y2 - y1)), count) / (3 * np.maximum(lines, 1)))
+    cell = lambda g, x, y: [np.floor((c - o[g]) / size[g]) for c, o in ((x, left), (y, low))]
+    cx, cy = (c.astype(np.int64) for c in cell(g, qx, qy))
+    wide, high = int(cx.max()) + 1, int(cy.max()) + 1
+    code = (g * wide + cx) * high + cy
+    sort = np.argsort(code, kind="stable")
+    cells, first, members = np.unique(code[sort], return_index=True, return_counts=True)
+
+    own, margin = at[kept], far[at[kept]] * 1.0001 + 1e-8
+    ends = [c[kept] for c in (x1, y1, x2, y2)]
+    box = [np.minimum(ends[0], ends[2]), np.minimum(ends[1], ends[3]), np.maximum(ends[0], ends[2]), np.maximum(ends[1], ends[3])]
+    lx, ly = (np.maximum(c, 0).astype(np.int64) for c in cell(own, box[0] - margin, box[1] - margin))
+    hx, hy = (np.minimum(c, m - 1).astype(np.int64) for c, m in zip(cell(own, box[2] + margin, box[3] + margin), (wide, high)))
+    nx, ny = np.maximum(hx - lx + 1, 0), np.maximum(hy - ly + 1, 0)
+    for part in in_parts(nx * ny, most):
+        i, k = expanded(np.zeros_like(nx[part]), (nx * ny)[part])
+        i += part.start
+        want = (own[i] * wide + lx[i] + k // ny[i]) * high + ly[i] + k % ny[i]
+        spot = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
+        hit = np.flatnonzero(cells[spot] == want)
+        i, spot = i[hit], spot[hit]
+        for few in in_parts(members[spot], most):
+            j, q = expanded(first[spot[few]], (first + members)[spot[few]])
+            j, q = i[few][j], sort[q]
+            within = np.minimum(best, reach)[q] + 1e-8
+            ok = (qx[q] >= box[0][j] - within) & (qx[q] <= box[2][j] + within) & (qy[q] >= box[1][j] - within) & (qy[q] <= box[3][j] + within)
+            j, q = j[ok], q[ok]
+            ax, ay, dx, dy = ends[0][j], ends[1][j], ends[2][j] - ends[0][j], ends[3][j] - ends[1][j]
+            square = dx * dx + dy * dy
+            t = np.where(square > 0, ((qx[q] - ax) * dx + (qy[q] - ay) * dy) / np.where(square > 0, square, 1.0), 0.0)
+            t = np.minimum(1.0, np.maximum(0.0, t))
+            fx, fy = qx[q] - (ax + dx * t), qy[q] - (ay + dy * t)
+            d = np.sqrt(fx * fx + fy * fy) * 1e9
+            whole = np.floor(d)
+            d = (whole + (d - whole >= 0.5)) / 1e9
+            ok = d <= np.minimum(best, reach)[q]
+            j, q, d = kept[j[ok]], q[ok], d[ok]
+            sorted_ = np.lexsort((order[j], d, q))
+            lead = np.ones(len(sorted_), bool)
+            lead[1:] = q[sorted_][1:] != q[sorted_][:-1]
+            j, q, d = (c[sorted_[lead]] for c in (j, q, d))
+            ok = (d < best[q]) | (order[j] < rank[q])
+            j, q, d = j[ok], q[ok], d[ok]
+            best[q], rank[q], pick[q] = d, order[j], j
+    return best[place], pick[place]

@@ -16,6 +16,7 @@ from furrow.functions import geometry
 from furrow.operators import buffers, kernels, ordered
 from furrow.operators.chains import least_labels
 from furrow.operators.lines import distinct_sorted, first_index_of, gap_filter, number_lines, span_groups
+from furrow.operators.nearest import nearest_line
 from furrow.params import DEFAULTS
 from furrow.sources.shared import checkpointed
 
@@ -159,42 +160,6 @@ def group_centroids(lines: DataFrame, groups: DataFrame, *keys: str) -> DataFram
     return met.groupBy(*keys, "grp").agg((F.sum(mx * F.col("_w")) / F.sum("_w")).alias("x"), (F.sum(my * F.col("_w")) / F.sum("_w")).alias("y"))
 
 
-def _to_line() -> Column:
-    a, b = _ends()
-    p = (F.col("x"), F.col("y"))
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    square = dx * dx + dy * dy
-    t = F.when(square > 0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / F.when(square > 0, square).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
-    return geometry.distance(p, geometry.along(a, b, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))))
-
-
-def nearest_line(points: DataFrame, lines: DataFrame, *keys: str, point: str = "point", cell: float = 20.0) -> DataFrame:
-    """keys, point, idx, dist: the nearest line to each point, the least idx on a tie.
-
-    Lines are dealt to the cells they touch. A point looks in its cell's neighbourhood, first of reach 1; points whose nearest find may lie
-    farther than the reach look again with a reach four times as wide, among the lines of the keys still waiting that lie within reach of
-    the box of their waiting points. Points of a key without lines have no row.
-    """
-    x0, x1, y0, y1 = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
-    span = lambda lo, hi, side: F.sequence(F.floor(lo / side), F.floor(hi / side))
-    waiting = checkpointed(points.select(*keys, point, "x", "y").join(lines.select(*keys).distinct(), list(keys), "left_semi"))
-    out, side = None, cell
-    while True:
-        box = waiting.groupBy(*keys).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-        reach = F.lit(float(side))
-        within = (x1 >= F.col("lox") - reach) & (x0 <= F.col("hix") + reach) & (y1 >= F.col("loy") - reach) & (y0 <= F.col("hiy") + reach)
-        asked = lines.select(*keys, "idx", "x1", "y1", "x2", "y2").join(box, list(keys)).where(within).drop("lox", "hix", "loy", "hiy")
-        dealt = asked.withColumn("cx", F.explode(span(x0, x1, side))).withColumn("cy", F.explode(span(y0, y1, side)))
-        around = waiting.withColumn("cx", F.explode(span(F.col("x") - side, F.col("x") + side, side))).withColumn("cy", F.explode(span(F.col("y") - side, F.col("y") + side, side)))
-        found = around.join(dealt.hint("merge"), [*keys, "cx", "cy"]).groupBy(*keys, point).agg(F.min(F.struct(F.round(_to_line(), 9).alias("dist"), F.col("idx"))).alias("m"))
-        near = checkpointed(found.where(F.col("m.dist") <= side).select(*keys, point, "m.idx", "m.dist"))
-        out = near if out is None else out.unionByName(near)
-        waiting = checkpointed(waiting.join(near.select(*keys, point).hint("merge"), [*keys, point], "left_anti"))
-        if not waiting.limit(1).count():
-            return out
-        side *= 4
-
-
 def closest_to_probe(lines: DataFrame, probes: DataFrame, *keys: str) -> DataFrame:
     """keys, idx, dist: the line whose mid-point is closest to its key's probe point (x, y); the least idx on a tie."""
     d = geometry.distance(geometry.midpoint(*_ends()), (F.col("x"), F.col("y")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geometry
 from furrow.jobs import fields
-from furrow.operators import contours, grid, kernels, lines, raster, rows
+from furrow.operators import contours, grid, kernels, lines, nearest, raster, rows
 from furrow.sources import manifests, rasters, vectors
 from furrow.streaming import landing
 
@@ -385,3 +385,38 @@ def test_tile_distances_to_the_last_bit(spark):
     facts = spark.createDataFrame(tiles, "prj string, col int, row int, seed int, xmin double, ymin double, xmax double, ymax double")
     got = {r["idx"]: r["d"] for r in lines.clean_tile_lines(table, facts, ratio=1.0, gap=0.0).collect()}
     assert len(got) > 1700 and all(want[i] == d for i, d in got.items())
+
+
+@pytest.mark.parametrize("parcel", [7, 1 << 18])
+def test_nearest_lines_candidates_are_not_moved(spark, monkeypatch, parcel):
+    """Points at one place, lines at one place, ties, points far off and fields without lines: as from all pairs, in parts of any size, and no aggregate sorts the pairs."""
+    rng, made, asked = np.random.default_rng(5), [], []
+    for i in range(400):
+        x, y = np.round(rng.uniform(0, 30, 2), 1)
+        dx, dy = ((0.0, 0.0), (1.0, 3.0), (-2.0, 3.0), (25.0, 1.0))[min(i % 23, 3)]
+        made.append((f"p{i % 2}", 400 - i, float(x), float(y), float(x + dx), float(y + dy)))
+    made += [(p, i + 1000, *ends) for p, i, *ends in made[::3]]
+    for i in range(300):
+        x, y = np.round(rng.uniform(-2, 32, 2), 1) if i % 40 else (900.0, -700.0)
+        asked.append((f"p{i % 3}", i, float(x), float(y)))
+    asked += [(p, i + 1000, x, y) for p, i, x, y in asked[:90]] + [("p0", 5000, None, 1.0)]
+    lines_ = spark.createDataFrame(made, "prj string, idx long, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    points = spark.createDataFrame(asked, "prj string, point int, x double, y double").repartition(3)
+    plans, keep = [], nearest.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(nearest, "checkpointed", seen)
+    monkeypatch.setattr(nearest, "PARCEL", parcel)
+    got = {(r["prj"], r["point"]): (r["idx"], r["dist"]) for r in rows.nearest_line(points, lines_, "prj", cell=3.0).collect()}
+    want = {}
+    for p, i, x, y in asked:
+        for q, k, ax, ay, bx, by in made:
+            if p == q and x is not None:
+                dx, dy = bx - ax, by - ay
+                t = min(1.0, max(0.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                want[p, i] = min(want.get((p, i), (math.inf, 0)), (round(math.hypot(x - (ax + dx * t), y - (ay + dy * t)), 9), k))
+    assert len(got) == len(want) > 250 and all(got[k][0] == v[1] and abs(got[k][1] - v[0]) < 2e-9 for k, v in want.items())
+    assert plans and not any("SortAggregate" in p for p in plans)
