@@ -9,65 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators import kernels
+from furrow.operators.blocks import BLOCK, ENDS, PARCEL, finite, parcels
 from furrow.sources.shared import checkpointed
 
-PARCEL = 1 << 18  # points or lines that are sorted into blocks at a time, and lines that a block's points are held against at a time
-BLOCK = 20_000.0  # lines of a block, about
-_ENDS = ("x1", "y1", "x2", "y2")
-
-
-def _finite(frame: DataFrame, *names: str) -> DataFrame:
-    for n in names:
-        frame = frame.where(F.col(n) - F.col(n) == 0)
-    return frame
-
 
 def _facts(lines: DataFrame, *keys: str, cell: float) -> DataFrame:
     """keys, reach, side: within reach of a point there will be some lines, in a block of that side some thousands, as far as their number, their length and the ground they lie on tell."""
     spot = F.struct(F.floor(F.col("x1") / cell), F.floor(F.col("y1") / cell))
     wide, high = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
-    sums = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*_ENDS)).alias("different"), F.approx_count_distinct(spot).alias("spots"), F.avg(F.sqrt(wide * wide + high * high)).alias("long"), F.avg(F.greatest(wide, high)).alias("extent"))
+    sums = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*ENDS)).alias("different"), F.approx_count_distinct(spot).alias("spots"), F.avg(F.sqrt(wide * wide + high * high)).alias("long"), F.avg(F.greatest(wide, high)).alias("extent"))
     ground = F.col("spots") * (cell * cell) / F.col("different")  # of a line
     reach = F.greatest(F.lit(cell / 4096), F.least(F.lit(float(cell)), 2.5 * F.sqrt(ground), 10 * ground / F.when(F.col("long") > 0, F.col("long"))))
     return sums.select(*keys, reach.alias("reach"), F.greatest(8 * reach, F.sqrt(ground * F.col("different") / F.col("n") * BLOCK), 2 * F.col("extent")).alias("side"))
 
 
 def _parcels(frame: DataFrame, *keys: str, name: str, coords: tuple[str, ...], spare: float) -> DataFrame:
-    """keys, reach, bx, by, the names (an array) and coordinates (at, an array) of points or lines (x, y of each end) in each block that they come nearer to than spare times reach: many a row."""
-    types = {f.name: f.dataType.simpleString() for f in frame.schema}
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "reach double, bx bigint, by bigint", f"`{name}` array<{types[name]}>", "at array<double>"])
-
-    def cut(held):
-        table = pa.Table.from_batches(held).combine_chunks()
-        at, reach, side = [table.column(c).to_numpy() for c in coords], table.column("reach").to_numpy(), table.column("side").to_numpy()
-        far = spare * reach
-        low, high = ([np.floor((f(at[i::2], axis=0) + s * far) / side).astype(np.int64) for i in (0, 1)] for f, s in ((np.min, -1), (np.max, 1)))
+    """blocks.parcels of points or lines (x, y of each end) in each block that they come nearer to than spare times reach."""
+
+    def deal(n):
+        far = spare * n["reach"]
+        low, high = ([np.floor((f([n[c] for c in coords[i::2]], axis=0) + s * far) / n["side"]).astype(np.int64) for i in (0, 1)] for f, s in ((np.min, -1), (np.max, 1)))
         i, bx = kernels.expanded(low[0], high[0] + 1)
         j, by = kernels.expanded(low[1][i], high[1][i] + 1)
-        i, bx = i[j], bx[j]
-        code = kernels.group_codes(table, keys)[i]
-        order = np.lexsort((by, bx, code))
-        i, bx, by, code = i[order], bx[order], by[order], code[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (code[1:] != code[:-1]) | (bx[1:] != bx[:-1]) | (by[1:] != by[:-1])
-        first = np.flatnonzero(new)
-        ends, rows = np.append(first, len(i)), pa.array(i[first])
-        of = lambda n, values: pa.ListArray.from_arrays(pa.array((ends * n).astype(np.int32)), values)
-        out = [*[table.column(k).combine_chunks().take(rows) for k in (*keys, "reach")], pa.array(bx[first]), pa.array(by[first])]
-        out += [of(1, table.column(name).combine_chunks().take(pa.array(i))), of(len(coords), pa.array(np.stack(at, axis=1)[i].ravel()))]
-        return pa.RecordBatch.from_arrays(out, names=[*keys, "reach", "bx", "by", name, "at"])
-
-    def run(batches):
-        held, count = [], 0
-        for batch in batches:
-            held, count = [*held, batch], count + batch.num_rows
-            if count >= PARCEL:
-                yield cut(held)
-                held, count = [], 0
-        if count:
-            yield cut(held)
+        return i[j], bx[j], by
 
-    return frame.select(*keys, name, *coords, "reach", "side").mapInArrow(run, schema)
+    return parcels(frame, *keys, name=name, coords=coords, facts=("reach", "side"), kept=("reach",), deal=deal)
 
 
 def _within(points: DataFrame, lines: DataFrame, facts: DataFrame, *keys: str, point: str) -> DataFrame:
@@ -77,7 +43,7 @@ def _within(points: DataFrame, lines: DataFrame, facts: DataFrame, *keys: str, p
     blocks = checkpointed(asked.select(*keys, "bx", "by").distinct())
     box = [F.col("_x0") - 2 * F.col("reach"), F.col("_y0") - 2 * F.col("reach"), F.col("_x1") + 2 * F.col("reach"), F.col("_y1") + 2 * F.col("reach")]
     near = (F.greatest("x1", "x2") >= box[0]) & (F.greatest("y1", "y2") >= box[1]) & (F.least("x1", "x2") <= box[2]) & (F.least("y1", "y2") <= box[3])
-    dealt = _parcels(lines.join(facts, list(keys)).where(near), *keys, name="idx", coords=_ENDS, spare=1.001).join(blocks, [*keys, "bx", "by"], "left_semi")
+    dealt = _parcels(lines.join(facts, list(keys)).where(near), *keys, name="idx", coords=ENDS, spare=1.001).join(blocks, [*keys, "bx", "by"], "left_semi")
     dealt = dealt.withColumnRenamed("idx", "_idx").withColumnRenamed("at", "_ends").withColumn("_line", F.lit(True))
     block = [*keys, "bx", "by"]
     met = asked.unionByName(dealt, allowMissingColumns=True).repartition(*block).sortWithinPartitions(*block, "_line")
@@ -145,9 +111,9 @@ def nearest_line(points: DataFrame, lines: DataFrame, *keys: str, point: str = "
     none is moved, sorted or written. A block's points are held, its lines pass by in parts. The reach is at most cell and less where lines are dense; points without a line so near look
     again with a reach four times as wide, among the lines within reach of the box of their key's waiting points. Points of a key without lines, or without a place, have no row.
     """
-    lines = _finite(lines.select(*keys, "idx", *_ENDS), *_ENDS)
+    lines = finite(lines.select(*keys, "idx", *ENDS), *ENDS)
     facts = checkpointed(_facts(lines, *keys, cell=cell))
-    waiting = _finite(points.select(*keys, point, "x", "y"), "x", "y")
+    waiting = finite(points.select(*keys, point, "x", "y"), "x", "y")
     out = None
     while True:
         box = waiting.groupBy(*keys).agg(*[f(c).alias(n) for c in "xy" for n, f in ((f"_{c}0", F.min), (f"_{c}1", F.max))])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geometry
 from furrow.jobs import fields
-from furrow.operators import contours, grid, kernels, lines, nearest, raster, rows
+from furrow.operators import blocks, contours, grid, kernels, lines, nearest, overlaps, raster, rows
 from furrow.sources import manifests, rasters, vectors
 from furrow.streaming import landing
 
@@ -420,3 +420,22 @@ def test_nearest_lines_candidates_are_not_moved(spark, monkeypatch, parcel):
                 want[p, i] = min(want.get((p, i), (math.inf, 0)), (round(math.hypot(x - (ax + dx * t), y - (ay + dy * t)), 9), k))
     assert len(got) == len(want) > 250 and all(got[k][0] == v[1] and abs(got[k][1] - v[0]) < 2e-9 for k, v in want.items())
     assert plans and not any("SortAggregate" in p for p in plans)
+
+
+@pytest.mark.parametrize("parcel, most, few", [(1 << 18, 1 << 12, 1e9), (50, 3, 20.0)])
+def test_overlapping_lines_at_one_place_are_measured_once(spark, monkeypatch, parcel, most, few):
+    """Lines come as lists, those at one place as one; all pairs follow, each once, in blocks and lists of any size, and nothing joins lines."""
+    made, _ = _mixed_lines(spark)
+    made = [(p, i + 1300 * k, *ends) for k in range(6) for p, i, *ends in made[k::2]] + [("p0", 99_999, None, 1.0, 2.0, 3.0)]
+    frame = spark.createDataFrame(made, "prj string, idx long, x1 double, y1 double, x2 double, y2 double").repartition(5)
+    for module, name, value in ((blocks, "PARCEL", parcel), (overlaps, "PARCEL", parcel), (overlaps, "LIST", most), (overlaps, "BLOCK", few)):
+        monkeypatch.setattr(module, name, value)
+    lists = overlaps.near_lists(frame, rows._frames(frame, "prj", least=2.4), "prj", width=0.6).collect()
+    got = sorted(tuple(r) for r in rows.overlap_pairs(frame, "prj").collect())
+    n = {i: ends for _, i, *ends in made}
+    both = [(a[0], a[1], b[1]) for a in made for b in made if a[0] == b[0] and a[1] < b[1] and a[2] is not None and b[2] is not None]
+    far = kernels.segments_apart(*np.array([n[a] + n[b] for _, a, b in both], float).T)[0]
+    want = sorted(p for p, d in zip(both, far) if d < 0.6)
+    assert got == want and len(want) > 5_000
+    assert len(lists) < len(want) and all(max(len(r["as"]), len(r["bs"])) < 2 * most for r in lists)
+    assert "Join" not in rows.overlap_pairs(frame, "prj")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
