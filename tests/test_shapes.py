@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.operators import contours, kernels, shapes
+from furrow.operators import blocks, contours, kernels, shapes
 
 SCHEMA = "k int, pts array<struct<x:double,y:double>>"
 
@@ -141,3 +141,24 @@ def test_ellipses_of_contours_in_their_rows_in_point_order(spark):
                     p *= c
                 want += p
             assert s[0] == want
+
+
+@pytest.mark.parametrize("parcel, most", [(1 << 18, 1 << 12), (20, 2)])
+def test_contours_of_the_same_points_meet_others_as_one(spark, monkeypatch, parcel, most):
+    """Points in any order and twice, zeros of either sign, nulls: lists name contours of the same points together, and all pairs follow, each once, in chunks and lists of any size."""
+    rng, data = np.random.default_rng(9), []
+    kinds = [np.round(rng.normal(rng.uniform(-6, 6, 2), 3, (int(rng.integers(0, 6)), 2))).tolist() for _ in range(30)]
+    for i in range(240):
+        pts = [kinds[i % 30][k] for k in rng.permutation(len(kinds[i % 30]))]
+        pts = [{"x": -x if x == 0 and i % 2 else x, "y": y} for x, y in (pts + pts[:1] if i % 3 else pts)]
+        data.append(("f", i // 30 % 2, (i * 7) % 240, pts + [{"x": None, "y": 1.0}, {"x": float("nan"), "y": 1.0}] * (i % 5 == 0)))
+    for module, name, value in ((contours, "PARCEL", parcel), (contours, "LIST", most)):
+        monkeypatch.setattr(module, name, value)
+    frame_ = spark.createDataFrame(data, "prj string, col int, contour_id long, pts array<struct<x:double,y:double>>").repartition(3)
+    lists = contours.close_lists(frame_, "prj", "col")
+    plain = {i: {(p["x"], p["y"]) for p in pts if p["x"] is not None} for _, _, i, pts in data}
+    wanted = sorted((p, c, i, j) for p, c, i, _ in data for _, e, j, _ in data if c == e and i < j and plain[i] & plain[j])
+    for got in (blocks.pairs_of(lists, "prj", "col"), contours.close_contours(frame_, "prj", "col")):
+        assert sorted(tuple(r) for r in got.collect()) == wanted and len(wanted) > 500
+    rows = lists.collect()
+    assert all(max(len(r["as"]), len(r["bs"])) < 2 * most for r in rows) and (most < 9 or len(rows) < len(wanted) / 4)
